@@ -85,6 +85,25 @@ class Lake:
     def wide_sales_forecast(self) -> DataFrame:
         return gold.wide_sales_forecast(self.fact_sales, self.dim_date, self.dim_products)
 
+    @cached_property
+    def wide_exact(self) -> DataFrame:
+        """The wide table plus its exact decimal revenue `_rev` (for readers that sum it)."""
+        return gold.wide_sales_forecast(self.fact_sales, self.dim_date, self.dim_products, keep_exact=True)
+
+    @cached_property
+    def daily_cat(self) -> DataFrame:
+        """(sale_date, product_category) aggregate with exact `_rev`, sale days only."""
+        return gold.daily_category_sales(self.fact_sales, self.dim_date, self.dim_products, keep_exact=True)
+
+    @cached_property
+    def positive_bounds(self) -> DataFrame:
+        """One row (mn, mx): first/last positive-revenue day of the wide table.
+
+        Computed from the day × category aggregate (the wide table only adds
+        zero rows and drops NULL categories), without building the spine."""
+        from mercato.operators.aggregates import date_bounds
+        return date_bounds(self.daily_cat.where(self.daily_cat.product_category.isNotNull()))
+
     SILVER = ("stg_orders", "stg_order_details", "stg_customers", "stg_products", "stg_categories",
               "stg_employees", "stg_suppliers")
     GOLD = ("dim_customers", "dim_products", "dim_employees", "dim_date", "fact_sales", "wide_sales_forecast")

@@ -213,3 +213,43 @@ def sql(select: str, extra_ctes: str = "") -> str:
     """Full statement: the model CTEs, optional extra CTEs, then `select`."""
     head = PRELUDE + (",\n" + extra_ctes.strip() if extra_ctes.strip() else "")
     return head + "\n" + select.strip()
+
+
+# analytics building blocks shared by several statements
+ANALYTICS = """
+series_ AS (
+  SELECT sale_date, CAST(sum(rev_) AS DOUBLE) AS total_revenue, sum(rev_) AS rev_
+  FROM wide_sales_forecast_ GROUP BY sale_date
+),
+bounds_ AS (SELECT min(sale_date) AS mn, max(sale_date) AS mx FROM wide_sales_forecast_ WHERE total_revenue > 0),
+range_ AS (
+  SELECT coalesce(mn, DATE '1996-07-04') AS start_date, coalesce(mx, DATE '1998-05-06') AS end_date FROM bounds_
+),
+active_ AS (SELECT s.* FROM series_ s, bounds_ b WHERE s.sale_date BETWEEN b.mn AND b.mx),
+positive_ AS (SELECT * FROM series_ WHERE total_revenue > 0),
+fact_range_ AS (
+  SELECT fs.*, dd.full_date FROM fact_sales fs JOIN dim_date dd ON fs.date_key = dd.date_key, range_ r
+  WHERE dd.full_date BETWEEN r.start_date AND r.end_date
+)"""
+
+PRELUDE = PRELUDE + ",\n" + ANALYTICS.strip()
+
+
+def spark_percentiles(src: str, y: str, ps: dict[str, float], group: str | None = None) -> str:
+    """SELECT statement computing Spark's `percentile` (position (n−1)·p, linear
+    interpolation written as (hi−pos)·x_lo + (pos−lo)·x_hi) per `group`."""
+    part = f"PARTITION BY {group}" if group else ""
+    gsel = f"{group}, " if group else ""
+    gby = f"GROUP BY {group}" if group else ""
+    picks, outs = [], []
+    for name, p in ps.items():
+        pos = f"({p} * (n - 1))"
+        picks.append(f"max(CASE WHEN i = floor({pos}) THEN {y} END) AS lo_{name}, "
+                     f"max(CASE WHEN i = ceil({pos}) THEN {y} END) AS hi_{name}")
+        outs.append(f"CASE WHEN floor({p} * (n - 1)) = ceil({p} * (n - 1)) OR lo_{name} = hi_{name} THEN lo_{name} "
+                    f"ELSE (ceil({p} * (n - 1)) - {p} * (n - 1)) * lo_{name} "
+                    f"+ ({p} * (n - 1) - floor({p} * (n - 1))) * hi_{name} END AS {name}")
+    return (f"SELECT {gsel}n, {', '.join(outs)} FROM ("
+            f"SELECT {gsel}any_value(n) AS n, {', '.join(picks)} FROM ("
+            f"SELECT *, row_number() OVER ({part} ORDER BY {y}) - 1 AS i, count(*) OVER ({part}) AS n "
+            f"FROM {src}) r {gby}) t")

@@ -115,8 +115,13 @@ def daily_category_sales(fact: DataFrame, dim_date_df: DataFrame, dim_products_d
     return out
 
 
-def wide_sales_forecast(fact: DataFrame, dim_date_df: DataFrame, dim_products_df: DataFrame) -> DataFrame:
-    """Gap-free day × category table with 7- and 30-row rolling revenue sums."""
+def wide_sales_forecast(fact: DataFrame, dim_date_df: DataFrame, dim_products_df: DataFrame,
+                        keep_exact: bool = False) -> DataFrame:
+    """Gap-free day × category table with 7- and 30-row rolling revenue sums.
+
+    `keep_exact` also returns `_rev`, the exact DECIMAL revenue behind
+    `total_revenue`; readers that sum the table use it (see functions/money).
+    """
     cats = (dim_products_df.where(F.col("category_name").isNotNull())
             .select(F.col("category_name").alias("product_category")).distinct())
     spine = (dim_date_df.select(F.col("full_date").alias("sale_date"), "year")
@@ -133,4 +138,5 @@ def wide_sales_forecast(fact: DataFrame, dim_date_df: DataFrame, dim_products_df
     return filled.select("sale_date", "year", "product_category", "total_revenue", "total_orders",
                          "total_quantity", "avg_order_value",
                          F.sum("_rev").over(w.rowsBetween(-6, 0)).cast("double").alias("revenue_7d_rolling"),
-                         F.sum("_rev").over(w.rowsBetween(-29, 0)).cast("double").alias("revenue_30d_rolling"))
+                         F.sum("_rev").over(w.rowsBetween(-29, 0)).cast("double").alias("revenue_30d_rolling"),
+                         *(["_rev"] if keep_exact else []))

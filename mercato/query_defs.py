@@ -1 +1,407 @@
-"""Query definitions beyond the plain models (filled in per operator family)."""
+"""Registered queries for the operator inventory, each with its SQL twin.
+
+Dashboard-style queries use the dashboard's default date range: the first to
+the last day with positive revenue (P-09), i.e. the whole active period.
+The range enters the Spark plan as scalar subqueries, evaluated once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mercato import oracle
+from mercato.oracle import rev, spark_percentiles
+from mercato.operators import aggregates as A
+from mercato.operators import joins as J
+from mercato.operators import questions as B
+from mercato.operators import series as S
+from mercato.operators import topk as L
+from mercato.queries import lake, register
+
+sql = oracle.sql
+
+
+def _range(lk):
+    """(start, end) Columns of the default date range, as scalar subqueries."""
+    b = lk.positive_bounds
+    start = b.select(F.coalesce("mn", F.to_date(F.lit(A.FALLBACK_RANGE[0])))).scalar()
+    end = b.select(F.coalesce("mx", F.to_date(F.lit(A.FALLBACK_RANGE[1])))).scalar()
+    return start, end
+
+
+def _series(spark, sf_dir):
+    return S.daily_series(lake(spark, sf_dir).wide_exact)
+
+
+def _pub(df: DataFrame) -> DataFrame:
+    """drop internal exact columns from a result"""
+    return df.drop(S.EXACT)
+
+
+# ====================================================================== filters (P)
+@register("date_range_filter", sql("SELECT * FROM wide_sales_forecast "
+                                   "WHERE sale_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"))
+def q_date_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = lake(spark, sf_dir).wide_sales_forecast
+    return w.where(F.col("sale_date").between(F.to_date(F.lit("1997-01-01")), F.to_date(F.lit("1998-12-31"))))
+
+
+@register("not_null_filter", sql("SELECT * FROM dim_products WHERE category_name IS NOT NULL"))
+def q_not_null_filter(spark, sf_dir):
+    return lake(spark, sf_dir).dim_products.where(F.col("category_name").isNotNull())
+
+
+@register("positive_revenue", sql("SELECT sale_date, CAST(sum(rev_) AS DOUBLE) AS daily_revenue "
+                                  "FROM wide_sales_forecast_ WHERE total_revenue > 0 GROUP BY sale_date"))
+def q_positive_revenue(spark, sf_dir):
+    w = lake(spark, sf_dir).wide_exact
+    # per-row filter BEFORE grouping (a day's zero categories are dropped first)
+    return (w.where(F.col("total_revenue") > 0).groupBy("sale_date")
+            .agg(F.sum(S.EXACT).cast("double").alias("daily_revenue")))
+
+
+@register("active_period_calendar", sql("SELECT sale_date, total_revenue FROM active_"))
+def q_active_period_calendar(spark, sf_dir):
+    return _pub(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+@register("active_period_positive", sql("SELECT sale_date, total_revenue FROM positive_"))
+def q_active_period_positive(spark, sf_dir):
+    return _pub(S.active_period_positive(_series(spark, sf_dir)))
+
+
+@register("last_n_days", sql("SELECT p.sale_date, p.total_revenue FROM positive_ p, "
+                             "(SELECT max(sale_date) AS mx FROM positive_) b "
+                             "WHERE p.sale_date BETWEEN b.mx - INTERVAL 180 DAY AND b.mx + INTERVAL 30 DAY"))
+def q_last_n_days(spark, sf_dir):
+    return _pub(S.last_n_days(S.positive_days(_series(spark, sf_dir)), 180, 30))
+
+
+@register("from_date_zoom", sql("SELECT sale_date, total_revenue FROM active_ WHERE sale_date >= DATE '1998-01-01'"))
+def q_from_date_zoom(spark, sf_dir):
+    return _pub(S.from_date(S.active_period_calendar(_series(spark, sf_dir)), "1998-01-01"))
+
+
+@register("default_date_range", sql("SELECT start_date, end_date FROM range_"))
+def q_default_date_range(spark, sf_dir):
+    return A.default_date_range(lake(spark, sf_dir).wide_exact)
+
+
+# ====================================================================== joins (J)
+@register("join_orders_lines", sql(
+    "SELECT o.order_id, o.customer_id, o.employee_id, o.order_date, od.product_id, od.quantity, od.unit_price, "
+    "od.discount, od.line_revenue FROM stg_orders o JOIN stg_order_details od ON o.order_id = od.order_id"))
+def q_join_orders_lines(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return J.join_orders_lines(lk.stg_orders, lk.stg_order_details)
+
+
+@register("join_left_lookup", sql(
+    "SELECT p.product_id, p.product_name, c.category_name, s.company_name AS supplier_name FROM stg_products p "
+    "LEFT JOIN stg_categories c ON p.category_id = c.category_id "
+    "LEFT JOIN stg_suppliers s ON p.supplier_id = s.supplier_id"))
+def q_join_left_lookup(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return J.join_left_lookup(lk.stg_products, lk.stg_categories, lk.stg_suppliers)
+
+
+@register("join_cross_spine", sql(
+    "SELECT d.full_date AS sale_date, d.year, c.product_category FROM dim_date d CROSS JOIN "
+    "(SELECT DISTINCT category_name AS product_category FROM dim_products WHERE category_name IS NOT NULL) c"))
+def q_join_cross_spine(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return J.join_cross_spine(lk.dim_date, lk.dim_products)
+
+
+@register("join_spine_fill", sql(
+    "SELECT sale_date, year, product_category, total_revenue, total_orders, total_quantity, avg_order_value "
+    "FROM filled_"))
+def q_join_spine_fill(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    spine = J.join_cross_spine(lk.dim_date, lk.dim_products)
+    daily = lk.daily_cat.drop(S.EXACT)
+    out = J.join_spine_fill(spine, daily)
+    return out.select("sale_date", "year", "product_category", "total_revenue",
+                      F.col("total_orders").cast("bigint").alias("total_orders"),
+                      F.col("total_quantity").cast("bigint").alias("total_quantity"), "avg_order_value")
+
+
+@register("star_join", sql(
+    "SELECT fs.order_id, fs.order_detail_id, dd.full_date, dp.product_name, dp.category_name, dc.company_name, "
+    "dc.country, fs.quantity, fs.line_revenue FROM fact_sales fs "
+    "JOIN dim_date dd ON fs.date_key = dd.date_key JOIN dim_products dp ON fs.product_key = dp.product_key "
+    "JOIN dim_customers dc ON fs.customer_key = dc.customer_key"))
+def q_star_join(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return J.star_join(lk.fact_sales, lk.dim_date, lk.dim_products, lk.dim_customers)
+
+
+@register("anti_orphans", sql(
+    "SELECT f.* FROM fact_sales f WHERE f.customer_key IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM dim_customers d WHERE d.customer_key = f.customer_key)"))
+def q_anti_orphans(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return J.anti_orphans(lk.fact_sales, lk.dim_customers, "customer_key")
+
+
+@register("anti_missing_dates", sql(
+    "SELECT CAST(d AS DATE) AS order_date FROM (SELECT unnest(generate_series(CAST(min(order_date) AS TIMESTAMP), "
+    "CAST(max(order_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM stg_orders) c "
+    "WHERE CAST(d AS DATE) NOT IN (SELECT order_date FROM stg_orders WHERE order_date IS NOT NULL)"))
+def q_anti_missing_dates(spark, sf_dir):
+    return S.missing_dates(lake(spark, sf_dir).stg_orders.select("order_date"), "order_date")
+
+
+# ====================================================================== aggregates (A)
+@register("daily_category_sales", sql(
+    "SELECT sale_date, product_category, total_revenue, total_orders, total_quantity, avg_order_value "
+    "FROM daily_category_sales"))
+def q_daily_category_sales(spark, sf_dir):
+    return _pub(lake(spark, sf_dir).daily_cat).select(
+        "sale_date", "product_category", "total_revenue", F.col("total_orders").cast("bigint").alias("total_orders"),
+        "total_quantity", "avg_order_value")
+
+
+@register("kpi_overview", sql(
+    f"SELECT coalesce(CAST(sum({rev()}) AS DOUBLE), 0.0) AS total_revenue, "
+    "CAST(count(DISTINCT order_id) AS BIGINT) AS total_orders, "
+    f"coalesce(CAST(sum({rev()}) AS DOUBLE) / NULLIF(count(DISTINCT order_id), 0), 0.0) AS aov FROM fact_range_"))
+def q_kpi_overview(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return A.kpi_overview(lk.fact_sales, lk.dim_date, *_range(lk))
+
+
+@register("daily_revenue", sql(
+    "SELECT w.sale_date, CAST(sum(w.rev_) AS DOUBLE) AS revenue FROM wide_sales_forecast_ w, range_ r "
+    "WHERE w.sale_date BETWEEN r.start_date AND r.end_date GROUP BY w.sale_date"))
+def q_daily_revenue(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return A.revenue_by_day(lk.wide_exact, *_range(lk))
+
+
+@register("revenue_by_category", sql(
+    "SELECT w.product_category, CAST(sum(w.rev_) AS DOUBLE) AS revenue FROM wide_sales_forecast_ w, range_ r "
+    "WHERE w.sale_date BETWEEN r.start_date AND r.end_date GROUP BY w.product_category"))
+def q_revenue_by_category(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return _pub(A.revenue_by_category(lk.wide_exact, *_range(lk)))
+
+
+@register("category_share", sql(
+    "SELECT product_category, CAST(r AS DOUBLE) AS revenue, CAST(r AS DOUBLE) * 100 / CAST(sum(r) OVER () AS DOUBLE) "
+    "AS share_pct FROM (SELECT w.product_category, sum(w.rev_) AS r FROM wide_sales_forecast_ w, range_ g "
+    "WHERE w.sale_date BETWEEN g.start_date AND g.end_date GROUP BY w.product_category) t"))
+def q_category_share(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return A.category_share(lk.wide_exact, *_range(lk))
+
+
+@register("date_bounds", sql("SELECT mn, mx FROM bounds_"))
+def q_date_bounds(spark, sf_dir):
+    return A.date_bounds(lake(spark, sf_dir).wide_exact)
+
+
+@register("distinct_categories", sql("SELECT DISTINCT category_name FROM dim_products WHERE category_name IS NOT NULL"))
+def q_distinct_categories(spark, sf_dir):
+    return A.distinct_categories(lake(spark, sf_dir).dim_products)
+
+
+@register("max_ids", sql("SELECT max(order_id) AS max_order_id, max(order_date) AS max_order_date FROM b_orders"))
+def q_max_ids(spark, sf_dir):
+    return A.max_ids(lake(spark, sf_dir).bronze["orders"])
+
+
+@register("weekly_revenue", sql(
+    "SELECT CAST(date_trunc('week', sale_date) + INTERVAL 6 DAY AS DATE) AS week_end, "
+    "CAST(sum(rev_) AS DOUBLE) AS total_revenue FROM active_ GROUP BY 1"))
+def q_weekly_revenue(spark, sf_dir):
+    return A.weekly_revenue(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+@register("monthly_revenue", sql(
+    "SELECT last_day(sale_date) AS month_end, CAST(sum(rev_) AS DOUBLE) AS total_revenue FROM active_ GROUP BY 1"))
+def q_monthly_revenue(spark, sf_dir):
+    return A.monthly_revenue(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+@register("describe_series", sql(
+    "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(total_revenue) AS BIGINT) AS count, "
+    "CAST(sum(rev_) AS DOUBLE) / count(rev_) AS mean, stddev_samp(total_revenue) AS std, "
+    "min(total_revenue) AS min, max(total_revenue) AS max, q.q1, q.median, q.q3 FROM active_, "
+    f"({spark_percentiles('active_', 'total_revenue', {'q1': 0.25, 'median': 0.5, 'q3': 0.75})}) q "
+    "GROUP BY q.q1, q.median, q.q3"))
+def q_describe_series(spark, sf_dir):
+    return A.describe_series(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+@register("iqr_outliers", sql(
+    "SELECT a.sale_date, a.total_revenue, q.q1, q.q3, q.q3 - q.q1 AS iqr, q.q1 - 1.5 * (q.q3 - q.q1) AS lower_fence, "
+    "q.q3 + 1.5 * (q.q3 - q.q1) AS upper_fence, count(*) OVER () AS n_outliers, "
+    "count(*) OVER () * 100.0 / q.n AS outlier_pct FROM active_ a, "
+    f"({spark_percentiles('active_', 'total_revenue', {'q1': 0.25, 'q3': 0.75})}) q "
+    "WHERE a.total_revenue > q.q3 + 1.5 * (q.q3 - q.q1)"))
+def q_iqr_outliers(spark, sf_dir):
+    return A.iqr_outliers(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+_WD = ("SELECT ((dayofweek(sale_date) + 6) % 7) + 1 AS weekday_no, dayname(sale_date) AS weekday, total_revenue "
+       "FROM active_")
+
+
+@register("weekday_profile", sql(
+    "SELECT s.weekday_no, s.weekday, CAST(q.n AS BIGINT) AS n_days, q.q1, q.median, q.q3, "
+    "min(CASE WHEN s.total_revenue BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) "
+    "THEN s.total_revenue END) AS whisker_low, "
+    "max(CASE WHEN s.total_revenue BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) "
+    "THEN s.total_revenue END) AS whisker_high, "
+    "CAST(count(CASE WHEN NOT (s.total_revenue BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1)) "
+    "THEN 1 END) AS BIGINT) AS n_outliers "
+    f"FROM wd_ s JOIN ({spark_percentiles('wd_', 'total_revenue', {'q1': 0.25, 'median': 0.5, 'q3': 0.75}, 'weekday_no')}) q "
+    "ON s.weekday_no = q.weekday_no GROUP BY s.weekday_no, s.weekday, q.n, q.q1, q.median, q.q3",
+    extra_ctes=f"wd_ AS ({_WD})"))
+def q_weekday_profile(spark, sf_dir):
+    return A.weekday_profile(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+@register("zero_day_share", sql(
+    "SELECT CAST(count(*) AS BIGINT) AS n_days, CAST(count(CASE WHEN total_revenue = 0 THEN 1 END) AS BIGINT) "
+    "AS zero_days, count(CASE WHEN total_revenue = 0 THEN 1 END) * 100.0 / count(*) AS zero_pct FROM active_"))
+def q_zero_day_share(spark, sf_dir):
+    return A.zero_day_share(S.active_period_calendar(_series(spark, sf_dir)))
+
+
+# ====================================================================== windows (W)
+@register("rolling_7d", sql("SELECT sale_date, product_category, total_revenue, revenue_7d_rolling "
+                            "FROM wide_sales_forecast"))
+def q_rolling_7d(spark, sf_dir):
+    return lake(spark, sf_dir).wide_sales_forecast.select("sale_date", "product_category", "total_revenue",
+                                                          "revenue_7d_rolling")
+
+
+@register("rolling_30d", sql("SELECT sale_date, product_category, total_revenue, revenue_30d_rolling "
+                             "FROM wide_sales_forecast"))
+def q_rolling_30d(spark, sf_dir):
+    return lake(spark, sf_dir).wide_sales_forecast.select("sale_date", "product_category", "total_revenue",
+                                                          "revenue_30d_rolling")
+
+
+_RM = ("CAST(sum(rev_) OVER (ORDER BY sale_date ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS DOUBLE) / "
+       "count(*) OVER (ORDER BY sale_date ROWS BETWEEN {k} PRECEDING AND CURRENT ROW)")
+
+
+@register("rolling_mean_7_30", sql(
+    f"SELECT sale_date, total_revenue AS daily_revenue, {_RM.format(k=6)} AS r7, {_RM.format(k=29)} AS r30 "
+    "FROM positive_"))
+def q_rolling_mean_7_30(spark, sf_dir):
+    s = S.positive_days(_series(spark, sf_dir))
+    return s.select("sale_date", F.col("total_revenue").alias("daily_revenue"),
+                    S.rolling_mean(s, 7).alias("r7"), S.rolling_mean(s, 30).alias("r30"))
+
+
+@register("rolling_mean_calendar", sql(
+    f"SELECT sale_date, total_revenue, {_RM.format(k=29)} AS rolling_30 FROM active_"))
+def q_rolling_mean_calendar(spark, sf_dir):
+    s = S.active_period_calendar(_series(spark, sf_dir))
+    return s.select("sale_date", "total_revenue", S.rolling_mean(s, 30).alias("rolling_30"))
+
+
+# ====================================================================== top-k (L)
+@register("top_customers", sql(
+    f"SELECT dc.company_name, dc.country, dc.city, CAST(sum({rev('f.')}) AS DOUBLE) AS total_revenue, "
+    "CAST(count(DISTINCT f.order_id) AS BIGINT) AS orders, "
+    f"CAST(sum({rev('f.')}) AS DOUBLE) / NULLIF(count(DISTINCT f.order_id), 0) AS aov "
+    "FROM fact_range_ f JOIN dim_customers dc ON f.customer_key = dc.customer_key "
+    "GROUP BY dc.company_name, dc.country, dc.city "
+    "ORDER BY total_revenue DESC NULLS LAST, company_name, country, city LIMIT 10"))
+def q_top_customers(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return L.top_customers(lk.fact_sales, lk.dim_customers, lk.dim_date, *_range(lk))
+
+
+_PR = (f"SELECT dp.product_name, CAST(sum({rev('f.')}) AS DOUBLE) AS revenue FROM fact_range_ f "
+       "JOIN dim_products dp ON f.product_key = dp.product_key GROUP BY dp.product_name ")
+
+
+@register("top_products", sql(_PR + "ORDER BY revenue DESC NULLS LAST, product_name LIMIT 10"))
+def q_top_products(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return L.top_products(lk.fact_sales, lk.dim_products, lk.dim_date, *_range(lk))
+
+
+@register("bottom_products", sql(_PR + "ORDER BY revenue ASC NULLS LAST, product_name LIMIT 10"))
+def q_bottom_products(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return L.bottom_products(lk.fact_sales, lk.dim_products, lk.dim_date, *_range(lk))
+
+
+@register("recent_rows", sql("SELECT * FROM wide_sales_forecast ORDER BY sale_date DESC, product_category LIMIT 20"))
+def q_recent_rows(spark, sf_dir):
+    return L.recent_rows(lake(spark, sf_dir).wide_sales_forecast)
+
+
+@register("tail_n", sql("SELECT sale_date, total_revenue FROM positive_ ORDER BY sale_date DESC LIMIT 30"))
+def q_tail_n(spark, sf_dir):
+    return _pub(L.tail_n(S.positive_days(_series(spark, sf_dir)), 30))
+
+
+# ====================================================================== questions (B)
+@register("top5_products_last_month", sql(
+    f"SELECT CAST(date_trunc('month', b.mx) - INTERVAL 1 MONTH AS DATE) AS month, dp.product_name, "
+    f"CAST(sum({rev('f.')}) AS DOUBLE) AS revenue, CAST(sum(f.quantity) AS BIGINT) AS quantity "
+    "FROM fact_sales f JOIN dim_date dd ON f.date_key = dd.date_key "
+    "JOIN dim_products dp ON f.product_key = dp.product_key, bounds_ b "
+    "WHERE dd.full_date >= CAST(date_trunc('month', b.mx) - INTERVAL 1 MONTH AS DATE) "
+    "AND dd.full_date < CAST(date_trunc('month', b.mx) AS DATE) "
+    "GROUP BY 1, 2 ORDER BY revenue DESC NULLS LAST, product_name LIMIT 5"))
+def q_top5_products_last_month(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return B.top5_products_last_month(lk.fact_sales, lk.dim_products, lk.dim_date, lk.positive_bounds)
+
+
+@register("monthly_revenue_latest_year", sql(
+    "SELECT year, CAST(month(sale_date) AS INTEGER) AS month, CAST(sum(rev_) AS DOUBLE) AS revenue "
+    "FROM wide_sales_forecast_ WHERE year = (SELECT max(year) FROM wide_sales_forecast_ WHERE total_revenue > 0) "
+    "GROUP BY 1, 2"))
+def q_monthly_revenue_latest_year(spark, sf_dir):
+    return B.monthly_revenue_latest_year(lake(spark, sf_dir).wide_exact)
+
+
+@register("best_aov_customer", sql(
+    f"SELECT dc.customer_id, dc.company_name, CAST(sum({rev('f.')}) AS DOUBLE) AS total_revenue, "
+    "CAST(count(DISTINCT f.order_id) AS BIGINT) AS orders, "
+    f"CAST(sum({rev('f.')}) AS DOUBLE) / count(DISTINCT f.order_id) AS aov "
+    "FROM fact_sales f JOIN dim_customers dc ON f.customer_key = dc.customer_key "
+    "GROUP BY dc.customer_id, dc.company_name ORDER BY aov DESC NULLS LAST, customer_id LIMIT 1"))
+def q_best_aov_customer(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return B.best_aov_customer(lk.fact_sales, lk.dim_customers)
+
+
+@register("category_growth_mom", sql(
+    "SELECT product_category, month, CAST(m AS DOUBLE) AS revenue, "
+    "CASE WHEN ok THEN CAST(p AS DOUBLE) END AS prev_revenue, "
+    "CASE WHEN ok THEN CAST(m - p AS DOUBLE) END AS growth_abs, "
+    "CASE WHEN ok AND p <> 0 THEN CAST(m - p AS DOUBLE) * 100 / CAST(p AS DOUBLE) END AS growth_pct "
+    "FROM (SELECT product_category, month, m, lag(m) OVER (PARTITION BY product_category ORDER BY month) AS p, "
+    "coalesce(lag(month) OVER (PARTITION BY product_category ORDER BY month) = "
+    "CAST(month - INTERVAL 1 MONTH AS DATE), false) AS ok "
+    "FROM (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, sum(rev_) AS m "
+    "FROM wide_sales_forecast_ GROUP BY 1, 2) t) u, bounds_ b "
+    "WHERE u.month = CAST(date_trunc('month', b.mx) AS DATE)"))
+def q_category_growth_mom(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return B.category_growth_mom(lk.wide_exact, lk.positive_bounds)
+
+
+@register("trend_last_30d", sql(
+    "SELECT mx AS ref_date, CAST(n AS DOUBLE) AS revenue_30d, CAST(p AS DOUBLE) AS revenue_prev_30d, "
+    "CAST(n - p AS DOUBLE) AS change_abs, CASE WHEN p <> 0 THEN CAST(n - p AS DOUBLE) * 100 / CAST(p AS DOUBLE) END "
+    "AS change_pct, CASE WHEN n > p THEN 'increasing' WHEN n < p THEN 'decreasing' ELSE 'flat' END AS direction, "
+    "CAST(n AS DOUBLE) / 30 AS avg_daily_30d, CAST(n AS DOUBLE) AS projected_next_30d "
+    "FROM (SELECT b.mx, sum(CASE WHEN s.sale_date BETWEEN b.mx - INTERVAL 29 DAY AND b.mx THEN s.rev_ END) AS n, "
+    "sum(CASE WHEN s.sale_date BETWEEN b.mx - INTERVAL 59 DAY AND b.mx - INTERVAL 30 DAY THEN s.rev_ END) AS p "
+    "FROM series_ s, bounds_ b GROUP BY b.mx) t"))
+def q_trend_last_30d(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return B.trend_last_30d(lk.wide_exact, lk.positive_bounds)
