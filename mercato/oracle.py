@@ -253,3 +253,33 @@ def spark_percentiles(src: str, y: str, ps: dict[str, float], group: str | None
             f"SELECT {gsel}any_value(n) AS n, {', '.join(picks)} FROM ("
             f"SELECT *, row_number() OVER ({part} ORDER BY {y}) - 1 AS i, count(*) OVER ({part}) AS n "
             f"FROM {src}) r {gby}) t")
+
+
+def suite_sql(suite) -> str:
+    """The data-quality suite as one UNION ALL statement (model, test, column, failures)."""
+    parts = []
+
+    def row(model, test, col, expr):
+        return (f"SELECT '{model}' AS model, '{test}' AS test, '{col}' AS \"column\", "
+                f"CAST(({expr}) AS BIGINT) AS failures")
+
+    for t in suite:
+        m = t.model
+        for c in t.not_null:
+            parts.append(row(m, "not_null", c, f"SELECT count(*) FROM {m} WHERE {c} IS NULL"))
+        for c in t.unique:
+            parts.append(row(m, "unique", c, f"SELECT count(*) FROM (SELECT {c} FROM {m} WHERE {c} IS NOT NULL "
+                                             f"GROUP BY {c} HAVING count(*) > 1) x"))
+        for c, parent, fld in t.relationships:
+            parts.append(row(m, "relationships", c,
+                             f"SELECT count(*) FROM {m} ch WHERE ch.{c} IS NOT NULL AND NOT EXISTS "
+                             f"(SELECT 1 FROM {parent} p WHERE p.{fld} = ch.{c})"))
+        for cols in t.unique_combination:
+            cs = ", ".join(cols)
+            parts.append(row(m, "unique_combination", ",".join(cols),
+                             f"SELECT count(*) FROM (SELECT {cs} FROM {m} GROUP BY {cs} HAVING count(*) > 1) x"))
+        for label, _ in t.expressions:
+            parts.append(row(m, "expression", label,
+                             f"SELECT count(*) FROM {m} WHERE NOT coalesce((SELECT max(sale_date) FROM {m}) "
+                             f">= DATE '1998-01-01', false)"))
+    return "\nUNION ALL\n".join(parts)

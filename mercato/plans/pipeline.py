@@ -1,0 +1,79 @@
+"""D-07: the layered run — bronze → silver → silver tests → gold → gold
+tests → forecast — stopping at the first failing stage.
+
+Each layer is materialised (written, then read back) before the next one is
+built: that cuts lineage, so a lost executor re-runs one layer, not the whole
+chain, and every test reads the stored table exactly as consumers will.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mercato.lake import Lake
+from mercato.operators import quality as Q
+from mercato.sources import catalog
+
+
+@dataclass
+class StageResult:
+    stage: str
+    status: str          # ok | failed | skipped
+    detail: str = ""
+
+
+def run_pipeline(spark: SparkSession, bronze: dict[str, DataFrame], root: str | None = None,
+                 forecast=None, stop_on_failure: bool = True) -> tuple[list[StageResult], dict[str, DataFrame]]:
+    """Run all stages; `forecast(models) -> DataFrame` is the optional last stage.
+    Returns the stage log and the materialised tables."""
+    root = root or catalog.fresh_root(spark)
+    log: list[StageResult] = []
+    tables: dict[str, DataFrame] = {}
+
+    def stop() -> bool:
+        return stop_on_failure and any(s.status == "failed" for s in log)
+
+    # bronze
+    for name, df in bronze.items():
+        tables[name] = catalog.materialize(df, spark, "bronze", name, root)
+    log.append(StageResult("bronze", "ok", f"{len(bronze)} tables"))
+
+    stored = Lake(spark, {n: tables[n] for n in bronze})
+    for name in Lake.SILVER:
+        tables[name] = catalog.materialize(stored.model(name), spark, "silver", name, root)
+    log.append(StageResult("silver", "ok"))
+
+    bad = Q.failed(Q.run_suite(tables, Q.SILVER_TESTS))
+    log.append(StageResult("silver_tests", "failed" if bad else "ok", repr(bad)))
+    if stop():
+        return _skip(log, ["gold", "gold_tests", "forecast"]), tables
+
+    silver = _SilverLake(spark, tables)
+    for name in Lake.GOLD:
+        tables[name] = catalog.materialize(silver.model(name), spark, "gold", name, root)
+    log.append(StageResult("gold", "ok"))
+
+    bad = Q.failed(Q.run_suite(tables, Q.GOLD_TESTS))
+    log.append(StageResult("gold_tests", "failed" if bad else "ok", repr(bad)))
+    if stop():
+        return _skip(log, ["forecast"]), tables
+
+    if forecast is not None:
+        tables["forecast"] = forecast(tables)
+        log.append(StageResult("forecast", "ok"))
+    return log, tables
+
+
+def _skip(log: list[StageResult], stages: list[str]) -> list[StageResult]:
+    return log + [StageResult(s, "skipped") for s in stages]
+
+
+class _SilverLake(Lake):
+    """A Lake whose silver models are the stored silver tables."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+        super().__init__(spark, {})
+        for name in Lake.SILVER:
+            self.__dict__[name] = tables[name]     # pre-fill the cached properties

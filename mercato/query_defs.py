@@ -405,3 +405,177 @@ def q_category_growth_mom(spark, sf_dir):
 def q_trend_last_30d(spark, sf_dir):
     lk = lake(spark, sf_dir)
     return B.trend_last_30d(lk.wide_exact, lk.positive_bounds)
+
+
+# ====================================================================== incremental (I)
+from mercato.operators import incremental as I  # noqa: E402
+from mercato.operators import quality as Q  # noqa: E402
+from mercato.plans import gold as G  # noqa: E402
+
+# --- scenario: what the first run had loaded (orders placed before this day) ---
+FIRST_RUN_BEFORE = "2000-01-01"
+REDELIVERED_FROM = "1999-01-01"   # an overlapping re-delivery for the upsert
+_T0 = f"t0_ AS (SELECT * FROM stg_orders WHERE order_date < DATE '{FIRST_RUN_BEFORE}')"
+
+
+def _first_run_orders(lk):
+    return lk.stg_orders.where(F.col("order_date") < F.to_date(F.lit(FIRST_RUN_BEFORE)))
+
+
+def _merge_sql(target: str, src: str, key: str) -> str:
+    return (f"SELECT * FROM {target} t WHERE NOT EXISTS (SELECT 1 FROM {src} s WHERE s.{key} = t.{key}) "
+            f"UNION ALL SELECT * FROM {src}")
+
+
+@register("incr_stg_orders", sql(
+    _merge_sql("t0_", "inc_", "order_id"),
+    extra_ctes=_T0 + ", inc_ AS (SELECT * FROM stg_orders WHERE order_id > "
+                     "(SELECT coalesce(max(order_id), 0) FROM t0_))"))
+def q_incr_stg_orders(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return I.incremental_model(lk.stg_orders, _first_run_orders(lk), "order_id", "order_id")
+
+
+@register("incr_stg_order_details", sql(
+    _merge_sql("t0d_", "incd_", "order_detail_id"),
+    extra_ctes=_T0 + ", t0d_ AS (SELECT * FROM stg_order_details WHERE order_id IN (SELECT order_id FROM t0_)), "
+                     "incd_ AS (SELECT * FROM stg_order_details WHERE order_id > "
+                     "(SELECT coalesce(max(order_id), 0) FROM t0d_))"))
+def q_incr_stg_order_details(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    target = lk.stg_order_details.join(_first_run_orders(lk).select("order_id"), "order_id", "left_semi")
+    return I.incremental_model(lk.stg_order_details, target, "order_id", "order_detail_id")
+
+
+@register("incr_fact_sales", sql(
+    _merge_sql("f0_", "incf_", "order_detail_id"),
+    extra_ctes=_T0 + ", f0_ AS (SELECT * FROM fact_sales WHERE order_id IN (SELECT order_id FROM t0_)), "
+                     "incf_ AS (SELECT * FROM fact_sales WHERE order_id > "
+                     "(SELECT coalesce(max(order_id), 0) FROM f0_))"))
+def q_incr_fact_sales(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    target = G.fact_sales(_first_run_orders(lk), lk.stg_order_details)
+    mark = I.watermark_col(target, "order_id")
+    # the mark filters the orders side; Catalyst infers it for the lines side too
+    src = G.fact_sales(lk.stg_orders.where(F.col("order_id") > mark), lk.stg_order_details)
+    return I.merge_by_key(target, src, "order_detail_id")
+
+
+@register("merge_by_key", sql(
+    _merge_sql("t0_", "src_", "order_id"),
+    extra_ctes=_T0 + f", src_ AS (SELECT * FROM stg_orders WHERE order_date >= DATE '{REDELIVERED_FROM}')"))
+def q_merge_by_key(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    src = lk.stg_orders.where(F.col("order_date") >= F.to_date(F.lit(REDELIVERED_FROM)))
+    return I.merge_by_key(_first_run_orders(lk), src, "order_id")
+
+
+@register("late_rows_dropped", sql(
+    "SELECT * FROM stg_orders s WHERE s.order_id <= (SELECT coalesce(max(order_id), 0) FROM t0_) "
+    "AND NOT EXISTS (SELECT 1 FROM t0_ t WHERE t.order_id = s.order_id)", extra_ctes=_T0))
+def q_late_rows_dropped(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return I.late_rows(lk.stg_orders, _first_run_orders(lk), "order_id", "order_id")
+
+
+# ====================================================================== sources / sinks (S)
+from mercato.sources import catalog as C  # noqa: E402
+from mercato.sources.schemas import BRONZE  # noqa: E402
+
+
+@register("bronze_overwrite", sql("SELECT * FROM b_orders"))
+def q_bronze_overwrite(spark, sf_dir):
+    lk, path = lake(spark, sf_dir), f"{C.fresh_root(spark)}/bronze/orders"
+    C.load_full(lk.bronze["orders"], path)
+    C.load_full(lk.bronze["orders"], path)       # a second full load replaces, not adds
+    return spark.read.parquet(path)
+
+
+@register("bronze_append", sql("SELECT * FROM b_orders UNION ALL SELECT * FROM b_orders"))
+def q_bronze_append(spark, sf_dir):
+    lk, path = lake(spark, sf_dir), f"{C.fresh_root(spark)}/bronze/orders"
+    C.load_full(lk.bronze["orders"], path)
+    C.load_append(lk.bronze["orders"], path)     # append keeps both copies
+    return spark.read.parquet(path)
+
+
+@register("align_to_schema", sql("SELECT * FROM b_order_details"))
+def q_align_to_schema(spark, sf_dir):
+    return C.align_to_schema(lake(spark, sf_dir).bronze["order_details"], BRONZE["order_details"])
+
+
+@register("materialize_table", sql("SELECT * FROM dim_products"))
+def q_materialize_table(spark, sf_dir):
+    return C.materialize(lake(spark, sf_dir).dim_products, spark, "gold", "dim_products", C.fresh_root(spark))
+
+
+_DECL = " UNION ALL ".join(f"SELECT 'bronze.{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM b_{t}"
+                           for t in BRONZE)
+
+
+@register("declared_schemas", sql(_DECL))
+def q_declared_schemas(spark, sf_dir):
+    lk, root = lake(spark, sf_dir), C.fresh_root(spark)
+    names = C.ensure_tables(spark, root)
+    for t in BRONZE:                                   # typed tables accept the adapter's frames
+        C.align_to_schema(lk.bronze[t], BRONZE[t]).write.insertInto(f"bronze.{t}", overwrite=True)
+    parts = [spark.table(n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+             for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("sample_rows")
+def q_sample_rows(spark, sf_dir):
+    return C.sample_rows(lake(spark, sf_dir).fact_sales, 10)
+
+
+# ====================================================================== data quality (D)
+@register("dq_unique", sql("SELECT order_detail_id, count(*) AS n_records FROM fact_sales "
+                           "WHERE order_detail_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"))
+def q_dq_unique(spark, sf_dir):
+    return Q.dq_unique(lake(spark, sf_dir).fact_sales, "order_detail_id")
+
+
+@register("dq_not_null", sql("SELECT * FROM stg_orders WHERE employee_id IS NULL"))
+def q_dq_not_null(spark, sf_dir):
+    return Q.dq_not_null(lake(spark, sf_dir).stg_orders, "employee_id")
+
+
+@register("dq_relationships", sql("SELECT f.employee_key AS from_field FROM fact_sales f WHERE f.employee_key IS NOT NULL "
+                                  "AND NOT EXISTS (SELECT 1 FROM dim_employees d WHERE d.employee_key = f.employee_key)"))
+def q_dq_relationships(spark, sf_dir):
+    lk = lake(spark, sf_dir)
+    return Q.dq_relationships(lk.fact_sales, "employee_key", lk.dim_employees, "employee_key")
+
+
+@register("dq_unique_combination", sql("SELECT order_id, product_key, count(*) AS n_records FROM fact_sales "
+                                       "GROUP BY 1, 2 HAVING count(*) > 1"))
+def q_dq_unique_combination(spark, sf_dir):
+    return Q.dq_unique_combination(lake(spark, sf_dir).fact_sales, ["order_id", "product_key"])
+
+
+@register("dq_expression", sql("SELECT * FROM wide_sales_forecast WHERE NOT coalesce("
+                               "(SELECT max(sale_date) FROM wide_sales_forecast) >= DATE '1998-01-01', false)"))
+def q_dq_expression(spark, sf_dir):
+    w = lake(spark, sf_dir).wide_sales_forecast
+    return Q.dq_expression(w, F.lit(w.agg(F.max("sale_date")).scalar() >= F.to_date(F.lit("1998-01-01"))))
+
+
+def _models(lk):
+    return {n: lk.model(n) for n in lk.SILVER + lk.GOLD}
+
+
+@register("dq_suite", sql(oracle.suite_sql(Q.SILVER_TESTS + Q.GOLD_TESTS)))
+def q_dq_suite(spark, sf_dir):
+    return Q.run_suite(_models(lake(spark, sf_dir)), Q.SILVER_TESTS + Q.GOLD_TESTS)
+
+
+@register("pipeline_run")
+def q_pipeline_run(spark, sf_dir):
+    from mercato.plans.pipeline import run_pipeline
+    from mercato.sources.driver import bronze_from_driver
+    log, _ = run_pipeline(spark, bronze_from_driver(spark, sf_dir))
+    return spark.createDataFrame([(s.stage, s.status, s.detail) for s in log], "stage string, status string, detail string")
