@@ -579,3 +579,169 @@ def q_pipeline_run(spark, sf_dir):
     from mercato.sources.driver import bronze_from_driver
     log, _ = run_pipeline(spark, bronze_from_driver(spark, sf_dir))
     return spark.createDataFrame([(s.stage, s.status, s.detail) for s in log], "stage string, status string, detail string")
+
+
+# ====================================================================== forecasting (F) and run records
+import datetime as _dt  # noqa: E402
+
+from mercato.operators import forecast as FC  # noqa: E402
+from mercato.sources import runs as RUNS  # noqa: E402
+
+_TRAINED: dict[tuple[str, str], dict] = {}
+
+
+def _training_series(spark, sf_dir):
+    """The retrain input: the overall daily series, positive days only (P-05)."""
+    return FC.prepare_series(S.active_period_positive(_series(spark, sf_dir)))
+
+
+def _trained(spark, sf_dir) -> dict:
+    """Train once per application and data folder; artefacts are written as
+    tables (coefficients, metrics, scores) and read back, like a stored model."""
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _TRAINED:
+        out = FC.train(spark, _training_series(spark, sf_dir))
+        root = C.fresh_root(spark)
+        stored = {}
+        for name in ("scores", "metrics", "final", "split"):
+            out[name].write.parquet(f"{root}/models/{name}")
+            stored[name] = spark.read.parquet(f"{root}/models/{name}")
+        stored["best"] = FC.best_params(stored["scores"])
+        stored["root"] = root
+        _TRAINED[k] = stored
+    return _TRAINED[k]
+
+
+@register("series_ds_y", sql("SELECT sale_date AS ds, total_revenue AS y FROM positive_"))
+def q_series_ds_y(spark, sf_dir):
+    return _training_series(spark, sf_dir).select("ds", "y")
+
+
+@register("chrono_split", sql(
+    "SELECT sale_date AS ds, total_revenue AS y, CASE WHEN row_number() OVER (ORDER BY sale_date) <= "
+    "floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM positive_"))
+def q_chrono_split(spark, sf_dir):
+    return FC.chrono_split(_training_series(spark, sf_dir)).select("ds", "y", "split")
+
+
+_LIN = ("lin_ AS (SELECT sale_date, CAST(sum(rev_) OVER w30 AS DOUBLE) / count(*) OVER w30 AS r30, "
+        "row_number() OVER (ORDER BY sale_date DESC) AS back_, count(*) OVER () AS n_ FROM positive_ "
+        "WINDOW w30 AS (ORDER BY sale_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), "
+        "lin_g_ AS (SELECT max(sale_date) AS last_date, arg_max(r30, sale_date) AS level, "
+        "arg_min(r30, sale_date) AS first_r30, count(*) AS w_, max(n_) AS n_ FROM lin_ WHERE back_ <= 30), "
+        "lin_p_ AS (SELECT last_date, level, (level - first_r30) / greatest(w_ - 1, 1) AS slope FROM lin_g_ "
+        "WHERE n_ >= 7), "
+        "lin_f_ AS (SELECT CAST(last_date + CAST(step AS INTEGER) AS DATE) AS ds, CAST(step AS INTEGER) AS step, "
+        "level + slope * step AS yhat, (level + slope * step) * 0.85 AS yhat_lower, "
+        "(level + slope * step) * 1.15 AS yhat_upper FROM lin_p_, range(1, 31) t(step))")
+
+
+@register("forecast_linear", sql("SELECT * FROM lin_f_", extra_ctes=_LIN))
+def q_forecast_linear(spark, sf_dir):
+    return FC.linear_projection(S.positive_days(_series(spark, sf_dir)), 30)
+
+
+@register("forecast_kpis", sql(
+    "SELECT sum(yhat) AS forecast_total, avg(yhat) AS forecast_daily_mean, arg_max(ds, yhat) AS peak_date, "
+    "max(yhat) AS peak_value FROM lin_f_", extra_ctes=_LIN))
+def q_forecast_kpis(spark, sf_dir):
+    return A.forecast_kpis(FC.linear_projection(S.positive_days(_series(spark, sf_dir)), 30))
+
+
+@register("fit_additive")
+def q_fit_additive(spark, sf_dir):
+    s = _training_series(spark, sf_dir)
+    defaults = spark.createDataFrame([("overall", 0.05, 10.0)], "series_key string, cps double, sps double")
+    return FC.fit_models(s, defaults, yearly=False)
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    return _trained(spark, sf_dir)["scores"]
+
+
+@register("evaluate_best")
+def q_evaluate_best(spark, sf_dir):
+    return _trained(spark, sf_dir)["metrics"]
+
+
+@register("forecast_error")
+def q_forecast_error(spark, sf_dir):
+    t = _trained(spark, sf_dir)
+    pairs, _ = FC.evaluate_best(t["split"], t["best"], yearly=False)
+    return A.forecast_error(pairs, keys=("series_key",))
+
+
+@register("fit_final")
+def q_fit_final(spark, sf_dir):
+    return _trained(spark, sf_dir)["final"]
+
+
+@register("forecast_30")
+def q_forecast_30(spark, sf_dir):
+    t = _trained(spark, sf_dir)
+    return FC.forecast(t["final"], t["split"].drop("split"), 30)
+
+
+@register("future_only")
+def q_future_only(spark, sf_dir):
+    return FC.future_only(q_forecast_30(spark, sf_dir))
+
+
+@register("day_forecast_table")
+def q_day_forecast_table(spark, sf_dir):
+    return FC.day_forecast_table(q_forecast_30(spark, sf_dir))
+
+
+@register("forecast_vs_history")
+def q_forecast_vs_history(spark, sf_dir):
+    t = _trained(spark, sf_dir)
+    return FC.forecast_vs_history(t["split"].drop("split"), q_forecast_30(spark, sf_dir))
+
+
+@register("validation_forecast")
+def q_validation_forecast(spark, sf_dir):
+    """reload the stored coefficients and forecast 5 days past the history"""
+    t = _trained(spark, sf_dir)
+    model = spark.read.parquet(f"{t['root']}/models/final")
+    return FC.future_only(FC.forecast(model, None, 5))
+
+
+def _history_root(spark, sf_dir) -> str:
+    """Two retrain runs recorded, plus one malformed record file."""
+    t = _trained(spark, sf_dir)
+    root = C.fresh_root(spark)
+    for stamp in ("20240101_020000", "20240102_020000"):
+        RUNS.write_run_record(RUNS.run_record(t["metrics"], t["final"], stamp), root, stamp)
+    spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(
+        f"{root}/models/metrics_overall_bad.json")
+    return root
+
+
+@register("metrics_sink")
+def q_metrics_sink(spark, sf_dir):
+    t = _trained(spark, sf_dir)
+    root, stamp = C.fresh_root(spark), _dt.datetime.now().strftime("%Y%m%d_%H%M%S")
+    path = RUNS.write_run_record(RUNS.run_record(t["metrics"], t["final"], stamp), root, stamp)
+    return spark.read.schema("model_key string, mae double, rmse double, mean_test_revenue double, "
+                             "meets_threshold boolean, train_end_date string, trained_at string").json(path)
+
+
+@register("training_history")
+def q_training_history(spark, sf_dir):
+    return RUNS.training_history(spark, _history_root(spark, sf_dir))
+
+
+@register("latest_model")
+def q_latest_model(spark, sf_dir):
+    return RUNS.latest_model(RUNS.training_history(spark, _history_root(spark, sf_dir)))
+
+
+@register("run_kpis")
+def q_run_kpis(spark, sf_dir):
+    return A.run_kpis(RUNS.training_history(spark, _history_root(spark, sf_dir)))
+
+
+@register("latest_first_history")
+def q_latest_first_history(spark, sf_dir):
+    return L.latest_first_history(RUNS.training_history(spark, _history_root(spark, sf_dir)))

@@ -51,3 +51,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `mercato` importable in Python workers (needed by applyInPandas).
+
+    Zips the package once per SparkContext and registers it with `addPyFile`,
+    which distributes it to every executor (the usual way to ship code to a
+    cluster).  The zip is built in a driver temp folder; Spark serves it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_mercato_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="mercato-pkg-"), "mercato.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._mercato_shipped = True
