@@ -62,3 +62,28 @@ def spine_from_bounds(bounds: DataFrame, start_col: str, end_col: str, name: str
                                                F.expr("INTERVAL 1 DAY"))).alias(name),
                           F.col(end_col).alias("_end"))
             .where(F.col(name) < F.col("_end")).drop("_end"))
+
+
+def with_dense_index(df: DataFrame, name: str = "_idx") -> DataFrame:
+    """Attach a dense 0-based row index without a single-partition window.
+
+    Rows keep their partition; each partition's offset is the running total of
+    the row counts of the partitions before it (one small aggregate over
+    partition ids, broadcast back).  Requires a deterministic `df` (it is
+    evaluated twice), e.g. a scan plus projections."""
+    from pyspark.sql import Window
+
+    tmp = df.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    counts = tmp.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (tmp.join(F.broadcast(offsets), "_pid")             # one row per partition
+            .withColumn(name, F.col("_off") + local).drop("_pid", "_mid", "_off"))
+
+
+def uniform(seed: int, *parts) -> Column:
+    """Deterministic U[0,1) from a hash of (seed, parts…) — the same value for
+    the same key whatever the partitioning."""
+    h = F.xxhash64(F.lit(seed), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53)))

@@ -283,3 +283,40 @@ def suite_sql(suite) -> str:
                              f"SELECT count(*) FROM {m} WHERE NOT coalesce((SELECT max(sale_date) FROM {m}) "
                              f">= DATE '1998-01-01', false)"))
     return "\nUNION ALL\n".join(parts)
+
+
+
+
+def q(s: str) -> str:
+    """SQL string literal"""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, {q(r'^\s+|\s+$')}, '', 'g')"
+
+
+NOT_WORD = r"([^\pL\pN_]|$)"
+
+
+def screening_sql(src: str, text: str, keep: list[str], keywords, fence: str, block: str, line: str) -> str:
+    """R-01 in DuckDB: the same regexes (RE2), replace-all via the 'g' flag."""
+    no_fence = _strip(f"regexp_replace({text}, {q(fence)}, '', 'g')")
+    cleaned = _strip(f"regexp_replace({no_fence}, {q(';+$')}, '', 'g')")
+    nocom = f"regexp_replace(regexp_replace(cleaned_, {q(block)}, ' ', 'g'), {q(line)}, ' ', 'g')"
+    # RE2 has no look-around: a boundary is "start/end or a non-word character"
+    first = "coalesce(" + ", ".join(
+        f"CASE WHEN regexp_matches(nocom_, {q(r'(?i)(^|[^\pL\pN_])' + k + NOT_WORD)}) THEN {q(k)} END"
+        for k in keywords) + ")"
+    lead = r"(?i)^\s*(SELECT|WITH)" + NOT_WORD
+    verdict = (f"CASE WHEN {text} IS NULL OR {_strip(text)} = '' THEN 'empty' "
+               f"WHEN strpos(nocom_, ';') > 0 THEN 'multiple' "
+               f"WHEN NOT regexp_matches({_strip('nocom_')}, {q(lead)}) THEN 'not_select' "
+               f"WHEN first_forbidden IS NOT NULL THEN 'forbidden' ELSE 'ok' END")
+    cols = ", ".join(keep)
+    return (f"SELECT {cols}, verdict, CASE WHEN verdict = 'forbidden' THEN first_forbidden END AS keyword, "
+            f"CASE WHEN verdict = 'ok' THEN cleaned_ END AS cleaned, first_forbidden FROM ("
+            f"SELECT *, {verdict} AS verdict FROM ("
+            f"SELECT *, {first} AS first_forbidden FROM ("
+            f"SELECT *, {nocom} AS nocom_ FROM ("
+            f"SELECT *, {cleaned} AS cleaned_ FROM {src}) a) b) c) d")

@@ -745,3 +745,68 @@ def q_run_kpis(spark, sf_dir):
 @register("latest_first_history")
 def q_latest_first_history(spark, sf_dir):
     return L.latest_first_history(RUNS.training_history(spark, _history_root(spark, sf_dir)))
+
+
+# ====================================================================== keys, generators, screening (X, R)
+from mercato.functions import keys as K  # noqa: E402
+from mercato.operators import screening as R  # noqa: E402
+from mercato.operators import synthetic as X  # noqa: E402
+
+
+@register("surrogate_key", sql(
+    f"SELECT order_id, product_id, order_detail_id, {oracle.sk('order_id', 'product_id')} AS detail_key, "
+    "md5(order_detail_id) AS detail_key_from_text FROM stg_order_details"))
+def q_surrogate_key(spark, sf_dir):
+    d = lake(spark, sf_dir).stg_order_details
+    return d.select("order_id", "product_id", "order_detail_id",
+                    K.surrogate_key("order_id", "product_id").alias("detail_key"),
+                    F.md5("order_detail_id").alias("detail_key_from_text"))
+
+
+@register("date_spine", sql(
+    "SELECT CAST(unnest(generate_series(CAST(min(order_date) AS TIMESTAMP), CAST(max(order_date) AS TIMESTAMP), "
+    "INTERVAL 1 DAY)) AS DATE) AS date_day FROM stg_orders"))
+def q_date_spine(spark, sf_dir):
+    b = lake(spark, sf_dir).stg_orders.agg(F.min("order_date").alias("s"),
+                                           F.date_add(F.max("order_date"), 1).alias("e"))
+    return K.spine_from_bounds(b, "s", "e")
+
+
+@register("screen_sql_log", sql(oracle.screening_sql("conversations", "text", ["conv_id", "turn", "role"],
+                                                     R.FORBIDDEN_KEYWORDS, R.FENCE, R.BLOCK_COMMENT,
+                                                     R.LINE_COMMENT)))
+def q_screen_sql_log(spark, sf_dir):
+    from mercato.sources.driver import read_driver
+    conv = read_driver(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return R.screen(conv, "text").drop("text")
+
+
+@register("top_customers_display", sql(
+    "SELECT company_name, country, city, '$' || format('{:,.0f}', total_revenue) AS total_revenue_fmt, orders, "
+    "'$' || format('{:,.2f}', aov) AS aov_fmt FROM (" + oracle.PRELUDE.split('WITH ', 1)[0] +
+    f"SELECT dc.company_name, dc.country, dc.city, CAST(sum({rev('f.')}) AS DOUBLE) AS total_revenue, "
+    "CAST(count(DISTINCT f.order_id) AS BIGINT) AS orders, "
+    f"CAST(sum({rev('f.')}) AS DOUBLE) / NULLIF(count(DISTINCT f.order_id), 0) AS aov "
+    "FROM fact_range_ f JOIN dim_customers dc ON f.customer_key = dc.customer_key "
+    "GROUP BY dc.company_name, dc.country, dc.city "
+    "ORDER BY total_revenue DESC NULLS LAST, company_name, country, city LIMIT 10) t"))
+def q_top_customers_display(spark, sf_dir):
+    """C-17: the top-customer table formatted for display ($1,234 / $1,234.56)."""
+    t = q_top_customers(spark, sf_dir)
+    return t.select("company_name", "country", "city",
+                    F.concat(F.lit("$"), F.format_number("total_revenue", 0)).alias("total_revenue_fmt"), "orders",
+                    F.concat(F.lit("$"), F.format_number("aov", 2)).alias("aov_fmt"))
+
+
+@register("synthetic_orders")
+def q_synthetic_orders(spark, sf_dir):
+    b = lake(spark, sf_dir).bronze
+    return X.synthetic_orders(b["orders"], b["customers"], b["employees"], **{k: v for k, v in X.DEFAULTS.items()
+                                                                            if k != "max_lines"})
+
+
+@register("synthetic_lines")
+def q_synthetic_lines(spark, sf_dir):
+    b = lake(spark, sf_dir).bronze
+    o = q_synthetic_orders(spark, sf_dir)
+    return X.synthetic_lines(o, b["products"], X.DEFAULTS["max_lines"], X.DEFAULTS["seed"])
