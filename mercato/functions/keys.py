@@ -64,22 +64,27 @@ def spine_from_bounds(bounds: DataFrame, start_col: str, end_col: str, name: str
             .where(F.col(name) < F.col("_end")).drop("_end"))
 
 
-def with_dense_index(df: DataFrame, name: str = "_idx") -> DataFrame:
-    """Attach a dense 0-based row index without a single-partition window.
-
-    Rows keep their partition; each partition's offset is the running total of
-    the row counts of the partitions before it (one small aggregate over
-    partition ids, broadcast back).  Requires a deterministic `df` (it is
-    evaluated twice), e.g. a scan plus projections."""
+def with_dense_index(df: DataFrame, name: str = "_idx", key: str | list[str] | None = None,
+                     buckets: int = 256) -> DataFrame:
+    """Attach a dense 0-based index that depends only on the rows, not on how
+    they are partitioned, without a single-partition window.
+
+    Rows are spread over `buckets` hash buckets of `key` (all columns by
+    default); inside a bucket they are ranked by the key (a window partitioned
+    by bucket — `buckets` parallel sorts); a bucket's offset is the running
+    total of the sizes of the buckets before it (one aggregate of `buckets`
+    rows, broadcast back).  Keys must be unique for the index to be unique."""
     from pyspark.sql import Window
 
-    tmp = df.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    counts = tmp.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tmp.join(F.broadcast(offsets), "_pid")             # one row per partition
-            .withColumn(name, F.col("_off") + local).drop("_pid", "_mid", "_off"))
+    keys = [key] if isinstance(key, str) else list(key or df.columns)
+    b = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).alias("_b")
+    tmp = df.select("*", b)
+    tmp = tmp.select("*", F.row_number().over(Window.partitionBy("_b").orderBy(*keys)).alias("_r"))
+    sizes = df.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (tmp.join(F.broadcast(offsets), "_b")                 # ≤ `buckets` rows
+            .withColumn(name, F.col("_off") + F.col("_r") - 1).drop("_b", "_r", "_off"))
 
 
 def uniform(seed: int, *parts) -> Column:

@@ -10,7 +10,7 @@ positive), quantity 1..30 and a discount drawn from a fixed list.
 Every random draw is a hash of (seed, id, field), so the output depends only
 on the seed and the inputs — not on partitioning or task order.  (It cannot
 reproduce any particular PRNG stream; tests check properties.)  Dimension
-rows are picked by a dense index (partition offsets), joined to the small
+rows are picked by a dense index (hash-bucket ranks), joined to the small
 generated frame, which is broadcast (its size is set by the parameters).
 """
 
@@ -70,8 +70,8 @@ def synthetic_orders(orders: DataFrame, customers: DataFrame, employees: DataFra
                  F.lit("Synthetic City").alias("ship_city"), F.lit(None).cast("string").alias("ship_region"),
                  _randint(uniform(seed, "zip", oid), 10000, 99999).cast("string").alias("ship_postal_code"),
                  F.lit("Synthland").alias("ship_country"))
-    c = with_dense_index(customers.select("customer_id"), "_ci")
-    e = with_dense_index(employees.select("employee_id"), "_ei")
+    c = with_dense_index(customers.select("customer_id"), "_ci", "customer_id")
+    e = with_dense_index(employees.select("employee_id"), "_ei", "employee_id")
     # the generated frame is small by construction (days × per_day): broadcast it
     with_c = F.broadcast(o).join(c, "_ci")
     with_e = F.broadcast(o.select("order_id", "_ei")).join(e, "_ei").select("order_id", "employee_id")
@@ -91,7 +91,7 @@ def synthetic_lines(new_orders: DataFrame, products: DataFrame, max_lines: int =
              .select("order_id", "_start", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("line"))
              # consecutive indexes from a random start: distinct within the order
              .select("order_id", "line", ((F.col("_start") + F.col("line")) % F.lit(npr)).alias("_pi")))
-    p = with_dense_index(products.select("product_id", "unit_price"), "_pi")
+    p = with_dense_index(products.select("product_id", "unit_price"), "_pi", "product_id")
     j = F.broadcast(lines).join(p, "_pi")
     key = [oid, F.col("line")]
     base = F.coalesce(F.col("unit_price"), F.lit(0.0))
