@@ -26,8 +26,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_LAKES: dict[tuple[str, str], Lake] = {}
+
+
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
-    return Lake.from_driver(spark, sf_dir)
+    """One Lake (lazy plans, no data) per session and data folder: the models
+    are defined once and every query builds on the same plan objects, the
+    way views are defined once and queried many times."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LAKES:
+        _LAKES[key] = Lake.from_driver(spark, sf_dir)
+    return _LAKES[key]
 
 
 # ---------------------------------------------------------------- models

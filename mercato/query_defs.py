@@ -24,10 +24,11 @@ sql = oracle.sql
 
 def _range(lk):
     """(start, end) Columns of the default date range, as scalar subqueries."""
-    b = lk.positive_bounds
-    start = b.select(F.coalesce("mn", F.to_date(F.lit(A.FALLBACK_RANGE[0])))).scalar()
-    end = b.select(F.coalesce("mx", F.to_date(F.lit(A.FALLBACK_RANGE[1])))).scalar()
-    return start, end
+    # one struct-valued subquery used twice: Spark runs it once (subquery reuse)
+    b = lk.positive_bounds.select(F.struct(
+        F.coalesce("mn", F.to_date(F.lit(A.FALLBACK_RANGE[0]))).alias("s"),
+        F.coalesce("mx", F.to_date(F.lit(A.FALLBACK_RANGE[1]))).alias("e"))).scalar()
+    return b.getField("s"), b.getField("e")
 
 
 def _series(spark, sf_dir):

@@ -33,8 +33,34 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# a scan smaller than this is left as it is, whatever its partition count
+MIN_SPREAD_BYTES = 4 << 20
+
+
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def spread_scan(df: DataFrame, size_bytes: int) -> DataFrame:
+    """Input-parallelism guard.  A parquet scan gets one task per row group,
+    so a big table stored as a single row group is scanned — and, behind
+    broadcast joins, processed end to end — by one task.  When a scan has
+    fewer partitions than the cluster's parallelism and is large enough to
+    matter, spread it round-robin.  On real data (thousands of files) the
+    scan already has more partitions than cores and this is a no-op."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if size_bytes >= MIN_SPREAD_BYTES and df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spread_scan(spark.read.parquet(path), _path_bytes(spark, path))
 
 
 def _fill(df: DataFrame, table: str) -> DataFrame:
@@ -135,5 +161,31 @@ BUILDERS = {
 }
 
 
+class LazyTables(dict):
+    """A dict of bronze frames built on first access (a query touching two
+    tables does not plan — or list the files of — the other five)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = BUILDERS[name](self._spark, self._dir)
+        self[name] = df
+        return df
+
+    def keys(self):
+        return BUILDERS.keys()
+
+    def items(self):
+        return [(n, self[n]) for n in BUILDERS]
+
+    def __iter__(self):
+        return iter(BUILDERS)
+
+    def __len__(self):
+        return len(BUILDERS)
+
+
 def bronze_from_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: build(spark, sf_dir) for name, build in BUILDERS.items()}
+    return LazyTables(spark, sf_dir)
