@@ -122,12 +122,24 @@ def _quartiles(y: str = "total_revenue") -> list[Column]:
             F.percentile(y, 0.75).alias("q3")]
 
 
+def exact_std(c: str = EXACT) -> Column:
+    """Sample standard deviation from exact sums: Σx and Σx² accumulate as
+    DECIMAL (x at 4 places, money precision), combined once in DOUBLE — the
+    same value whatever the partitioning (a streaming-moment std is not)."""
+    x = F.col(c).cast("decimal(18,4)")
+    n = F.count(x)
+    s1, s2 = F.sum(x).cast("double"), F.sum(x * x).cast("double")
+    var = (s2 - s1 * s1 / n) / (n - 1)
+    return F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+
+
 def describe_series(series: DataFrame, y: str = "total_revenue") -> DataFrame:
     """A-11: count, mean, sample std, min, quartiles, max (+ non-null count)."""
-    mean = (F.sum(EXACT).cast("double") / F.count(EXACT)) if EXACT in series.columns else F.avg(y)
+    exact = EXACT in series.columns
+    mean = (F.sum(EXACT).cast("double") / F.count(EXACT)) if exact else F.avg(y)
+    std = exact_std() if exact else F.stddev_samp(y)
     return series.agg(F.count(F.lit(1)).alias("n_rows"), F.count(y).alias("count"), mean.alias("mean"),
-                      F.stddev_samp(y).alias("std"), F.min(y).alias("min"), *_quartiles(y),
-                      F.max(y).alias("max"))
+                      std.alias("std"), F.min(y).alias("min"), *_quartiles(y), F.max(y).alias("max"))
 
 
 def iqr_outliers(series: DataFrame, y: str = "total_revenue") -> DataFrame:

@@ -228,7 +228,10 @@ def q_monthly_revenue(spark, sf_dir):
 
 @register("describe_series", sql(
     "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(total_revenue) AS BIGINT) AS count, "
-    "CAST(sum(rev_) AS DOUBLE) / count(rev_) AS mean, stddev_samp(total_revenue) AS std, "
+    "CAST(sum(rev_) AS DOUBLE) / count(rev_) AS mean, CASE WHEN count(rev_) > 1 THEN sqrt(greatest("
+    "(CAST(sum(CAST(CAST(rev_ AS DECIMAL(18,4)) AS DECIMAL(38,4)) * CAST(rev_ AS DECIMAL(18,4))) AS DOUBLE) - "
+    "CAST(sum(CAST(rev_ AS DECIMAL(18,4))) AS DOUBLE) * CAST(sum(CAST(rev_ AS DECIMAL(18,4))) AS DOUBLE) "
+    "/ count(rev_)) / (count(rev_) - 1), 0.0)) END AS std, "
     "min(total_revenue) AS min, max(total_revenue) AS max, q.q1, q.median, q.q3 FROM active_, "
     f"({spark_percentiles('active_', 'total_revenue', {'q1': 0.25, 'median': 0.5, 'q3': 0.75})}) q "
     "GROUP BY q.q1, q.median, q.q3"))
