@@ -1,6 +1,6 @@
 """Adapter: the driver's TPC-H-like tables → the seven bronze tables.
 
-The retail model expects a Northwind-shaped source (orders, order lines,
+The retail model expects a classic order-entry source (orders, order lines,
 products, categories, suppliers, employees, customers).  The driver ships a
 TPC-H-like star instead, so each bronze table is derived here, lazily, with
 plain DataFrame operations:
