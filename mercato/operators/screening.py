@@ -50,8 +50,14 @@ def strip_comments(sql: Column) -> Column:
 
 
 def first_forbidden(sql: Column) -> Column:
-    """first keyword of the list that occurs as a whole word (case-insensitive)"""
-    return F.coalesce(*[F.when(sql.rlike(rf"(?i)(?<!{WORD}){kw}(?!{WORD})"), F.lit(kw)) for kw in FORBIDDEN_KEYWORDS])
+    """first keyword of the list that occurs as a whole word (case-insensitive).
+
+    One scan with the alternation of all keywords decides whether any is
+    present; only then is the list walked in order (CASE evaluates lazily)."""
+    any_kw = rf"(?i)(?<!{WORD})(?:{'|'.join(FORBIDDEN_KEYWORDS)})(?!{WORD})"
+    in_order = F.coalesce(*[F.when(sql.rlike(rf"(?i)(?<!{WORD}){kw}(?!{WORD})"), F.lit(kw))
+                            for kw in FORBIDDEN_KEYWORDS])
+    return F.when(sql.rlike(any_kw), in_order)
 
 
 def screen(df: DataFrame, text: str = "text") -> DataFrame:

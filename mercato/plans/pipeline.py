@@ -73,7 +73,7 @@ def _skip(log: list[StageResult], stages: list[str]) -> list[StageResult]:
 class _SilverLake(Lake):
     """A Lake whose silver models are the stored silver tables."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        super().__init__(spark, {})
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], spine=None):
+        super().__init__(spark, {}, spine=spine)
         for name in Lake.SILVER:
             self.__dict__[name] = tables[name]     # pre-fill the cached properties

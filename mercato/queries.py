@@ -39,6 +39,16 @@ def lake(spark: SparkSession, sf_dir: str) -> Lake:
     return _LAKES[key]
 
 
+def materialize_lake(spark: SparkSession, sf_dir: str, root: str | None = None) -> Lake:
+    """Build silver and gold once into the shared warehouse; every later query
+    of this session on `sf_dir` reads the stored tables."""
+    from mercato.sources.catalog import fresh_root
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    stored = Lake.from_driver(spark, sf_dir).materialize(root or f"{fresh_root(spark)}/lake")
+    _LAKES[key] = stored
+    return stored
+
+
 # ---------------------------------------------------------------- models
 def _model_query(model: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -591,7 +591,7 @@ import datetime as _dt  # noqa: E402
 from mercato.operators import forecast as FC  # noqa: E402
 from mercato.sources import runs as RUNS  # noqa: E402
 
-_TRAINED: dict[tuple[str, str], dict] = {}
+_TRAINED: dict[int, dict] = {}
 
 
 def _training_series(spark, sf_dir):
@@ -602,7 +602,7 @@ def _training_series(spark, sf_dir):
 def _trained(spark, sf_dir) -> dict:
     """Train once per application and data folder; artefacts are written as
     tables (coefficients, metrics, scores) and read back, like a stored model."""
-    k = (spark.sparkContext.applicationId, sf_dir)
+    k = id(lake(spark, sf_dir))          # one training per lake (raw or stored)
     if k not in _TRAINED:
         out = FC.train(spark, _training_series(spark, sf_dir))
         root = C.fresh_root(spark)

@@ -13,3 +13,14 @@ def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 100
+
+
+def test_stored_lake_answers_like_the_lazy_one(spark, sf_small):
+    from mercato.lake import Lake
+    from mercato.sources.catalog import fresh_root
+    lazy = Lake.from_driver(spark, sf_small)
+    stored = lazy.materialize(fresh_root(spark) + "/lake")
+    for name in ("wide_sales_forecast", "fact_sales", "dim_products"):
+        a, b = lazy.model(name), stored.model(name)
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
