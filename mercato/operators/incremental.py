@@ -81,5 +81,21 @@ def late_rows(source: DataFrame, target: DataFrame, id_col: str, key: str | list
 
 def incremental_model(source: DataFrame, target: DataFrame | None, id_col: str, key: str | list[str],
                       mark: int | Column | None = None) -> DataFrame:
-    """One incremental run: filter by the mark, then merge by key."""
+    """One incremental run: filter by the mark, then merge by key (the full
+    target after the run)."""
     return merge_by_key(target, incremental_source(source, target, id_col, mark), key)
+
+
+def increment_is_append(id_col: str, key: str | list[str], key_contains_id: bool = False) -> bool:
+    """True when the merge of an id-watermarked increment cannot match any
+    existing row: the key is the id itself, or is declared to determine it
+    (e.g. a hash of (order_id, product_id)).  Every new row's id is above the
+    mark, every stored row's id at or below it, so their keys differ."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return key_contains_id or id_col in keys
+
+
+def increment(source: DataFrame, target: DataFrame | None, id_col: str,
+              mark: int | Column | None = None) -> DataFrame:
+    """Only the new rows of a run (what an append-only commit writes)."""
+    return incremental_source(source, target, id_col, mark)

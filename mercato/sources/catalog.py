@@ -85,12 +85,15 @@ def list_tables(spark: SparkSession, namespaces=LAYERS) -> DataFrame:
 
 
 class VersionedTable:
-    """A table stored as numbered immutable versions `<path>/v=<n>`.
-
-    `commit(df)` writes version n+1 (Spark's `_SUCCESS` marks it complete) and
-    never touches the version being read, so a merge may read the current
-    version and write the next one in the same job.  `current()` reads the
-    newest complete version.  Old versions stay until `vacuum(keep)`.
+    """A table stored as numbered versions `<path>/v=<n>/base` (+ `delta-*`).
+
+    `commit(df)` writes version n+1 as a complete new copy (Spark's `_SUCCESS`
+    marks it complete) and never touches the version being read, so a merge
+    may read the current version and write the next one in the same job.
+    `append(df)` adds a delta folder to the current version — only the new
+    rows are written (the incremental case).  `current()` reads the newest
+    complete version with its committed deltas.  Old versions stay until
+    `vacuum(keep)`.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -106,20 +109,45 @@ class VersionedTable:
         out = []
         for st in self._fs.listStatus(root):
             name = st.getPath().getName()
-            if name.startswith("v=") and self._fs.exists(self._P(st.getPath(), "_SUCCESS")):
+            if name.startswith("v=") and self._fs.exists(self._P(st.getPath(), "base/_SUCCESS")):
                 out.append(int(name[2:]))
         return sorted(out)
 
+    def _parts(self, n: int) -> list[str]:
+        root = f"{self.path}/v={n}"
+        parts = [f"{root}/base"]
+        for st in self._fs.listStatus(self._P(root)):
+            p = st.getPath()
+            if st.isDirectory() and p.getName().startswith("delta-") and self._fs.exists(self._P(p, "_SUCCESS")):
+                parts.append(p.toString())
+        return parts
+
     def current(self) -> DataFrame | None:
         v = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v={v[-1]}") if v else None
+        if not v:
+            return None
+        parts = self._parts(v[-1])
+        base = self.spark.read.parquet(parts[0])
+        for p in parts[1:]:
+            base = base.unionByName(self.spark.read.parquet(p))
+        return base
 
     def commit(self, df: DataFrame) -> int:
         v = self.versions()
         n = (v[-1] + 1) if v else 1
-        df.write.mode("errorifexists").parquet(f"{self.path}/v={n}")
+        df.write.mode("errorifexists").parquet(f"{self.path}/v={n}/base")
         return n
 
+    def append(self, df: DataFrame) -> int:
+        """Write `df` as a committed delta of the current version (creates
+        version 1 when there is none).  Readers that listed the version before
+        the delta's `_SUCCESS` appeared do not see it."""
+        v = self.versions()
+        if not v:
+            return self.commit(df)
+        df.write.mode("errorifexists").parquet(f"{self.path}/v={v[-1]}/delta-{uuid.uuid4().hex}")
+        return v[-1]
+
     def vacuum(self, keep: int = 2) -> None:
         for n in self.versions()[:-keep]:
             self._fs.delete(self._P(f"{self.path}/v={n}"), True)

@@ -7,7 +7,9 @@ versioned target with the high-water-mark rule of the incremental models:
     readStream(parquet, landing) ─► foreachBatch:
         target = current version
         rows   = transform(batch) where id > COALESCE(MAX(target.id), 0)
-        commit merge_by_key(target, rows, key) as the next version
+        commit merge_by_key(target, rows, key) as the next version — or, when
+        the key contains the id (no new row can match an old one), append
+        only the new rows as a delta of the current version
 
 `trigger(availableNow=True)` processes everything that arrived since the
 last run and stops — one scheduled run equals one incremental model run;
@@ -29,24 +31,30 @@ from mercato.sources.catalog import VersionedTable
 
 
 def merge_batch(target: VersionedTable, transform: Callable[[DataFrame], DataFrame], id_col: str,
-                key: str | list[str]) -> Callable[[DataFrame, int], None]:
+                key: str | list[str], key_contains_id: bool = False) -> Callable[[DataFrame, int], None]:
+    append_only = I.increment_is_append(id_col, key, key_contains_id)
+
     def run(batch: DataFrame, epoch_id: int) -> None:
         current = target.current()
         rows = transform(batch)
         mark = I.watermark(current, id_col)             # one scalar → literal filter
         new = I.incremental_source(rows, current, id_col, mark)
-        target.commit(I.merge_by_key(current, new, key))
+        if append_only:
+            target.append(new)                          # O(new rows): the target is not rewritten
+        else:
+            target.commit(I.merge_by_key(current, new, key))
     return run
 
 
 def start_incremental_stream(spark: SparkSession, landing: str, schema: T.StructType, target: VersionedTable,
                              checkpoint: str, transform: Callable[[DataFrame], DataFrame], id_col: str,
-                             key: str | list[str], files_per_batch: int | None = None, available_now: bool = True):
+                             key: str | list[str], files_per_batch: int | None = None, available_now: bool = True,
+                             key_contains_id: bool = False):
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     w = (reader.parquet(landing).writeStream
-         .foreachBatch(merge_batch(target, transform, id_col, key))
+         .foreachBatch(merge_batch(target, transform, id_col, key, key_contains_id))
          .option("checkpointLocation", checkpoint))
     if available_now:
         w = w.trigger(availableNow=True)

@@ -70,3 +70,14 @@ def test_versioned_table(spark):
     assert t.versions() == [1, 2] and t.current().count() == 5
     t.vacuum(keep=1)
     assert t.versions() == [2]
+
+
+def test_append_only_increment(spark, src):
+    assert I.increment_is_append("id", "id") and not I.increment_is_append("id", "other")
+    t = VersionedTable(spark, fresh_root(spark) + "/inc")
+    t.append(src.where("id <= 2"))                        # creates v=1
+    new = I.increment(src, t.current(), "id", I.watermark(t.current(), "id"))
+    t.append(new)                                          # only ids 3 and 5 are written
+    assert t.versions() == [1]
+    assert sorted(r.id for r in t.current().collect()) == [1, 2, 3, 5]
+    assert I.increment(src, t.current(), "id", I.watermark(t.current(), "id")).count() == 0
