@@ -33,11 +33,21 @@ def money(c: Column) -> Column:
 
 
 # ------------------------------------------------------------------ fact-level KPIs
+def _key_of(v) -> Column:
+    return F.date_format(_d(v), "yyyyMMdd").cast("int")
+
+
 def fact_in_range(fact: DataFrame, dim_date: DataFrame, start, end) -> DataFrame:
-    """fact ⋈ dim_date with the inclusive date filter applied on the (small) dim side."""
+    """fact ⋈ dim_date with the inclusive date filter.
+
+    The filter is applied to the (calendar-bounded, broadcast) date dimension
+    and, redundantly, to the fact's smart date key: with literal dates that
+    second filter is a parquet `PushedFilter`, so a fact clustered or
+    partitioned by date key is read only for the range."""
     d = F.broadcast(dim_date.select("date_key", "full_date")
                     .where(F.col("full_date").between(_d(start), _d(end))))
-    return fact.join(d, "date_key")
+    f = fact.where(F.col("date_key").between(_key_of(start), _key_of(end)))
+    return f.join(d, "date_key")
 
 
 def kpi_overview(fact: DataFrame, dim_date: DataFrame, start, end) -> DataFrame:
