@@ -114,34 +114,48 @@ class Lake:
     # ---- materialisation ----
     STORED = SILVER + ("dim_customers", "dim_products", "dim_employees", "dim_date", "fact_sales",
                        "wide_exact", "daily_cat")
+    # build order: each wave is planned from the stored tables of the waves before it
+    WAVES = (SILVER, ("dim_customers", "dim_products", "dim_employees", "dim_date", "fact_sales"),
+             ("wide_exact", "daily_cat"))
 
-    def materialize(self, root: str) -> "Lake":
+    def materialize(self, root: str, threads: int = 4) -> "Lake":
         """Write silver and gold under `root` (a shared folder) and return a
-        Lake whose models read the stored tables.  Each layer is written before
-        the next is planned from it, which also cuts lineage: a lost executor
-        recomputes at most one layer.  The fact is clustered by date key
-        (sorted within files), so date-range reads skip row groups."""
-        from mercato.plans.pipeline import _SilverLake
-
-        def store(name: str, df: DataFrame) -> DataFrame:
-            path = f"{root.rstrip('/')}/{name}"
+        Lake whose models read the stored tables.
+
+        Tables are built in dependency waves; the independent tables of a wave
+        are written concurrently (`threads` jobs on one session, as a
+        model runner runs several models at once).  Each wave is planned from
+        the stored output of the previous ones, which also cuts lineage: a lost
+        executor recomputes at most one layer.  The fact is clustered by date
+        key (sorted within files), so date-range reads skip row groups."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        def store(source: "Lake", name: str) -> tuple[str, DataFrame]:
+            df = source.model(name)
             if name == "fact_sales":
                 df = df.sortWithinPartitions("date_key")
+            path = f"{root.rstrip('/')}/{name}"
             df.write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path)
+            return name, self.spark.read.parquet(path)
 
-        tables = {n: store(n, self.model(n)) for n in self.SILVER}
-        silver = _SilverLake(self.spark, tables, spine=self.spine)
-        for n in self.STORED[len(self.SILVER):]:
-            tables[n] = store(n, silver.model(n))
-        return StoredLake(self.spark, self.bronze, tables)
+        tables: dict[str, DataFrame] = {}
+        source: Lake = self
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            for wave in self.WAVES:
+                for name, df in pool.map(lambda n, src=source: store(src, n), wave):
+                    tables[name] = df
+                source = StoredLake(self.spark, self.bronze, tables, spine=self.spine)
+        return source
 
 
 class StoredLake(Lake):
-    """A Lake whose silver and gold models are stored tables."""
+    """A Lake whose models (those stored so far) are stored tables; the rest
+    are planned from them."""
 
-    def __init__(self, spark: SparkSession, bronze: dict[str, DataFrame], tables: dict[str, DataFrame]):
-        super().__init__(spark, bronze)
+    def __init__(self, spark: SparkSession, bronze: dict[str, DataFrame], tables: dict[str, DataFrame],
+                 spine: tuple[str, str] | None = None):
+        super().__init__(spark, bronze, spine=spine)
         for name, df in tables.items():
             self.__dict__[name] = df                  # pre-fill the cached properties
-        self.__dict__["wide_sales_forecast"] = tables["wide_exact"].drop("_rev")
+        if "wide_exact" in tables:
+            self.__dict__["wide_sales_forecast"] = tables["wide_exact"].drop("_rev")

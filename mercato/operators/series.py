@@ -30,8 +30,9 @@ def positive_days(series: DataFrame) -> DataFrame:
 def _with_bounds(series: DataFrame, keys=()) -> DataFrame:
     b = (positive_days(series).groupBy(*keys)
          .agg(F.min("sale_date").alias("_first"), F.max("sale_date").alias("_last")))
-    # one row (per key): broadcast is bounded by the number of series
-    return series.join(F.broadcast(b), list(keys), "inner") if keys else series.crossJoin(F.broadcast(b))
+    # one row for a single series (broadcast); one row per series otherwise —
+    # not bounded, so AQE picks the join from the measured size
+    return series.join(b, list(keys), "inner") if keys else series.crossJoin(F.broadcast(b))
 
 
 def active_period_calendar(series: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -56,17 +56,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Make `mercato` importable in Python workers (needed by applyInPandas).
 
-    Zips the package once per SparkContext and registers it with `addPyFile`,
-    which distributes it to every executor (the usual way to ship code to a
-    cluster).  The zip is built in a driver temp folder; Spark serves it."""
+    Zips the package once per SparkContext into the shared checkpoint folder
+    and registers it with `addPyFile`, which distributes it to every executor
+    (the usual way to ship code to a cluster)."""
     import zipfile
 
     sc = spark.sparkContext
     if getattr(sc, "_mercato_shipped", False):
         return
+    import io
+    import uuid
+
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="mercato-pkg-"), "mercato.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             if "__pycache__" in root:
                 continue
@@ -74,5 +77,11 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    dest = f"{checkpoint_dir(spark).rstrip('/')}/mercato-pkg-{uuid.uuid4().hex}/mercato.zip"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(dest)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(dest)
     sc._mercato_shipped = True
