@@ -17,7 +17,10 @@ EXACT = "_rev"       # exact decimal revenue carried next to the DOUBLE one
 
 
 def daily_series(wide_exact: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys…, sale_date, total_revenue DOUBLE, _rev DECIMAL), gap-free."""
+    """(keys…, sale_date, total_revenue DOUBLE, _rev DECIMAL), gap-free.
+    A wide table without the exact column is summed as DOUBLE."""
+    if EXACT not in wide_exact.columns:
+        return (wide_exact.groupBy(*keys, "sale_date").agg(F.sum("total_revenue").alias("total_revenue")))
     return (wide_exact.groupBy(*keys, "sale_date").agg(F.sum(EXACT).alias(EXACT))
             .select(*keys, "sale_date", F.col(EXACT).cast("double").alias("total_revenue"), EXACT))
 

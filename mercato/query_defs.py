@@ -579,9 +579,9 @@ def q_dq_suite(spark, sf_dir):
 
 @register("pipeline_run")
 def q_pipeline_run(spark, sf_dir):
-    from mercato.plans.pipeline import run_pipeline
+    from mercato.plans.pipeline import forecast_stage, run_pipeline
     from mercato.sources.driver import bronze_from_driver
-    log, _ = run_pipeline(spark, bronze_from_driver(spark, sf_dir))
+    log, _ = run_pipeline(spark, bronze_from_driver(spark, sf_dir), forecast=forecast_stage(spark))
     return spark.createDataFrame([(s.stage, s.status, s.detail) for s in log], "stage string, status string, detail string")
 
 
