@@ -48,7 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = d.get() if d.isDefined() else None
     if not d:
         d = tempfile.mkdtemp(prefix="mercato-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)   # remembered for later lookups when allowed
+        except Exception:  # noqa: BLE001 — a core setting may be read-only at run time
+            pass
     spark.sparkContext.setCheckpointDir(d)
     return d
 
