@@ -841,3 +841,12 @@ def q_stream_incr_orders(spark, sf_dir):
     land(orders, run["landing"])
     run_once(**run)                       # day 2: only ids above the mark are merged
     return target.current()
+
+
+@register("list_tables")
+def q_list_tables(spark, sf_dir):
+    """S-11: the catalog after the gold dimensions were materialised into it."""
+    lk, root = lake(spark, sf_dir), C.fresh_root(spark)
+    for name in ("dim_customers", "dim_products", "dim_employees", "dim_date"):
+        C.materialize(lk.model(name), spark, "gold", name, root)
+    return C.list_tables(spark, ["gold"]).where(F.col("table_name").startswith("dim_"))
