@@ -249,7 +249,7 @@ def q_iqr_outliers(spark, sf_dir):
     return A.iqr_outliers(S.active_period_calendar(_series(spark, sf_dir)))
 
 
-_WD = ("SELECT ((dayofweek(sale_date) + 6) % 7) + 1 AS weekday_no, dayname(sale_date) AS weekday, total_revenue "
+_WD = ("SELECT CAST(((dayofweek(sale_date) + 6) % 7) + 1 AS INTEGER) AS weekday_no, dayname(sale_date) AS weekday, total_revenue "
        "FROM active_")
 
 
