@@ -24,7 +24,7 @@ class StageResult:
     detail: str = ""
 
 
-def run_pipeline(spark: SparkSession, bronze: dict[str, DataFrame], root: str | None = None,
+def run_layers(spark: SparkSession, bronze: dict[str, DataFrame], root: str | None = None,
                  forecast=None, stop_on_failure: bool = True) -> tuple[list[StageResult], dict[str, DataFrame]]:
     """Run all stages; `forecast(models) -> DataFrame` is the optional last stage.
     Returns the stage log and the materialised tables."""

@@ -577,11 +577,11 @@ def q_dq_suite(spark, sf_dir):
     return Q.run_suite(_models(lake(spark, sf_dir)), Q.SILVER_TESTS + Q.GOLD_TESTS)
 
 
-@register("pipeline_run")
-def q_pipeline_run(spark, sf_dir):
-    from mercato.plans.pipeline import forecast_stage, run_pipeline
+@register("layered_run")
+def q_layered_run(spark, sf_dir):
+    from mercato.plans.layers import forecast_stage, run_layers
     from mercato.sources.driver import bronze_from_driver
-    log, _ = run_pipeline(spark, bronze_from_driver(spark, sf_dir), forecast=forecast_stage(spark))
+    log, _ = run_layers(spark, bronze_from_driver(spark, sf_dir), forecast=forecast_stage(spark))
     return spark.createDataFrame([(s.stage, s.status, s.detail) for s in log], "stage string, status string, detail string")
 
 

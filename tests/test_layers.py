@@ -1,18 +1,18 @@
 """The layered run: stops at the first failing gate; runs to the forecast when told to continue."""
 
-from mercato.plans.pipeline import forecast_stage, run_pipeline
+from mercato.plans.layers import forecast_stage, run_layers
 from mercato.sources.driver import bronze_from_driver
 
 
 def test_stops_at_failing_gate_and_can_continue(spark, sf_small):
-    log, tables = run_pipeline(spark, bronze_from_driver(spark, sf_small), forecast=forecast_stage(spark))
+    log, tables = run_layers(spark, bronze_from_driver(spark, sf_small), forecast=forecast_stage(spark))
     st = {s.stage: s.status for s in log}
     assert st["bronze"] == st["silver"] == st["silver_tests"] == st["gold"] == "ok"
     # the driver data repeats (order, part) pairs: the unique line-key test must catch it
     assert st["gold_tests"] == "failed" and "order_detail_id" in [s for s in log if s.stage == "gold_tests"][0].detail
     assert st["forecast"] == "skipped"
 
-    log, tables = run_pipeline(spark, bronze_from_driver(spark, sf_small), forecast=forecast_stage(spark),
+    log, tables = run_layers(spark, bronze_from_driver(spark, sf_small), forecast=forecast_stage(spark),
                                stop_on_failure=False)
     st = {s.stage: s.status for s in log}
     assert st["forecast"] == "ok" and tables["forecast"].count() == 1
