@@ -7,6 +7,8 @@ The range enters the Spark plan as scalar subqueries, evaluated once.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ from mercato.operators import joins as J
 from mercato.operators import questions as B
 from mercato.operators import series as S
 from mercato.operators import topk as L
+from mercato.functions import keys as K
+from mercato.operators import forecast as FC
+from mercato.operators import incremental as I
+from mercato.operators import quality as Q
+from mercato.operators import screening as R
+from mercato.operators import synthetic as X
+from mercato.plans import gold as G
+from mercato.plans.staging import stg_orders as _stg_orders
+from mercato.sources import catalog as C
+from mercato.sources import runs as RUNS
+from mercato.sources.schemas import BRONZE
+from mercato.streaming.incremental import land, run_once
 from mercato.queries import lake, register
 
 sql = oracle.sql
@@ -412,9 +426,6 @@ def q_trend_last_30d(spark, sf_dir):
 
 
 # ====================================================================== incremental (I)
-from mercato.operators import incremental as I  # noqa: E402
-from mercato.operators import quality as Q  # noqa: E402
-from mercato.plans import gold as G  # noqa: E402
 
 # --- scenario: what the first run had loaded (orders placed before this day) ---
 FIRST_RUN_BEFORE = "2000-01-01"
@@ -483,8 +494,6 @@ def q_late_rows_dropped(spark, sf_dir):
 
 
 # ====================================================================== sources / sinks (S)
-from mercato.sources import catalog as C  # noqa: E402
-from mercato.sources.schemas import BRONZE  # noqa: E402
 
 
 @register("bronze_overwrite", sql("SELECT * FROM b_orders"))
@@ -586,10 +595,7 @@ def q_layered_run(spark, sf_dir):
 
 
 # ====================================================================== forecasting (F) and run records
-import datetime as _dt  # noqa: E402
 
-from mercato.operators import forecast as FC  # noqa: E402
-from mercato.sources import runs as RUNS  # noqa: E402
 
 _TRAINED: dict[int, dict] = {}
 
@@ -752,9 +758,6 @@ def q_latest_first_history(spark, sf_dir):
 
 
 # ====================================================================== keys, generators, screening (X, R)
-from mercato.functions import keys as K  # noqa: E402
-from mercato.operators import screening as R  # noqa: E402
-from mercato.operators import synthetic as X  # noqa: E402
 
 
 @register("surrogate_key", sql(
@@ -817,8 +820,6 @@ def q_synthetic_lines(spark, sf_dir):
 
 
 # ====================================================================== streaming
-from mercato.plans.staging import stg_orders as _stg_orders  # noqa: E402
-from mercato.streaming.incremental import land, run_once  # noqa: E402
 
 
 @register("stream_incr_orders", oracle.sql(

@@ -3,12 +3,10 @@ grid picks the lowest MAE (first on ties); the SQL-side predictor equals the
 numpy one; the linear fallback equals a pandas brute force."""
 
 import datetime as dt
-import math
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from mercato.operators import forecast as FC
 from mercato.operators import series as S
