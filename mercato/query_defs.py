@@ -482,7 +482,8 @@ def q_incr_fact_sales(spark, sf_dir):
 def q_merge_by_key(spark, sf_dir):
     lk = lake(spark, sf_dir)
     src = lk.stg_orders.where(F.col("order_date") >= F.to_date(F.lit(REDELIVERED_FROM)))
-    return I.merge_by_key(_first_run_orders(lk), src, "order_id")
+    # MERGE contract: several source rows matching one target row is an error
+    return I.merge_by_key(_first_run_orders(lk), src, "order_id", check=True)
 
 
 @register("late_rows_dropped", sql(
