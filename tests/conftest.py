@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,9 +13,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from mercato.session import get_spark
-    s = get_spark("local[4]", 8, app_name="mercato-tests",
-                  extra={"spark.ui.showConsoleProgress": "false",
-                         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="mercato-test-ckpt-")})
+    # spark.checkpoint.dir comes from the environment when set; otherwise
+    # mercato.session.checkpoint_dir creates a local one (tests only)
+    s = get_spark("local[4]", 8, app_name="mercato-tests", extra={"spark.ui.showConsoleProgress": "false"})
     yield s
     s.stop()
 
