@@ -111,6 +111,14 @@ class Lake:
     def model(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def create_views(self, names: tuple[str, ...] | None = None) -> list[str]:
+        """Register the models as temporary views (`fact_sales`, `dim_date`,
+        `wide_sales_forecast`, …) so they can be queried with `spark.sql`."""
+        names = names or self.SILVER + self.GOLD
+        for n in names:
+            self.model(n).createOrReplaceTempView(n)
+        return list(names)
+
     # ---- materialisation ----
     STORED = SILVER + ("dim_customers", "dim_products", "dim_employees", "dim_date", "fact_sales",
                        "wide_exact", "daily_cat")

@@ -81,3 +81,18 @@ def screen(df: DataFrame, text: str = "text") -> DataFrame:
                        F.when(F.col("verdict") == "forbidden", F.col("first_forbidden")).alias("keyword"),
                        F.when(F.col("verdict") == "ok", F.col("_cleaned")).alias("cleaned"),
                        "first_forbidden")
+
+
+class RejectedStatement(ValueError):
+    def __init__(self, verdict: str, keyword: str | None):
+        super().__init__(f"statement rejected: {verdict}" + (f" ({keyword})" if keyword else ""))
+        self.verdict, self.keyword = verdict, keyword
+
+
+def run_if_safe(spark, statement: str) -> DataFrame:
+    """Screen one statement with the same rules and run the cleaned text with
+    `spark.sql` only when the verdict is `ok` (read-only SELECT/WITH)."""
+    row = screen(spark.createDataFrame([(statement,)], "text string")).first()
+    if row.verdict != "ok":
+        raise RejectedStatement(row.verdict, row.keyword)
+    return spark.sql(row.cleaned)
