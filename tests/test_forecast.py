@@ -96,3 +96,22 @@ def test_series_filters(spark):
     assert S.positive_days(s).count() == 2
     gaps = spark.createDataFrame([(dt.date(1998, 1, d),) for d in (1, 2, 5)], "sale_date date")
     assert sorted(r.sale_date.day for r in S.missing_dates(gaps).collect()) == [3, 4]
+
+
+def test_forecast_outputs(spark, planted):
+    params = spark.createDataFrame([("s1", 0.05, 1.0)], "series_key string, cps double, sps double")
+    m = FC.fit_models(planted, params, yearly=True)
+    fc = FC.forecast(m, planted, horizon=30)
+    last = planted.agg({"ds": "max"}).first()[0]
+    fut = FC.future_only(fc).orderBy("ds").collect()
+    assert len(fut) == 30 and fut[0].ds == last + dt.timedelta(days=1)
+    assert all(r.yhat_lower < r.yhat < r.yhat_upper for r in fut)
+    five = FC.future_only(FC.forecast(m, None, 5)).count()           # validation: reload-and-predict shape
+    assert five == 5
+    table = FC.day_forecast_table(fc).collect()
+    assert len(table) == 30 and table[0].Date == str(last + dt.timedelta(days=1))
+    import re
+    assert all(re.fullmatch(r"\$-?\d{1,3}(,\d{3})*", r.Forecast) for r in table)
+    both = FC.forecast_vs_history(planted, fc)
+    assert both.count() == 400 + 30
+    assert both.where("y IS NOT NULL AND yhat IS NULL").count() == 400
