@@ -320,3 +320,13 @@ def screening_sql(src: str, text: str, keep: list[str], keywords, fence: str, bl
             f"SELECT *, {first} AS first_forbidden FROM ("
             f"SELECT *, {nocom} AS nocom_ FROM ("
             f"SELECT *, {cleaned} AS cleaned_ FROM {src}) a) b) c) d")
+
+
+def fact_select(orders: str, details: str) -> str:
+    """The fact's SELECT over any two order / order-line relations."""
+    return (f"SELECT o.order_id, {sk('o.order_id', 'od.product_id')} AS order_detail_id, "
+            f"{sk('o.customer_id')} AS customer_key, {sk('od.product_id')} AS product_key, "
+            f"{sk('o.employee_id')} AS employee_key, CAST(strftime(o.order_date, '%Y%m%d') AS INTEGER) AS date_key, "
+            "od.quantity, od.unit_price, od.discount, "
+            "CAST(od.quantity * od.unit_price * (1 - od.discount) AS DOUBLE) AS line_revenue, o.freight "
+            f"FROM {orders} o JOIN {details} od ON o.order_id = od.order_id")
