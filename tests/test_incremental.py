@@ -85,10 +85,15 @@ def test_append_only_increment(spark, src):
 
 def test_refreshed_lake_appends_only_new_rows(spark, sf_small):
     from mercato.lake import Lake
-    from mercato.plans.refresh import RefreshedLake, first_delivery
+    from mercato.plans.refresh import RefreshedLake
     bronze = Lake.from_driver(spark, sf_small).bronze
+    # an earlier delivery that ends at the median order id, so the second run has new ids
+    median = bronze["orders"].agg(F.percentile("order_id", 0.5)).first()[0]
+    early = dict(bronze.items())
+    early["orders"] = bronze["orders"].where(F.col("order_id") <= median)
+    early["order_details"] = bronze["order_details"].where(F.col("order_id") <= median)
     rl = RefreshedLake(spark, fresh_root(spark) + "/lake")
-    w1 = rl.run(first_delivery(bronze, "2000-01-01"))
+    w1 = rl.run(early)
     n1 = rl.current().fact_sales.count()
     w2 = rl.run(bronze)
     w3 = rl.run(bronze)                                  # nothing new
