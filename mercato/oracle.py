@@ -58,17 +58,21 @@ b_products AS (
   LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS supplier_id FROM lineitem GROUP BY l_partkey) s
          ON p.p_partkey = s.l_partkey
 ),
+sup_ AS (
+  SELECT s_suppkey, min(s_name) AS s_name, min(n_name) AS n_name
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY s_suppkey
+),
 b_suppliers AS (
   SELECT s_suppkey AS supplier_id, s_name AS company_name,
          {NULLS(('contact_name','VARCHAR'),('contact_title','VARCHAR'),('address','VARCHAR'),('city','VARCHAR'),('region','VARCHAR'),('postal_code','VARCHAR'))},
          n_name AS country, {NULLS(('phone','VARCHAR'),('fax','VARCHAR'),('homepage','VARCHAR'))}
-  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+  FROM sup_
 ),
 b_employees AS (
   SELECT s_suppkey AS employee_id, s_name AS last_name, 'Agent' AS first_name, 'Sales Representative' AS title,
          {NULLS(('title_of_courtesy','VARCHAR'),('birth_date','DATE'),('hire_date','DATE'),('address','VARCHAR'),('city','VARCHAR'),('region','VARCHAR'),('postal_code','VARCHAR'))},
          n_name AS country, CAST(NULL AS BIGINT) AS reports_to
-  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+  FROM sup_
 ),
 b_customers AS (
   SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS company_name,

@@ -14,8 +14,8 @@ plain DataFrame operations:
   products       part; category = p_type, supplier = smallest supplier key
                  that sold the part
   categories     distinct p_type, id = dense rank of the name
-  suppliers      supplier ⋈ nation
-  employees      supplier ⋈ nation (a supplier stands in as sales agent)
+  suppliers      supplier ⋈ nation, one row per supplier key
+  employees      the same (a supplier stands in as sales agent)
   customers      customer ⋈ nation ⋈ region
 
 Every column the bronze schema declares is present (unknown ones as typed
@@ -125,9 +125,14 @@ def bronze_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per supplier key.  The aggregate states the key's uniqueness in
+    the plan, so Catalyst can drop a left join to suppliers whose columns a
+    query does not use (and, behind it, the lines pass that finds each part's
+    supplier)."""
     s = read_driver(spark, sf_dir, "supplier")
     n = read_driver(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return s.join(n, s.s_nationkey == n.n_nationkey, "left")
+    return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
+            .groupBy("s_suppkey").agg(F.min("s_name").alias("s_name"), F.min("n_name").alias("n_name")))
 
 
 def bronze_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
