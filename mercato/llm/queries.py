@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup
+from . import decontaminate, near_dedup, suffix_dedup
 from .common import table
 
 
@@ -16,7 +16,12 @@ def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
