@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, suffix_dedup
+from . import decontaminate, near_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -20,7 +20,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_noisy_or_toxicity": op3_noisy_or_toxicity,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,

@@ -22,7 +22,6 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWERED = _BYTE.copy()
 _LOWERED[65:91] = _BYTE[97:123]     # A-Z count as a-z
-_LOWERED[BLANK] = 0
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,28 +50,44 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words are runs of non-blank bytes, A-Z lower-cased, within one text.
+def word_hashes(data: np.ndarray, off: np.ndarray, separates: np.ndarray = BLANK,
+                prefixes: tuple[int, ...] = ()) -> tuple:
+    """Words are runs of bytes that do not separate, A-Z lower-cased, within one text.
 
     Returns (64-bit hash per word, first word index per text plus the total,
-    byte position where each word starts)."""
+    byte position where each word starts); with `prefixes` also a list with, per
+    length, (indexes of the longer words, hashes of their first bytes)."""
     n = len(data)
+    empty = (np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64))
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * len(prefixes)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64)
-    blank = BLANK[data]
+        return (*empty, none) if prefixes else empty
+    blank = separates[data]
     start = ~blank
     start[1:] &= blank[:-1]
     firsts = off[:-1][off[:-1] < n]
     start[firsts] = ~blank[firsts]
     ws = np.flatnonzero(start)
     if not len(ws):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), ws
+        return (*empty, none) if prefixes else empty
     span = np.diff(np.append(ws, n))
     pos = np.arange(ws[0], n) - np.repeat(ws, span)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(span.max()), _STEP)]))
-    # a word's span may run over blanks and, at a text's end, no further: the next word starts there
-    h = np.add.reduceat(_LOWERED[data[ws[0]:]] * power[pos], ws - ws[0])
-    return mix(h), np.searchsorted(ws, off), ws
+    # a word's span may run over blanks, which count nothing; the next word, of any text, starts a new one
+    value = np.where(separates, np.uint64(0), _LOWERED)[data[ws[0]:]] * power[pos]
+    h = mix(np.add.reduceat(value, ws - ws[0]))
+    first = np.searchsorted(ws, off)
+    if not prefixes:
+        return h, first, ws
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
+    length = np.add.reduceat(~blank[ws[0]:], ws - ws[0], dtype=np.int64)
+    out = []
+    for k in prefixes:
+        long = np.flatnonzero(length > k)
+        at = ws[long] - ws[0]
+        out.append((long, mix(sums[at + k] - sums[at] + _COMBINE[k])))
+    return h, first, ws, out
 
 
 def shingle_sets(words: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
