@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, suffix_dedup, toxicity
+from . import decontaminate, mixing, near_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -24,7 +24,12 @@ def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_pfair_mixing": op8_pfair_mixing,
     "op3_noisy_or_toxicity": op3_noisy_or_toxicity,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
@@ -32,6 +37,43 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op8_pfair_mixing": """
+WITH RECURSIVE k AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS src,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS md FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md, doc_id) - 1 AS rk FROM k),
+sz AS (SELECT src, count(*) AS n_docs, pow(count(*), 0.85) AS w FROM k GROUP BY src),
+s1 AS (SELECT *, CAST(CASE WHEN count(*) OVER () * 8 <= 1024 THEN 1024
+                      ELSE pow(2, ceil(log2(count(*) OVER () * 8))) END AS BIGINT) AS q FROM sz),
+s2 AS (SELECT *, q * w / sum(w) OVER () AS raw FROM s1),
+s3 AS (SELECT *, CAST(greatest(1, floor(raw)) AS BIGINT) AS base FROM s2),
+s4 AS (SELECT *, q - sum(base) OVER () AS lft, row_number() OVER (ORDER BY raw - base DESC, src) AS up,
+              row_number() OVER (ORDER BY base DESC, src) AS down FROM s3),
+sh AS (SELECT src, q, CAST(ceil(n_docs / 16) AS BIGINT) AS nb, row_number() OVER (ORDER BY src) AS i,
+              CAST(base + CASE WHEN up <= lft THEN 1 WHEN down <= -lft THEN -1 ELSE 0 END AS BIGINT) AS e FROM s4),
+cfg AS (SELECT max(q) AS q, list(e ORDER BY i) AS es FROM sh HAVING count(*) > 0),
+sim AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(es, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, q, es FROM cfg
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(es) + 1), lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p, q, es
+  FROM (SELECT t, done, q, es, list_position(d, list_min(d)) AS p
+        FROM (SELECT t, done, q, es, list_transform(range(1, len(es) + 1),
+                     lambda j: CASE WHEN (done[j] * q) // es[j] <= t + 1 THEN ((done[j] + 1) * q + es[j] - 1) // es[j]
+                               ELSE 4611686018427387904 END) AS d
+              FROM sim WHERE t + 1 < q))),
+pat AS (SELECT pick AS i, t, row_number() OVER (PARTITION BY pick ORDER BY t) AS c FROM sim WHERE t >= 0),
+lim AS (SELECT max((nb * q + e - 1) // e) AS cover, min((nb * q) // e) AS even FROM sh),
+occ AS (
+  SELECT src, i, e, q, nb, cover, even, unnest(range(1, nb * CAST(ceil(((cover * e) // q + 1) / nb) AS BIGINT) + 1)) AS g
+  FROM sh, lim),
+sl AS (
+  SELECT occ.*, (g - 1) // nb + 1 AS epoch, (g - 1) % nb + 1 AS block, ((g - 1) // e) * q + t AS slot
+  FROM occ JOIN pat ON pat.i = occ.i AND pat.c = (g - 1) % e + 1)
+SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block, CAST(rk % 16 + 1 AS BIGINT) AS block_row,
+       e AS share, q AS period, CAST(((g - 1) * q) // e AS BIGINT) AS release,
+       CAST((g * q + e - 1) // e AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot, slot < even AS balanced
+FROM r JOIN sl ON r.src = sl.src AND r.rk // 16 + 1 = sl.block
+WHERE slot < cover OR epoch = 1""",
     "op9_benchmark_decontamination": r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
