@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, suffix_dedup, toxicity
+from . import decontaminate, mixing, near_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -28,7 +28,12 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op10_warc_roundtrip": op10_warc_roundtrip,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op3_noisy_or_toxicity": op3_noisy_or_toxicity,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
@@ -37,6 +42,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op10_warc_roundtrip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+t AS (SELECT payload_digest, payload_bytes, max(page_id) AS top FROM d WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d LEFT JOIN t ON d.payload_digest = t.payload_digest AND d.payload_bytes = t.payload_bytes""",
     "op8_pfair_mixing": """
 WITH RECURSIVE k AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS src,
