@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, fingerprint, mixing, near_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -32,7 +32,12 @@ def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op10_warc_roundtrip": op10_warc_roundtrip,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op3_noisy_or_toxicity": op3_noisy_or_toxicity,
