@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, near_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, fingerprint, language_id, mixing, near_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -36,7 +36,12 @@ def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
+def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_rank_order_language_id": op2_rank_order_language_id,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op10_warc_roundtrip": op10_warc_roundtrip,
     "op8_pfair_mixing": op8_pfair_mixing,
