@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language_id, mixing, near_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, fingerprint, language_id, license_scan, mixing, near_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -40,7 +40,12 @@ def op2_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_rank_order_language_id": op2_rank_order_language_id,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op10_warc_roundtrip": op10_warc_roundtrip,
@@ -52,6 +57,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_license_scan": license_scan.oracle(),
     "op10_warc_roundtrip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
