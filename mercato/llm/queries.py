@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language_id, license_scan, mixing, near_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, fingerprint, language_id, license_scan, mixing, near_dedup, passages, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -44,7 +44,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op4_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents")).drop("start_byte", "end_byte")
+
+
 QUERIES = {
+    "op4_chained_passages": op4_chained_passages,
     "op1_license_scan": op1_license_scan,
     "op2_rank_order_language_id": op2_rank_order_language_id,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
