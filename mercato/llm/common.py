@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.session import checkpoint_dir, ship_package
 
@@ -29,3 +30,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder (never a machine-local one on a cluster)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """Every column inside one struct `_row`, beside copies of the named ones, so
+    that no other column's name can clash with an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *names)
+
+
+def unpacked(columns: list[str], out: str) -> list:
+    """The columns of `_row`, less one that carries the result's name."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in columns if c != out]

@@ -20,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_AND_GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"                     # in a text as it stands
+WORD_AND_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" + GAP
 RULE = 20          # contaminated when 20 * n_hit >= n_words, and n_hit > 0
 
 
@@ -56,7 +59,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str = "decontamination", n:
     of verified windows, ordered) and contaminated."""
     bench = benchmark_windows(benchmark, n)
     size, lens = bench.agg(F.count(F.lit(1)), F.collect_set("len")).first()   # one row: at most n lengths
-    base = docs.withColumns({"_dc_id": F.col("doc_id"), "_dc_th": F.md5(F.coalesce("text", F.lit("")))})
+    base = packed(docs, "doc_id", "text").withColumns({"_dc_id": F.col("doc_id"), "_dc_th": F.md5(F.coalesce("text", F.lit("")))})
     if size:
         probe = base.select("_dc_id", "_dc_th", words(F.col("text")).alias("_w")).select(
             "_dc_id", "_dc_th", F.inline(F.concat(*[_windows(F.col("_w"), k) for k in sorted(lens)])))
@@ -83,8 +86,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str = "decontamination", n:
     result = F.struct(F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_items").alias("items"),
                       F.col("_spans").alias("spans"),
                       ((F.col("_hit") > 0) & (RULE * F.col("_hit") >= F.col("_n"))).alias("contaminated"))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    return base.select(*keep, result.alias(out))
+    return base.select(*unpacked(docs.columns, out), result.alias(out))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -96,7 +98,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """Every document, with each hit word (and the gap after it) cut from its text."""
     found = scan(docs, benchmark, out="_dc", **kw)
     pieces = F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0))
-    lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
+    lead = F.regexp_extract("text", "^" + GAP, 0)
     left = F.filter(pieces, lambda p, i: ~F.exists(F.col("_dc.spans"), lambda s: (s["start"] <= i) & (i < s["end"])))
     cut = F.when(F.col("_dc.n_hit") > 0, F.concat(lead, F.array_join(left, ""))).otherwise(F.col("text"))
     return found.withColumn("text", cut).drop("_dc")

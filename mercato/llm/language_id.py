@@ -159,6 +159,7 @@ def _predict(profiles: dict[str, np.ndarray], schema: T.StructType, name: str):
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], out: str = "language") -> DataFrame:
     """`docs` plus the struct column `out`: lang, score (1 less the mean distance over the largest)."""
     prepare(docs.sparkSession)
+    docs = docs.drop(out)
     schema = T.StructType(docs.schema.fields + [T.StructField(out, T._parse_datatype_string("lang string, score double"))])
     return docs.mapInArrow(_predict(profiles, schema, out), schema)
 

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 # Words one of which every known sentence has.
 KEYWORDS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "liab", "spdx", "endorse")
 
@@ -142,11 +144,11 @@ def scan(docs: DataFrame, out: str = "license_scan") -> DataFrame:
         F.replace(acc["rest"], r["run"], F.lit("")).alias("rest"),
         F.array_union(acc["found"], F.array(r["name"])).alias("found"))).otherwise(acc))
     empty = F.struct(F.lit("").alias("rest"), none.alias("found"))
-    d = docs.withColumn("_low", low).withColumn("_ids", ids)
+    d = packed(docs, "text").withColumn("_low", low).withColumn("_ids", ids)
     d = d.withColumn("_taken", F.when(F.size("_ids") > 0, taken).otherwise(empty))
     rest = F.filter(F.split(F.regexp_replace(F.col("_taken.rest"), "[<>]+", ";"), ";"), lambda i: i != "")
     result = F.struct(F.col("_ids").alias("sequence"), F.col("_taken.found").alias("licenses"), rest.alias("unmatched"))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(out))
+    return d.select(*unpacked(docs.columns, out), result.alias(out))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import packed, unpacked
+
 BLOCK = 16                 # documents in a block
 TEMPER = 0.85              # default target weight: documents ** TEMPER
 RESOLUTION = 1024          # least Q; doubled until it is 8 times the number of sources
@@ -84,7 +86,7 @@ def period(share: DataFrame) -> DataFrame:
 
 
 def _ranked(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with _src, _block, _row; sizes): blocks number each source's documents by their id's MD5."""
+    """(rows with _src, _block, _seat; sizes): blocks number each source's documents by their id's MD5."""
     digits = max(1, int(math.log(max(docs.count(), 1) / BUCKET_ROWS, 16))) if not docs.isEmpty() else 1
     src = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source")))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -95,7 +97,7 @@ def _ranked(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     inside = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_md", "doc_id"))
     ranked = keyed.withColumn("_inside", inside).join(before.drop("_n"), ["_src", "_bucket"])
     rank = F.col("_before") + F.col("_inside") - 1
-    ranked = ranked.withColumns({"_block": F.floor(rank / block) + 1, "_row": rank % block + 1})
+    ranked = ranked.withColumns({"_block": F.floor(rank / block) + 1, "_seat": rank % block + 1})
     return ranked.drop("_md", "_bucket", "_inside", "_before"), counts.groupBy("_src").agg(F.sum("_n").alias("n_docs"))
 
 
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: str = "cover"
 
     `weights`: columns source, weight.  Rows of a slot belong together; the
     mixture in order is `orderBy("slot", "block_row")`."""
-    ranked, sizes = _ranked(docs, block)
+    ranked, sizes = _ranked(packed(docs, "doc_id", "source"), block)
     if weights is not None:
         weights = weights.select(F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source"))).alias("_src"), "weight")
     share = shares(sizes, weights, temper)
@@ -130,12 +132,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: str = "cover"
     placed = placed.withColumn("_slot", slot)
     if epochs == "cover":
         placed = placed.filter((F.col("_slot") < F.col("_cover")) | (F.col("_epoch") == 1))
-    info = F.struct(F.col("_epoch").alias("epoch"), F.col("_block").cast("long").alias("block"), F.col("_row").cast("long").alias("block_row"),
+    info = F.struct(F.col("_epoch").alias("epoch"), F.col("_block").cast("long").alias("block"), F.col("_seat").cast("long").alias("block_row"),
                     F.col("e").alias("share"), F.col("q").alias("period"),
                     F.floor((F.col("_g") - 1) * F.col("q") / F.col("e")).alias("release"),
                     F.ceil(F.col("_g") * F.col("q") / F.col("e")).alias("deadline"),
                     F.col("_slot").cast("long").alias("slot"), (F.col("_slot") < F.col("_even")).alias("balanced"))
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], info.alias(out))
+    return placed.select(*unpacked(docs.columns, out), info.alias(out))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -217,6 +217,7 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
     """`docs` plus the struct column `out`: score, and sentences: byte spans
     [start, end) and scores of the offending sentences (score at least 0.5)."""
     prepare(docs.sparkSession)
+    docs = docs.drop(out)
     schema = T.StructType(docs.schema.fields + [T.StructField(out, T._parse_datatype_string(
         "score double, sentences array<struct<start:int,end:int,score:double>>"))])
     return docs.mapInArrow(_score_texts(model, out, schema), schema)
