@@ -22,7 +22,7 @@ def sk(*cols: str) -> str:
 def rev(prefix: str = "") -> str:
     p = prefix
     return (f"({p}quantity * CAST({p}unit_price AS DECIMAL(10,2)) "
-            f"* (1 - CAST({p}discount AS DECIMAL(6,4))))")
+            f"* (1 - TRY_CAST({p}discount AS DECIMAL(14,12))))")
 
 
 NULLS = lambda *cs: ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in cs)

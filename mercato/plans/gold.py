@@ -116,24 +116,25 @@ def daily_category_sales(fact: DataFrame, dim_date_df: DataFrame, dim_products_d
 
 
 def wide_sales_forecast(fact: DataFrame, dim_date_df: DataFrame, dim_products_df: DataFrame,
-                        keep_exact: bool = False) -> DataFrame:
+                        keep_exact: bool = False, daily: DataFrame | None = None) -> DataFrame:
     """Gap-free day × category table with 7- and 30-row rolling revenue sums.
 
     `keep_exact` also returns `_rev`, the exact DECIMAL revenue behind
     `total_revenue`; readers that sum the table use it (see functions/money).
+    `daily` is a stored `daily_category_sales` with `_rev`, built here when absent.
     """
     cats = (dim_products_df.where(F.col("category_name").isNotNull())
             .select(F.col("category_name").alias("product_category")).distinct())
     spine = (dim_date_df.select(F.col("full_date").alias("sale_date"), "year")
              .crossJoin(cats))
-    daily = daily_category_sales(fact, dim_date_df, dim_products_df, keep_exact=True)
+    daily = daily if daily is not None else daily_category_sales(fact, dim_date_df, dim_products_df, keep_exact=True)
     filled = (spine.join(daily, ["sale_date", "product_category"], "left")
               .select("sale_date", "year", "product_category",
                       F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue"),
                       F.coalesce("total_orders", F.lit(0)).cast("bigint").alias("total_orders"),
                       F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"),
                       F.coalesce("avg_order_value", F.lit(0.0)).alias("avg_order_value"),
-                      F.coalesce("_rev", F.lit(0).cast("decimal(38,6)")).alias("_rev")))
+                      F.coalesce("_rev", F.lit(0).cast("decimal(38,14)")).alias("_rev")))
     w = Window.partitionBy("product_category").orderBy("sale_date")
     return filled.select("sale_date", "year", "product_category", "total_revenue", "total_orders",
                          "total_quantity", "avg_order_value",

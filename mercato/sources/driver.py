@@ -33,39 +33,10 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# a scan smaller than this is left as it is, whatever its partition count
-MIN_SPREAD_BYTES = 1 << 20
-# natural key of each driver table: a spread scan is hash-partitioned on it,
-# so a later join or aggregation on that key can reuse the partitioning
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey",
-               "supplier": "s_suppkey", "conversations": "conv_id", "documents": "doc_id", "events": "event_id"}
-
-
-def _path_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
-
-
-def spread_scan(df: DataFrame, size_bytes: int, key: str | None = None) -> DataFrame:
-    """Input-parallelism guard.  A parquet scan gets one task per row group,
-    so a big table stored as a single row group is scanned — and, behind
-    broadcast joins, processed end to end — by one task.  When a scan has
-    fewer partitions than the cluster's parallelism and is large enough to
-    matter, spread it (hash on `key`, else round-robin).  On real data
-    (thousands of files) the scan already has more partitions than cores and
-    this is a no-op."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if size_bytes >= MIN_SPREAD_BYTES and df.rdd.getNumPartitions() < par:
-        return df.repartition(par, key) if key else df.repartition(par)
-    return df
-
-
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spread_scan(spark.read.parquet(path), _path_bytes(spark, path), SPREAD_KEYS.get(name))
+    """A plain scan: how it splits is up to the table's layout and `spark.sql.files.*`,
+    so the plan has the same shape at every size."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _fill(df: DataFrame, table: str) -> DataFrame:
