@@ -22,10 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-class MergeError(ValueError):
-    """More than one source row matches the same target row."""
-
-
 def watermark(target: DataFrame | None, id_col: str) -> int:
     """COALESCE(MAX(id), 0) of the target (0 when there is no target yet)."""
     if target is None:
@@ -51,20 +47,25 @@ def incremental_source(source: DataFrame, target: DataFrame | None, id_col: str,
 
 
 def merge_by_key(target: DataFrame | None, updates: DataFrame, key: str | list[str],
-                 check: bool = False) -> DataFrame:
+                 check: bool = True) -> DataFrame:
     """Upsert `updates` into `target` on `key`.
 
-    `check=True` first verifies that no target row is matched by more than one
-    source row (the MERGE contract) — one aggregate over the matched keys."""
+    Several source rows that match one target row are an error (the MERGE
+    contract), raised by the plan itself when it runs; several that match none
+    are all inserted.  `check=False` when the key is known to be unique."""
     if target is None:
         return updates
     keys = [key] if isinstance(key, str) else list(key)
+    old = target
     if check:
-        dup = (updates.groupBy(*keys).count().where(F.col("count") > 1)
-               .join(target.select(*keys), keys, "left_semi").limit(1).collect())
-        if dup:
-            raise MergeError(f"several source rows match the target row {tuple(dup[0][:len(keys)])}")
-    kept = target.join(updates.select(*keys), keys, "left_anti")
+        per = updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_matches"))
+        old = target.join(per, keys, "left")
+        what = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+        message = F.concat(F.lit("several source rows match the target row "), what)
+        old = old.where(F.when(F.col("_matches") > 1, F.raise_error(message).cast("boolean")).otherwise(F.col("_matches").isNull()))
+        kept = old.select(*target.columns)
+    else:
+        kept = old.join(updates.select(*keys), keys, "left_anti")
     return kept.unionByName(updates.select(*target.columns))
 
 

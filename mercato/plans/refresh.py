@@ -31,7 +31,7 @@ INCREMENTAL = {"stg_orders": ("order_id", "order_id"),
                "fact_sales": ("order_id", "order_detail_id")}
 FULL_SILVER = ("stg_customers", "stg_products", "stg_categories", "stg_employees", "stg_suppliers")
 FULL_GOLD = ("dim_customers", "dim_products", "dim_employees", "dim_date")
-AGGREGATES = ("wide_exact", "daily_cat")
+AGGREGATES = ("daily_cat", "wide_exact")     # in this order: the wide table reads the stored aggregate
 
 
 class RefreshedLake:
@@ -44,6 +44,11 @@ class RefreshedLake:
         stored = {n: t.current() for n, t in self.tables.items() if t.versions()}
         return StoredLake(self.spark, {}, stored, spine=self.spine)
 
+    def _without(self, names: tuple[str, ...]) -> StoredLake:
+        """The stored lake, with the named tables planned anew."""
+        stored = {n: t.current() for n, t in self.tables.items() if n not in names and t.versions()}
+        return StoredLake(self.spark, {}, stored, spine=self.spine)
+
     def run(self, bronze: dict[str, DataFrame]) -> dict[str, int]:
         """One scheduled run; returns the number of rows written per incremental model."""
         first = not self.tables["stg_orders"].versions()
@@ -58,16 +63,16 @@ class RefreshedLake:
         for name in ("stg_orders", "stg_order_details"):
             written[name] = self._append_new(name, fresh[name])
 
-        lk = self.current()
+        lk = self._without(FULL_GOLD)
         for name in FULL_GOLD:
             self.tables[name].commit(lk.model(name))
 
-        lk = self.current()
+        lk = self._without(("fact_sales",))
         new_fact = gold.fact_sales(lk.stg_orders, lk.stg_order_details)
         written["fact_sales"] = self._append_new("fact_sales", new_fact)
 
-        lk = self.current()
         for name in AGGREGATES:
+            lk = self._without(AGGREGATES[AGGREGATES.index(name):])
             self.tables[name].commit(lk.model(name))
         written["first_run"] = int(first)
         return written
@@ -78,18 +83,17 @@ class RefreshedLake:
         table = self.tables[name]
         current = table.current()
         mark = I.watermark(current, id_col)              # literal: pushed to the scans
-        new = I.increment(rows, current, id_col, mark).cache()
-        n = new.count()
-        if n or current is None:
+        new = I.increment(rows, current, id_col, mark)
+        before = table.count_rows()
+        if current is None or not new.isEmpty():
             table.append(new)
-        new.unpersist()
-        return n
+        return table.count_rows() - before                # from the written files, nothing is cached
 
 
-def first_delivery(bronze: dict[str, DataFrame], before: str) -> dict[str, DataFrame]:
-    """The bronze tables as an earlier delivery saw them: orders placed before
-    `before` and their lines (every other table whole)."""
+def first_delivery(bronze: dict[str, DataFrame], orders: DataFrame) -> dict[str, DataFrame]:
+    """The bronze tables as an earlier delivery saw them: the given orders and
+    their lines (every other table whole)."""
     out = dict(bronze.items())
-    out["orders"] = bronze["orders"].where(F.col("order_date") < F.to_date(F.lit(before)))
-    out["order_details"] = bronze["order_details"].join(out["orders"].select("order_id"), "order_id", "left_semi")
+    out["orders"] = orders
+    out["order_details"] = bronze["order_details"].join(orders.select("order_id"), "order_id", "left_semi")
     return out

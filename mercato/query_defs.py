@@ -427,14 +427,22 @@ def q_trend_last_30d(spark, sf_dir):
 
 # ====================================================================== incremental (I)
 
-# --- scenario: what the first run had loaded (orders placed before this day) ---
+# --- scenario: the first run had loaded the lower half of the ids, less the orders
+# placed from this day on; those arrive later, below the mark (late rows) ---
 FIRST_RUN_BEFORE = "2000-01-01"
 REDELIVERED_FROM = "1999-01-01"   # an overlapping re-delivery for the upsert
-_T0 = f"t0_ AS (SELECT * FROM stg_orders WHERE order_date < DATE '{FIRST_RUN_BEFORE}')"
+_T0 = ("t0_ AS (SELECT * FROM stg_orders WHERE order_id <= (SELECT (min(order_id) + max(order_id)) // 2 FROM stg_orders) "
+       f"AND order_date < DATE '{FIRST_RUN_BEFORE}')")
+
+
+def _first_run(orders):
+    """The rows of an orders frame that the first run saw."""
+    middle = orders.agg(F.expr("(min(order_id) + max(order_id)) div 2")).scalar()
+    return orders.where((F.col("order_id") <= middle) & (F.col("order_date") < F.to_date(F.lit(FIRST_RUN_BEFORE))))
 
 
 def _first_run_orders(lk):
-    return lk.stg_orders.where(F.col("order_date") < F.to_date(F.lit(FIRST_RUN_BEFORE)))
+    return _first_run(lk.stg_orders)
 
 
 def _merge_sql(target: str, src: str, key: str) -> str:
@@ -483,7 +491,7 @@ def q_merge_by_key(spark, sf_dir):
     lk = lake(spark, sf_dir)
     src = lk.stg_orders.where(F.col("order_date") >= F.to_date(F.lit(REDELIVERED_FROM)))
     # MERGE contract: several source rows matching one target row is an error
-    return I.merge_by_key(_first_run_orders(lk), src, "order_id", check=True)
+    return I.merge_by_key(_first_run_orders(lk), src, "order_id")
 
 
 @register("late_rows_dropped", sql(
@@ -532,9 +540,9 @@ def q_declared_schemas(spark, sf_dir):
     lk, root = lake(spark, sf_dir), C.fresh_root(spark)
     names = C.ensure_tables(spark, root)
     for t in BRONZE:                                   # typed tables accept the adapter's frames
-        C.align_to_schema(lk.bronze[t], BRONZE[t]).write.insertInto(f"bronze.{t}", overwrite=True)
-    parts = [spark.table(n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
-             for n in names]
+        C.align_to_schema(lk.bronze[t], BRONZE[t]).write.insertInto(f"{C.namespace('bronze', root)}.{t}", overwrite=True)
+    parts = [spark.table(n).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(f"bronze.{n.split('.')[1]}").alias("table_name"), "n_rows") for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -598,9 +606,6 @@ def q_layered_run(spark, sf_dir):
 # ====================================================================== forecasting (F) and run records
 
 
-_TRAINED: dict[int, dict] = {}
-
-
 def _training_series(spark, sf_dir):
     """The retrain input: the overall daily series, positive days only (P-05)."""
     return FC.prepare_series(S.active_period_positive(_series(spark, sf_dir)))
@@ -609,8 +614,8 @@ def _training_series(spark, sf_dir):
 def _trained(spark, sf_dir) -> dict:
     """Train once per application and data folder; artefacts are written as
     tables (coefficients, metrics, scores) and read back, like a stored model."""
-    k = id(lake(spark, sf_dir))          # one training per lake (raw or stored)
-    if k not in _TRAINED:
+    lk = lake(spark, sf_dir)             # one training per lake (raw or stored), kept with it
+    if "trained" not in lk.__dict__:
         out = FC.train(spark, _training_series(spark, sf_dir))
         root = C.fresh_root(spark)
         stored = {}
@@ -619,8 +624,8 @@ def _trained(spark, sf_dir) -> dict:
             stored[name] = spark.read.parquet(f"{root}/models/{name}")
         stored["best"] = FC.best_params(stored["scores"])
         stored["root"] = root
-        _TRAINED[k] = stored
-    return _TRAINED[k]
+        lk.__dict__["trained"] = stored
+    return lk.__dict__["trained"]
 
 
 @register("series_ds_y", sql("SELECT sale_date AS ds, total_revenue AS y FROM positive_"))
@@ -828,12 +833,12 @@ def q_synthetic_lines(spark, sf_dir):
     extra_ctes=_T0 + ", inc_ AS (SELECT * FROM stg_orders WHERE order_id > "
                      "(SELECT coalesce(max(order_id), 0) FROM t0_))"))
 def q_stream_incr_orders(spark, sf_dir):
-    """Two deliveries land as files — the orders placed before the first-run
-    cut, then a full re-delivery — and two scheduled availableNow runs of one
+    """Two deliveries land as files — the first run's orders, then a full
+    re-delivery — and two scheduled availableNow runs of one
     file stream merge them into a versioned silver table."""
     lk, root = lake(spark, sf_dir), C.fresh_root(spark)
     orders = lk.bronze["orders"]
-    first = orders.where(F.col("order_date") < F.to_date(F.lit(FIRST_RUN_BEFORE)))
+    first = _first_run(orders)
     target = C.VersionedTable(spark, f"{root}/silver/stg_orders")
     run = dict(spark=spark, landing=f"{root}/landing", schema=BRONZE["orders"], target=target,
                checkpoint=f"{root}/_checkpoints/stg_orders", transform=lambda b: _stg_orders(b, audit=False),
@@ -845,13 +850,15 @@ def q_stream_incr_orders(spark, sf_dir):
     return target.current()
 
 
-@register("list_tables")
+@register("list_tables", oracle.sql(
+    "SELECT 'gold' AS namespace, t.n AS table_name FROM (VALUES ('dim_customers'), ('dim_products'), ('dim_employees'), "
+    "('dim_date')) t(n) WHERE (SELECT count(*) FROM dim_date) > 0"))
 def q_list_tables(spark, sf_dir):
     """S-11: the catalog after the gold dimensions were materialised into it."""
     lk, root = lake(spark, sf_dir), C.fresh_root(spark)
     for name in ("dim_customers", "dim_products", "dim_employees", "dim_date"):
         C.materialize(lk.model(name), spark, "gold", name, root)
-    return C.list_tables(spark, ["gold"]).where(F.col("table_name").startswith("dim_"))
+    return C.list_tables(spark, root, ["gold"])
 
 
 @register("incremental_refresh", oracle.sql(
@@ -871,6 +878,6 @@ def q_incremental_refresh(spark, sf_dir):
     from mercato.plans.refresh import RefreshedLake, first_delivery
     lk = lake(spark, sf_dir)
     rl = RefreshedLake(spark, f"{C.fresh_root(spark)}/lake")
-    rl.run(first_delivery(lk.bronze, FIRST_RUN_BEFORE))
+    rl.run(first_delivery(lk.bronze, _first_run(lk.bronze["orders"])))
     rl.run(lk.bronze)
     return rl.current().fact_sales

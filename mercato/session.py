@@ -47,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="mercato-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)   # remembered for later lookups when allowed
@@ -89,25 +91,3 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(dest)
     sc._mercato_shipped = True
 
-
-def scale_conf(largest_input_bytes: int, total_cores: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
-    """Starting settings for a cluster run, sized from the largest table a job
-    shuffles (the fact) and the cluster's cores.
-
-    Initial shuffle partitions ≈ input / 128 MiB (at least 2 × cores) so no
-    post-shuffle partition outgrows executor memory; AQE then coalesces small
-    ones to the advisory size and splits skewed ones.  Scan splits of 256 MiB
-    keep the task count of a 100 TB scan in the hundreds of thousands, not
-    millions.  Example: 100 TB on 8,000 cores → ~780k initial partitions,
-    capped here at 200k (AQE coalesces)."""
-    parts = max(2 * total_cores, min(200_000, largest_input_bytes // partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(256 << 20),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
-        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
-    }

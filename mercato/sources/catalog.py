@@ -9,6 +9,7 @@ uses a machine-local folder on a cluster.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +34,22 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
+def namespace(layer: str, root: str) -> str:
+    """The catalog namespace of a layer under `root`: each root has its own, so two
+    lakes in one session never share a table."""
+    return f"{layer}_{hashlib.md5(root.rstrip('/').encode()).hexdigest()[:12]}"
+
+
 def ensure_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType] = BRONZE,
                   layer: str = "bronze") -> list[str]:
     """S-04: create the layer namespaces and the declared tables if absent."""
-    for ns in LAYERS:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns} LOCATION '{root}/{ns}.db'")
-    made = []
+    for other in LAYERS:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {namespace(other, root)} LOCATION '{root}/{other}.db'")
+    ns, made = namespace(layer, root), []
     for name, schema in schemas.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {layer}.{name} ({_ddl(schema)}) USING parquet "
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {ns}.{name} ({_ddl(schema)}) USING parquet "
                   f"LOCATION '{root}/{layer}/{name}'")
-        made.append(f"{layer}.{name}")
+        made.append(f"{ns}.{name}")
     return made
 
 
@@ -64,12 +71,12 @@ def load_append(df: DataFrame, path: str) -> None:
 
 def materialize(df: DataFrame, spark: SparkSession, layer: str, name: str, root: str) -> DataFrame:
     """S-06: full-refresh build of a model into `<layer>.<name>`; returns the table."""
-    path = f"{root}/{layer}/{name}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION '{root}/{layer}.db'")
+    path, ns = f"{root}/{layer}/{name}", namespace(layer, root)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns} LOCATION '{root}/{layer}.db'")
     df.write.mode("overwrite").parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
-    spark.sql(f"CREATE TABLE {layer}.{name} USING parquet LOCATION '{path}'")
-    return spark.table(f"{layer}.{name}")
+    spark.sql(f"DROP TABLE IF EXISTS {ns}.{name}")
+    spark.sql(f"CREATE TABLE {ns}.{name} USING parquet LOCATION '{path}'")
+    return spark.table(f"{ns}.{name}")
 
 
 def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
@@ -77,10 +84,10 @@ def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
     return df.limit(n)
 
 
-def list_tables(spark: SparkSession, namespaces=LAYERS) -> DataFrame:
-    """S-11: (namespace, table) of the catalog — metadata only."""
-    rows = [(ns, t.name) for ns in namespaces if spark.catalog.databaseExists(ns)
-            for t in spark.catalog.listTables(ns)]
+def list_tables(spark: SparkSession, root: str, layers=LAYERS) -> DataFrame:
+    """S-11: (namespace, table) of the catalog's layers under `root` — metadata only."""
+    rows = [(layer, t.name) for layer in layers if spark.catalog.databaseExists(namespace(layer, root))
+            for t in spark.catalog.listTables(namespace(layer, root)) if not t.isTemporary]
     return spark.createDataFrame(rows, "namespace string, table_name string")
 
 
@@ -127,10 +134,17 @@ class VersionedTable:
         if not v:
             return None
         parts = self._parts(v[-1])
-        base = self.spark.read.parquet(parts[0])
-        for p in parts[1:]:
-            base = base.unionByName(self.spark.read.parquet(p))
-        return base
+        return self.spark.read.parquet(*parts)
+
+    def count_rows(self) -> int:
+        """Rows of the current version, from the files' footers; 0 without one."""
+        current = self.current()
+        return current.count() if current is not None else 0
+
+    def compact(self) -> int | None:
+        """Write the current version and its deltas as one new version."""
+        current = self.current()
+        return self.commit(current) if current is not None else None
 
     def commit(self, df: DataFrame) -> int:
         v = self.versions()

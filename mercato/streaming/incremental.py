@@ -39,6 +39,8 @@ def merge_batch(target: VersionedTable, transform: Callable[[DataFrame], DataFra
         rows = transform(batch)
         mark = I.watermark(current, id_col)             # one scalar → literal filter
         new = I.incremental_source(rows, current, id_col, mark)
+        if current is not None and new.isEmpty():
+            return                                      # nothing new: no empty delta or version
         if append_only:
             target.append(new)                          # O(new rows): the target is not rewritten
         else:

@@ -30,8 +30,15 @@ def test_declared_tables(spark):
     root = C.fresh_root(spark)
     names = C.ensure_tables(spark, root)
     assert len(names) == 7 and C.ensure_tables(spark, root) == names       # IF NOT EXISTS
-    assert spark.table("bronze.orders").schema.fieldNames()[0] == "order_id"
-    assert {"bronze"} <= {r.namespace for r in C.list_tables(spark).collect()}
+    assert spark.table(f"{C.namespace('bronze', root)}.orders").schema.fieldNames()[0] == "order_id"
+    assert {"bronze"} == {r.namespace for r in C.list_tables(spark, root).collect()}
+
+
+def test_two_folders_keep_their_own_tables(spark):
+    from mercato.queries import QUERIES
+    frames = [QUERIES["declared_schemas"](spark, f"/root/testdata/{d}") for d in ("sf0.001", "sf0.01")]
+    got = [{r.table_name: r.n_rows for r in f.collect()}["bronze.orders"] for f in frames]
+    assert got == [1500, 15000]
 
 
 def _record(spark, key, mae, at):
