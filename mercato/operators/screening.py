@@ -29,10 +29,12 @@ LINE_COMMENT = r"--[^\n]*"
 # a word character is a Unicode letter, digit or '_'; boundaries are written
 # out so every regex engine agrees on accented text
 WORD = r"[\p{L}\p{N}_]"
-LEADING_SELECT = rf"(?i)^\s*(SELECT|WITH)(?!{WORD})"
+# blanks include the Unicode separators, in the same notation for every regex engine
+BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+LEADING_SELECT = rf"(?i)^{BLANK}*(SELECT|WITH)(?!{WORD})"
 # --------------------------------------
 
-_WS_EDGES = r"^\s+|\s+$"
+_WS_EDGES = rf"^{BLANK}+|{BLANK}+$"
 
 
 def _strip(c: Column) -> Column:

@@ -296,8 +296,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+BLANKS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
+
 def _strip(e: str) -> str:
-    return f"regexp_replace({e}, {q(r'^\s+|\s+$')}, '', 'g')"
+    return f"regexp_replace({e}, {q('^' + BLANKS + '+|' + BLANKS + '+$')}, '', 'g')"
 
 
 NOT_WORD = r"([^\pL\pN_]|$)"
@@ -312,7 +315,7 @@ def screening_sql(src: str, text: str, keep: list[str], keywords, fence: str, bl
     first = "coalesce(" + ", ".join(
         f"CASE WHEN regexp_matches(nocom_, {q(r'(?i)(^|[^\pL\pN_])' + k + NOT_WORD)}) THEN {q(k)} END"
         for k in keywords) + ")"
-    lead = r"(?i)^\s*(SELECT|WITH)" + NOT_WORD
+    lead = f"(?i)^{BLANKS}*(SELECT|WITH)" + NOT_WORD
     verdict = (f"CASE WHEN {text} IS NULL OR {_strip(text)} = '' THEN 'empty' "
                f"WHEN strpos(nocom_, ';') > 0 THEN 'multiple' "
                f"WHEN NOT regexp_matches({_strip('nocom_')}, {q(lead)}) THEN 'not_select' "

@@ -152,12 +152,18 @@ def q_star_join(spark, sf_dir):
     return J.star_join(lk.fact_sales, lk.dim_date, lk.dim_products, lk.dim_customers)
 
 
+def _without_a_country(dim):
+    return dim.where(F.col("country") != dim.agg(F.min("country")).scalar())
+
+
 @register("anti_orphans", sql(
     "SELECT f.* FROM fact_sales f WHERE f.customer_key IS NOT NULL AND NOT EXISTS "
-    "(SELECT 1 FROM dim_customers d WHERE d.customer_key = f.customer_key)"))
+    "(SELECT 1 FROM dim_customers d WHERE d.customer_key = f.customer_key "
+    "AND d.country <> (SELECT min(country) FROM dim_customers))"))
 def q_anti_orphans(spark, sf_dir):
+    """Against parents that lack one country's customers, so that orphans exist."""
     lk = lake(spark, sf_dir)
-    return J.anti_orphans(lk.fact_sales, lk.dim_customers, "customer_key")
+    return J.anti_orphans(lk.fact_sales, _without_a_country(lk.dim_customers), "customer_key")
 
 
 @register("anti_missing_dates", sql(
@@ -567,10 +573,12 @@ def q_dq_not_null(spark, sf_dir):
 
 
 @register("dq_relationships", sql("SELECT f.employee_key AS from_field FROM fact_sales f WHERE f.employee_key IS NOT NULL "
-                                  "AND NOT EXISTS (SELECT 1 FROM dim_employees d WHERE d.employee_key = f.employee_key)"))
+                                  "AND NOT EXISTS (SELECT 1 FROM dim_employees d WHERE d.employee_key = f.employee_key "
+                                  "AND d.country <> (SELECT min(country) FROM dim_employees))"))
 def q_dq_relationships(spark, sf_dir):
+    """Against parents that lack one country's employees, so that failures exist."""
     lk = lake(spark, sf_dir)
-    return Q.dq_relationships(lk.fact_sales, "employee_key", lk.dim_employees, "employee_key")
+    return Q.dq_relationships(lk.fact_sales, "employee_key", _without_a_country(lk.dim_employees), "employee_key")
 
 
 @register("dq_unique_combination", sql("SELECT order_id, product_key, count(*) AS n_records FROM fact_sales "
@@ -579,11 +587,13 @@ def q_dq_unique_combination(spark, sf_dir):
     return Q.dq_unique_combination(lake(spark, sf_dir).fact_sales, ["order_id", "product_key"])
 
 
-@register("dq_expression", sql("SELECT * FROM wide_sales_forecast WHERE NOT coalesce("
+@register("dq_expression", sql("SELECT * FROM wide_sales_forecast WHERE NOT coalesce(total_quantity < 50 AND "
                                "(SELECT max(sale_date) FROM wide_sales_forecast) >= DATE '1998-01-01', false)"))
 def q_dq_expression(spark, sf_dir):
+    """A row rule that some rows break, and the table-wide rule of the suite."""
     w = lake(spark, sf_dir).wide_sales_forecast
-    return Q.dq_expression(w, F.lit(w.agg(F.max("sale_date")).scalar() >= F.to_date(F.lit("1998-01-01"))))
+    return Q.dq_expression(w, (F.col("total_quantity") < 50)
+                           & (w.agg(F.max("sale_date")).scalar() >= F.to_date(F.lit("1998-01-01"))))
 
 
 def _models(lk):
@@ -785,12 +795,23 @@ def q_date_spine(spark, sf_dir):
     return K.spine_from_bounds(b, "s", "e")
 
 
-@register("screen_sql_log", sql(oracle.screening_sql("conversations", "text", ["conv_id", "turn", "role"],
+# the given texts as statements of every kind: %-coded by (conv_id + turn) mod 8
+_AS_STATEMENT = ("CASE (conv_id + turn) % 8 WHEN 0 THEN text WHEN 1 THEN 'SELECT ' || replace(text, ';', ',')"
+                 " WHEN 2 THEN chr(160) || 'select 1 -- ' || replace(replace(text, ';', ','), chr(10), ' ')"
+                 " WHEN 3 THEN 'WITH t AS (SELECT 1) DROP TABLE ' || replace(text, ';', ',')"
+                 " WHEN 4 THEN 'SELECT 1; ' || text WHEN 5 THEN chr(8195) || chr(160)"
+                 " WHEN 6 THEN '```sql' || chr(10) || 'SELECT /* ' || replace(text, ';', ',') || ' */ 1;' || chr(10) || '```'"
+                 " ELSE 'SELECTED ' || text END")
+
+
+@register("screen_sql_log", sql(oracle.screening_sql(f"(SELECT conv_id, turn, role, {_AS_STATEMENT} AS text FROM conversations) s_",
+                                                     "text", ["conv_id", "turn", "role"],
                                                      R.FORBIDDEN_KEYWORDS, R.FENCE, R.BLOCK_COMMENT,
                                                      R.LINE_COMMENT)))
 def q_screen_sql_log(spark, sf_dir):
     from mercato.sources.driver import read_driver
-    conv = read_driver(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    spaces = _AS_STATEMENT.replace("chr(160)", "'\u00a0'").replace("chr(8195)", "'\u2003'")
+    conv = read_driver(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr(spaces).alias("text"))
     return R.screen(conv, "text").drop("text")
 
 

@@ -77,3 +77,14 @@ def test_duckdb_form_agrees(screened):
     for i, verdict, kw, cleaned, first in con.execute(q).fetchall():
         r = res[i]
         assert (r.verdict, r.keyword, r.cleaned, r.first_forbidden) == (verdict, kw, cleaned, first), i
+
+
+def test_registered_input_reaches_every_verdict(spark, sf_small):
+    from mercato.queries import QUERIES
+    got = {r.verdict for r in QUERIES["screen_sql_log"](spark, sf_small).select("verdict").distinct().collect()}
+    assert got == {"empty", "multiple", "not_select", "forbidden", "ok"}
+
+
+def test_unicode_blanks(spark):
+    df = spark.createDataFrame([(" SELECT 1",), ("  ",), ("\x85with t as (select 1) select 1",)], "text string")
+    assert [r.verdict for r in R.screen(df).collect()] == ["ok", "empty", "ok"]

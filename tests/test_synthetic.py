@@ -36,3 +36,19 @@ def test_independent_of_partitioning(spark, sf_small):
     _, o2, l2 = _gen(spark, sf_small, parts=3)
     assert sorted(o1.collect()) == sorted(o2.collect())
     assert sorted(l1.collect()) == sorted(l2.collect())
+
+
+def test_products_are_sampled_and_empty_inputs_fail(spark, sf_small):
+    import pytest
+    b, o, lines = _gen(spark, sf_small)
+    ranks = {r.product_id: i for i, r in enumerate(b["products"].select("product_id").orderBy("product_id").collect())}
+    per = lines.toPandas().groupby("order_id").product_id.apply(list)
+    per = [p for p in per if len(p) > 1]
+    neighbours = sum(abs(ranks[p[0]] - ranks[p[1]]) == 1 for p in per)
+    assert len(per) > 20 and neighbours < 0.2 * len(per)
+    with pytest.raises(Exception, match="no customers to draw from"):
+        X.synthetic_orders(b["orders"], b["customers"].limit(0), b["employees"]).collect()
+    with pytest.raises(Exception, match="no products to draw from"):
+        X.synthetic_lines(o, b["products"].limit(0)).collect()
+    with pytest.raises(Exception, match="no orders to continue from"):
+        X.synthetic_orders(b["orders"].limit(0), b["customers"], b["employees"]).collect()
