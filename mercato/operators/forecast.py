@@ -142,30 +142,33 @@ def param_grid(spark: SparkSession, yearly: bool = False) -> DataFrame:
     return spark.createDataFrame(rows, "grid_index int, cps double, sps double, yearly boolean")
 
 
-def _score_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """fit on train rows, MAE on test rows; a failing fit yields ok = False."""
-    head = pdf.iloc[0]
-    out = {"series_key": head.series_key, "grid_index": int(head.grid_index), "cps": float(head.cps),
-           "sps": float(head.sps), "mae": float("nan"), "ok": False}
-    try:
+def _score_series(grid: list[tuple]):
+    """All grid points of one series: fit on train rows, MAE on test rows; a failing fit yields ok = False."""
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, te = pdf[pdf.split == "train"], pdf[pdf.split == "test"]
-        m = fit_series(_days(tr.ds), tr.y.to_numpy(), head.cps, head.sps, bool(head.yearly))
-        pred = predict_days(m, _days(te.ds), bool(head.yearly))
-        out["mae"] = float(np.mean(np.abs(te.y.to_numpy() - pred))) if len(te) else float("nan")
-        out["ok"] = bool(len(te)) and bool(np.isfinite(out["mae"]))
-    except Exception:  # noqa: BLE001 — a failing grid point is skipped, like a failed fit
-        pass
-    return pd.DataFrame([out])
+        tr_days, te_days, tr_y, te_y = _days(tr.ds), _days(te.ds), tr.y.to_numpy(), te.y.to_numpy()
+        rows = []
+        for index, cps, sps, yearly in grid:
+            mae = float("nan")
+            try:
+                pred = predict_days(fit_series(tr_days, tr_y, cps, sps, yearly), te_days, yearly)
+                mae = float(np.mean(np.abs(te_y - pred))) if len(te) else mae
+            except Exception:  # noqa: BLE001 — a failing grid point is skipped, like a failed fit
+                pass
+            rows.append({"series_key": pdf.iloc[0].series_key, "grid_index": index, "cps": cps, "sps": sps, "mae": mae,
+                         "ok": bool(np.isfinite(mae))})
+        return pd.DataFrame(rows)
+    return score
 
 
 SCORE_SCHEMA = "series_key string, grid_index int, cps double, sps double, mae double, ok boolean"
 
 
 def grid_scores(split_series: DataFrame, grid: DataFrame) -> DataFrame:
-    """F-04 (scoring): every (series, grid point) fitted in its own group."""
+    """F-04 (scoring): every series is shuffled once, all grid points (fixed rows) are fitted in its group."""
     ship_package(split_series.sparkSession)
-    return (split_series.crossJoin(F.broadcast(grid))              # grid: 24 fixed rows
-            .groupBy("series_key", "grid_index").applyInPandas(_score_group, SCORE_SCHEMA))
+    points = [(r.grid_index, r.cps, r.sps, r.yearly) for r in grid.collect()]
+    return split_series.groupBy("series_key").applyInPandas(_score_series(points), SCORE_SCHEMA)
 
 
 def best_params(scores: DataFrame) -> DataFrame:
@@ -179,7 +182,10 @@ def best_params(scores: DataFrame) -> DataFrame:
 
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     head = pdf.iloc[0]
-    m = fit_series(_days(pdf.ds), pdf.y.to_numpy(), head.cps, head.sps, bool(head.yearly))
+    try:
+        m = fit_series(_days(pdf.ds), pdf.y.to_numpy(), head.cps, head.sps, bool(head.yearly))
+    except Exception:  # noqa: BLE001 — one bad series must not fail the others; `unfitted` names it
+        return pd.DataFrame()
     return pd.DataFrame([{"series_key": head.series_key, "cps": float(head.cps), "sps": float(head.sps),
                           "yearly": bool(head.yearly), "last_ds": pd.to_datetime(pdf.ds).max().date(), **m}])
 
@@ -193,6 +199,11 @@ def fit_models(series: DataFrame, params: DataFrame, yearly: bool, rows: str | N
     return s.join(p, "series_key").groupBy("series_key").applyInPandas(_fit_group, FIT_SCHEMA)
 
 
+def unfitted(series: DataFrame, models: DataFrame) -> DataFrame:
+    """The series that have no model, because their fit failed or no grid point succeeded."""
+    return series.select("series_key").distinct().join(models.select("series_key"), "series_key", "left_anti")
+
+
 def yhat_expr(ds: Column, yearly: bool) -> Column:
     """Model value at `ds` from the coefficient columns of FIT_SCHEMA — JVM-side."""
     d = F.datediff(ds, F.to_date(F.lit(EPOCH))).cast("double")
@@ -313,8 +324,12 @@ def train(spark: SparkSession, series: DataFrame) -> dict[str, DataFrame]:
     from mercato.session import checkpoint_dir
     checkpoint_dir(spark)
     split = chrono_split(series).checkpoint()
+    if split.isEmpty():
+        raise ValueError("no rows with positive revenue")
     scores = grid_scores(split, param_grid(spark, yearly=False)).checkpoint()
     best = best_params(scores)
+    if best.isEmpty():
+        raise ValueError("grid search produced no successful fits")
     pairs, metrics = evaluate_best(split, best, yearly=False)
     final = fit_models(split.drop("split"), best, yearly=True)
     return {"split": split, "scores": scores, "best": best, "pairs": pairs, "metrics": metrics, "final": final}

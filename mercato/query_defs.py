@@ -621,12 +621,19 @@ def _training_series(spark, sf_dir):
     return FC.prepare_series(S.active_period_positive(_series(spark, sf_dir)))
 
 
+def _all_series(spark, sf_dir):
+    """The series that are fitted: the overall one and one per category, positive days only."""
+    wide = lake(spark, sf_dir).wide_exact.where((F.col("total_revenue") > 0) & F.col("product_category").isNotNull())
+    per = FC.prepare_series(wide, F.concat(F.lit("category: "), F.col("product_category")))
+    return _training_series(spark, sf_dir).unionByName(per)
+
+
 def _trained(spark, sf_dir) -> dict:
     """Train once per application and data folder; artefacts are written as
     tables (coefficients, metrics, scores) and read back, like a stored model."""
     lk = lake(spark, sf_dir)             # one training per lake (raw or stored), kept with it
     if "trained" not in lk.__dict__:
-        out = FC.train(spark, _training_series(spark, sf_dir))
+        out = FC.train(spark, _all_series(spark, sf_dir))
         root = C.fresh_root(spark)
         stored = {}
         for name in ("scores", "metrics", "final", "split"):
@@ -676,8 +683,8 @@ def q_forecast_kpis(spark, sf_dir):
 
 @register("fit_additive")
 def q_fit_additive(spark, sf_dir):
-    s = _training_series(spark, sf_dir)
-    defaults = spark.createDataFrame([("overall", 0.05, 10.0)], "series_key string, cps double, sps double")
+    s = _all_series(spark, sf_dir)
+    defaults = s.select("series_key").distinct().select("series_key", F.lit(0.05).alias("cps"), F.lit(10.0).alias("sps"))
     return FC.fit_models(s, defaults, yearly=False)
 
 
@@ -733,12 +740,18 @@ def q_validation_forecast(spark, sf_dir):
     return FC.future_only(FC.forecast(model, None, 5))
 
 
+def _overall_record(t, stamp):
+    """A run record is about the overall series."""
+    overall = F.col("series_key") == "overall"
+    return RUNS.run_record(t["metrics"].where(overall), t["final"].where(overall), stamp)
+
+
 def _history_root(spark, sf_dir) -> str:
     """Two retrain runs recorded, plus one malformed record file."""
     t = _trained(spark, sf_dir)
     root = C.fresh_root(spark)
     for stamp in ("20240101_020000", "20240102_020000"):
-        RUNS.write_run_record(RUNS.run_record(t["metrics"], t["final"], stamp), root, stamp)
+        RUNS.write_run_record(_overall_record(t, stamp), root, stamp)
     spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(
         f"{root}/models/metrics_overall_bad.json")
     return root
@@ -748,7 +761,7 @@ def _history_root(spark, sf_dir) -> str:
 def q_metrics_sink(spark, sf_dir):
     t = _trained(spark, sf_dir)
     root, stamp = C.fresh_root(spark), _dt.datetime.now().strftime("%Y%m%d_%H%M%S")
-    path = RUNS.write_run_record(RUNS.run_record(t["metrics"], t["final"], stamp), root, stamp)
+    path = RUNS.write_run_record(_overall_record(t, stamp), root, stamp)
     return spark.read.schema("model_key string, mae double, rmse double, mean_test_revenue double, "
                              "meets_threshold boolean, train_end_date string, trained_at string").json(path)
 

@@ -115,3 +115,27 @@ def test_forecast_outputs(spark, planted):
     both = FC.forecast_vs_history(planted, fc)
     assert both.count() == 400 + 30
     assert both.where("y IS NOT NULL AND yhat IS NULL").count() == 400
+
+
+def test_one_short_series_does_not_fail_the_others(spark):
+    import datetime as dt
+
+    import pytest
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [("long", day(i), 100.0 + i % 7) for i in range(60)] + [("short", day(0), 5.0)]
+    s = spark.createDataFrame(rows, "series_key string, ds date, y double")
+    out = FC.train(spark, s)
+    assert [r.series_key for r in out["final"].collect()] == ["long"] and out["scores"].count() == 48
+    assert [r.series_key for r in FC.unfitted(s, out["final"]).collect()] == ["short"]
+    with pytest.raises(ValueError, match="no successful fits"):
+        FC.train(spark, s.where("series_key = 'short'"))
+    with pytest.raises(ValueError, match="no rows with positive revenue"):
+        FC.train(spark, s.limit(0))
+
+
+def test_every_registered_series_is_fitted(spark, sf_small):
+    from mercato.queries import QUERIES, lake
+    keys = {f"category: {r[0]}" for r in lake(spark, sf_small).dim_products.select("category_name").distinct().collect()} | {"overall"}
+    fc = QUERIES["forecast_30"](spark, sf_small).toPandas()
+    assert set(fc.series_key) == keys and (fc[fc.is_future].groupby("series_key").size() == 30).all()
+    assert (fc.yhat_lower <= fc.yhat).all() and (fc.yhat <= fc.yhat_upper).all()
