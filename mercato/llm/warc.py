@@ -7,14 +7,14 @@ others are revisit records that name it.
 
 Reading: the archives are split like any text, at the line "WARC/1.0".  A
 piece's offset (in uncompressed bytes) follows from the sizes of the pieces
-before it.  Every
-piece is a candidate: it states its own offset and, from its Content-Length,
-its successor's.  The magic line may also stand inside a payload, and such a
-piece may look like a record; so pointer jumping starts at offset 0 of each
-file: in every round the reached set doubles by following the current pointers,
-and the pointers are squared.  Only reachable candidates are records; pieces
-between them are given back to the payload they came from.  The rounds grow
-with the logarithm of the records in a file.
+before it.  Every piece is a candidate: its Content-Length states its
+successor's offset.  The magic line may also stand inside a payload, and such a
+piece may look like a record; so a task emits, for each candidate, where its
+chain leaves the split, and pointer jumping from offset 0 of each file finds
+where the true chain enters every split: in each round the reached set doubles
+and the pointers are squared, so the rounds grow with the logarithm of a file's
+splits.  Only reachable candidates are records; pieces between them are given
+back to the payload they came from, across splits too.
 
 Defined results: null html is an empty payload; short payloads are always
 responses; pages repeated in id and payload are all responses when theirs is
@@ -95,45 +95,84 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
                     F.col("value").alias("piece")))
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Offsets of a split's pieces, which come in file order, and of their successors."""
-    running: dict[tuple, int] = {}
+def _walk(batches: Iterator[pa.RecordBatch], running: dict) -> Iterator[tuple]:
+    """(batch, row, (file, split), offset, successor's offset or None, bytes needed, piece) of a
+    split's pieces, which come in file order.  The first column triple is file, split, start."""
     for batch in batches:
-        files, splits, starts = (batch.column(i).to_pylist() for i in (0, 1, 3))
-        at, after = [], []
-        for i, piece in enumerate(batch.column(2).cast(pa.binary())):
-            body = piece.as_py()
-            here = running.get((files[i], splits[i]), starts[i])
-            running[(files[i], splits[i])] = here + len(body) + len(MAGIC)
-            at.append(here - len(MAGIC))             # the magic line stands right before the piece
+        files, splits, starts = (batch.column(i).to_pylist() for i in (0, 1, 2))
+        for i, piece in enumerate(batch.column(3).cast(pa.binary())):
+            body, key = piece.as_py(), (files[i], splits[i])
+            here = running.get(key, starts[i])
+            running[key] = here + len(body) + len(MAGIC)
+            if here < len(MAGIC):
+                continue                             # a file starts with the magic line: its first, empty piece is no candidate
             end = body.find(b"\r\n\r\n")
             length = CONTENT_LENGTH.search(body[:end]) if end >= 0 else None
-            after.append(here + end + 4 + int(length[1]) + 4 if length else None)
-        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int64()), pa.array(after, pa.int64()), batch.column(2)],
-                                         ["file", "at", "next", "piece"])
-        # a file starts with the magic line: its first, empty piece is no candidate
-        yield out.filter(pa.array([x >= 0 for x in at], pa.bool_()))
-
-
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, at (byte offset of the magic line), next (offset the record's length
-    leads to, null when the piece has no complete header), piece.
-
-    A split's start in pieces is the sum of the splits before it: one small row
-    per split, which is what the tasks of a scan are."""
-    prepare(spark)
-    sizes = cut(_lines(spark, path).groupBy("file", "split").agg(F.sum(F.octet_length("piece") + len(MAGIC)).alias("total")))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    return (_lines(spark, path).join(F.broadcast(starts), ["file", "split"]).select("file", "split", "piece", "start")
-            .mapInArrow(_places, "file string, at long, next long, piece string"))
+            need = end + 4 + int(length[1]) if length else None
+            yield batch, i, key, here - len(MAGIC), None if need is None else here + need + 4, need, body
+
+
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per candidate where its chain leaves the split: offsets only, no payloads."""
+    found: dict[tuple, list] = {}
+    for _, _, key, at, after, _, _ in _walk(batches, {}):
+        found.setdefault(key, []).append((at, after))
+    for (file, split), rows in found.items():
+        out: dict[int, int | None] = {}
+        for at, after in reversed(rows):             # a successor lies further on, so it is known already
+            out[at] = out.get(after, after)
+        yield pa.RecordBatch.from_arrays([pa.array([file] * len(out)), pa.array([split] * len(out), pa.int64()),
+                                          pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())],
+                                         ["file", "split", "at", "exit"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Follow the chain from a split's entry.  A record that its split holds whole
+    comes out whole; else its pieces come out under the split that owns it."""
+    state: dict[tuple, list] = {}                    # split -> [expected offset, offset, needed bytes, parts, size]
+    rows: list = []
+
+    def close(key, s):
+        if s[3]:
+            rows.append((key[0], key[1], s[1], MAGIC.encode().join(s[3]), s[4] >= s[2]))
+        s[3], s[4] = [], 0
+
+    def flush():
+        cols = list(zip(*rows)) if rows else [()] * 5
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
+                                           pa.array(cols[3], pa.binary()).cast(pa.string()), pa.array(cols[4], pa.bool_())],
+                                          ["file", "owner", "at", "piece", "whole"])
+
+    for batch, i, key, at, after, need, body in _walk(batches, {}):
+        s = state.get(key)
+        if s is None:
+            s = state[key] = [batch.column(4)[i].as_py(), 0, 0, [], 0]
+        if at == s[0] and after is not None:
+            close(key, s)
+            s[0], s[1], s[2], s[3], s[4] = after, at, need, [body], len(body)
+        elif s[3]:
+            if s[4] < s[2]:                          # inside the payload; what follows a broken chain is no record's
+                s[3].append(body)
+                s[4] += len(MAGIC) + len(body)
+        else:
+            owner = batch.column(5)[i].as_py()       # before the split's entry: an earlier split's last record
+            if owner is not None:
+                rows.append((key[0], owner, at, body, False))
+        if len(rows) >= 256:
+            yield flush()
+    for key, s in state.items():
+        close(key, s)
+    yield flush()
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """(file, at) of the candidates that the chain from offset 0 reaches."""
+    """(file, at) where the chain from offset 0 enters a split, by pointer jumping:
+    each round follows the pointers once and squares them.  An archive that is one
+    split needs no round."""
     reached = edges.filter("at = 0").select("file", "at")
     # only pointers that end at a candidate go on
-    step = cut(edges.join(edges.select("file", F.col("at").alias("next")), ["file", "next"]).select("file", "at", "next"))
+    step = cut(edges.join(edges.select("file", F.col("at").alias("exit")), ["file", "exit"]).select("file", "at", F.col("exit").alias("next")))
     while not step.isEmpty():
         reached = cut(reached.union(reached.join(step, ["file", "at"]).select("file", F.col("next").alias("at"))))
         step = cut(step.join(step.select("file", F.col("at").alias("next"), F.col("next").alias("then")), ["file", "next"])
@@ -142,27 +181,30 @@ def reachable(edges: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records: file, at, header, block (the Content-Length bytes)."""
-    found = candidates(spark, path)
-    edges = cut(found.select("file", "at", "next"))
-    real = reachable(edges).withColumn("real", F.lit(True))
-    # a piece that is no record belongs to the payload of the record before it; offsets only, no payloads
-    owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(
-        Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = cut(edges.join(real, ["file", "at"], "left").withColumn("record", owner)
-                .filter("real is null and record is not null").select("file", "at", "record"))
-    pieces = found.select("file", "at", "piece")
-    if inner.isEmpty():
-        records = pieces
-    else:
-        parts = inner.union(inner.select("file", F.col("record").alias("at"), "record").distinct())
-        tagged = pieces.join(_small(parts), ["file", "at"], "left")
+    """The records: file, at, header, block (the Content-Length bytes).
+
+    A split's start in pieces is the sum of the splits before it; that table and
+    the entries have one row per split, which is what the tasks of a scan are."""
+    prepare(spark)
+    lines = _lines(spark, path)
+    sizes = cut(lines.groupBy("file", "split").agg(F.sum(F.octet_length("piece") + len(MAGIC)).alias("total")))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    edges = cut(lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "start", "piece")
+                .mapInArrow(_exits, "file string, split long, at long, exit long"))
+    entries = edges.join(reachable(edges), ["file", "at"]).select("file", "split", F.col("at").alias("entry"))
+    plan = starts.join(entries, ["file", "split"], "left")
+    plan = plan.withColumn("owner", F.last(F.when(F.col("entry").isNotNull(), F.col("split")), ignorenulls=True).over(before))
+    found = cut(plan)
+    parts = (lines.join(F.broadcast(found), ["file", "split"]).select("file", "split", "start", "piece", "entry", "owner")
+             .mapInArrow(_records, "file string, owner long, at long, piece string, whole boolean"))
+    records = parts.filter("whole").select("file", "at", "piece")
+    if sizes.groupBy("file").count().filter("count > 1").limit(1).count():
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), MAGIC)
-        records = (tagged.filter("record is null").select("file", "at", "piece")
-                   .union(tagged.filter("record is not null").groupBy("file", "record").agg(text.alias("piece"))))
-    # pieces before the first record of a file, and those after a broken chain, are no records
-    if not edges.join(real, ["file", "at"], "left_anti").join(inner, ["file", "at"], "left_anti").isEmpty():
-        records = records.join(real.select("file", "at"), ["file", "at"], "left_semi")
+        records = records.union(parts.filter("not whole").groupBy("file", "owner").agg(F.min("at").alias("at"), text.alias("piece"))
+                                .select("file", "at", "piece"))
+    else:
+        records = parts.select("file", "at", "piece")
     head = F.substring_index("piece", BREAK * 2, 1)
     length = F.regexp_extract(head, r"(?:^|\r\n)Content-Length: (\d{1,15})(?:\r\n|$)", 1).cast("int")
     block = F.substring(F.col("piece").cast("binary"), F.octet_length(head) + 5, length)
