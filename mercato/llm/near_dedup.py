@@ -12,9 +12,12 @@ of larger, smaller and equal registers, then verified on the full sets.
 Equal sets are one class before any pairing, so copies cost one sketch.  In a
 band's bucket every member is paired with two leaders only; after the links
 found that way are joined into components, the members of a bucket that are
-still outside its largest component are paired with the rest.  So no bucket
-emits all its pairs unless its members really stay unlinked, and no candidate
-pair between different components goes unverified.
+still outside its largest component are compared with the rest inside the join,
+by their sizes and registers, and by a bound on the intersection: shingles that
+few documents have are matched by a join of their own, and a pair that shares
+none of them can only share the others.  Only pairs that may reach the threshold
+come out of the joins.  So no candidate pair between different components is lost, and a
+bucket of loosely similar texts emits next to nothing.
 
 Defined results: null or wordless text has an empty set and no links; fewer than
 five words count as one shingle; rows repeated in id and text are one document,
@@ -42,6 +45,8 @@ PERCENT = 75                       # linked when 100 * intersection >= PERCENT *
 ROWS, BANDS = 3, 21
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65535      # register spacing b, rate a, largest register value
+RARE = 8                           # documents that may have a rare shingle
+AGREE = 28                         # of 63 registers agree at least, in a pair at 0.75 (missed with probability 1e-8)
 MARGIN = 0.30                      # estimates below 0.75 - MARGIN (over five deviations) are dropped
 
 _R = np.random.Generator(np.random.PCG64(41))
@@ -73,6 +78,19 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def _marks(regs: np.ndarray) -> np.ndarray:
+    """The registers' low bytes, seven in a long, for comparisons inside a join."""
+    low = (regs & 0xFF).astype(np.int64).reshape(len(regs), -1, 7)
+    return (low << (8 * np.arange(7))).sum(2)
+
+
+def _agree(x: str, y: str) -> str:
+    """SQL: how many registers' low bytes agree (a byte of the XOR is zero)."""
+    sevens, tops = sum(0x7F << 8 * i for i in range(7)), sum(0x80 << 8 * i for i in range(7))
+    differ = " + ".join(f"bit_count(((({x}{i} ^ {y}{i}) & {sevens}L) + {sevens}L | ({x}{i} ^ {y}{i})) & {tops}L)" for i in range(REGISTERS // 7))
+    return f"({REGISTERS} - ({differ}))"
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, off in tokens.pieces(batch.column(1)):
@@ -85,15 +103,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([r.tobytes() for r in regs], pa.binary()),
-            ], ["doc_id", "th", "n_shingles", "set_id", "regs"])
+                pa.array(list(_marks(regs)), pa.list_(pa.int64())),
+            ], ["doc_id", "th", "n_shingles", "set_id", "regs", "marks"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), n_shingles, set_id (128 bits: equal sets, equal id), regs."""
+    """doc_id, th (text hash), n_shingles, set_id (128 bits: equal sets, equal id), regs, marks."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        _sketches, f"doc_id {kind}, th long, n_shingles long, set_id binary, regs binary")
+        _sketches, f"doc_id {kind}, th long, n_shingles long, set_id binary, regs binary, marks array<long>")
 
 
 _GRID = np.linspace(0.0, 1.0, 101)
@@ -163,16 +182,34 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(full.mapInArrow(_linked, f"a {kind}, b {kind}"))
 
 
+def _hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, off in tokens.pieces(batch.column(1)):
+            words, first, _ = tokens.word_hashes(data, off)
+            sets = tokens.shingle_sets(words, first, SHINGLE)
+            rows = pa.array(np.repeat(np.arange(a, b), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+
+
+def rare_shingles(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, shingle) for the shingles that at most RARE of `reps` have."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    text = reps.join(texts, "rep").dropDuplicates(["rep"])
+    own = text.select("rep", "text").mapInArrow(_hashed_sets, f"rep {kind}, shingle long")
+    few = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE).select("shingle", "n")
+    return own.join(few, "shingle")
+
+
 def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, links): a representative per distinct set, and verified links
     between representatives that join exactly the components of all links."""
     classes = cut(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id")
                   .agg(F.min(F.struct(F.col("doc_id").alias("id"), "th")).alias("rep"),
-                       F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
+                       F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("marks").alias("marks")))
     texts = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).alias("rep"), "text")
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    bands = classes.select("rep", F.explode(keys).alias("band"))
+    bands = classes.select("rep", F.posexplode(keys).alias("nth", "band"))
     leaders = (bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"),
                                          F.min_by("rep", F.xxhash64("rep")).alias("other")).filter("n > 1").drop("n"))
     members = cut(bands.join(leaders, "band"))           # buckets with company only
@@ -180,17 +217,39 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = verify(_pairs(star, "rep", "lead"), classes, texts)
 
     # members outside their bucket's largest component meet the rest of the bucket
-    placed = (members.select("band", "rep")
-              .join(components(found).toDF("rep", "comp"), "rep", "left")
-              .withColumn("comp", F.coalesce("comp", "rep")))
+    comp = components(found).toDF("rep", "comp")
+    placed = members.select("band", "nth", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     per = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = (per.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
                .filter("parts > 1").drop("parts"))
     mixed = cut(placed.join(largest, "band"))
-    outside = mixed.filter("comp <> main").select("band", F.col("rep").alias("x"), F.col("comp").alias("comp_x"))
-    across = (outside.join(mixed.select("band", F.col("rep").alias("y"), "comp", "main"), "band")
-              .filter("comp_x <> comp and (comp = main or x < y)"))
-    rest = verify(_pairs(across, "x", "y").join(found.select("a", "b"), ["a", "b"], "left_anti"), classes, texts)
+    reps = mixed.select("rep", "comp").distinct()
+    rare = cut(rare_shingles(reps.select("rep"), texts))
+    many = range(REGISTERS // 7)
+    side = (reps.join(classes.select("rep", "n_shingles", keys.alias("keys"), *[F.element_at("marks", i + 1).alias(f"m{i}") for i in many]), "rep")
+            .join(rare.groupBy("rep").agg(F.count(F.lit(1)).alias("rare")), "rep", "left")
+            .withColumn("common", F.col("n_shingles") - F.coalesce("rare", F.lit(0))).drop("rare"))
+    side = cut(side)
+
+    def named(df: DataFrame, a: str) -> DataFrame:
+        return df.withColumnsRenamed({"rep": a, **{c: f"{c}_{a}" for c in ("comp", "main", "n_shingles", "common", "keys")},
+                                      **{f"m{i}": f"{a}{i}" for i in many}})
+
+    may = (f"comp_x <> comp_y and 100 * least(n_shingles_x, n_shingles_y) >= {PERCENT} * greatest(n_shingles_x, n_shingles_y) "
+           f"and {_agree('x', 'y')} >= {AGREE}")
+    # pairs that share no rare shingle: the intersection is at most the smaller count of common ones;
+    # a pair comes out of the first band it shares
+    bound = (f"100 * least(common_x, common_y) >= {PERCENT} * (n_shingles_x + n_shingles_y - least(common_x, common_y)) "
+             "and array_position(zip_with(keys_x, keys_y, (p, q) -> p = q), true) = nth + 1")
+    rows = mixed.drop("comp").join(side, "rep")
+    outside = named(rows.filter("comp <> main").drop("main"), "x")
+    others = named(rows.drop("nth"), "y")
+    across = outside.join(others, (outside["band"] == others["band"]) & F.expr(f"(comp_y = main_y or x < y) and {may} and {bound}"))
+    # pairs that share one: at most RARE documents have it
+    seen = rare.filter("n > 1").select("rep", "shingle").join(side.drop("keys", "common"), "rep")
+    left, right = named(seen, "x"), named(seen, "y")
+    joint = left.join(right, (left["shingle"] == right["shingle"]) & F.expr(f"x < y and {may}"))
+    rest = verify(_pairs(across.select("x", "y").union(joint.select("x", "y")), "x", "y"), classes, texts)
     return classes, found.union(rest)
 
 
