@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    Spark deletes the shuffle files of a finished step when the driver's garbage
+    collector finds that nothing refers to it, by default after half an hour at
+    the latest; a job of many steps asks for that here, so that its disk holds
+    about one step's shuffles at a time."""
     checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
