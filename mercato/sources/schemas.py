@@ -39,15 +39,9 @@ BRONZE: dict[str, T.StructType] = {
                          ("phone", _S), ("fax", _S), ("homepage", _S)),
 }
 
-# Layer namespaces; a custom schema name is used verbatim (trimmed), not
-# prefixed with the target schema.
+# Layer namespaces
 LAYERS = ("bronze", "silver", "gold")
 
-
-def layer_name(custom: str | None, default: str) -> str:
-    return custom.strip() if custom and custom.strip() else default
-
-
 # Record written by one forecasting run (seven fields).
 RUN_RECORD = _struct(("model_key", _S), ("mae", _D), ("rmse", _D), ("mean_test_revenue", _D),
                      ("meets_threshold", T.BooleanType()), ("train_end_date", _S), ("trained_at", _S))

@@ -68,3 +68,11 @@ def test_history_reads_indented_records(spark, tmp_path):
         '  "meets_threshold": true,\n  "train_end_date": "1998-05-06",\n  "trained_at": "2024-01-01 00:00:00"\n}\n')
     rows = runs.training_history(spark, root, multiline=True).collect()
     assert len(rows) == 1 and rows[0].mae == 1.5
+
+
+def test_jdbc_bounds_are_text():
+    import datetime as dt
+
+    from mercato.sources.jdbc import _bound
+    assert _bound(7) == "7" and _bound(dt.date(2020, 1, 2)) == "2020-01-02"
+    assert _bound(dt.datetime(2020, 1, 2, 3, 4, 5)) == "2020-01-02 03:04:05"
