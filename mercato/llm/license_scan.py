@@ -1,8 +1,12 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, runs of other than
-letters and digits become one blank) and looked up among known licence
-sentences, which gives the text a sequence of sentence identifiers.  Ordered
+A text is cut into sentences: line breaks and comment marks inside a notice are
+blanks; sentences end at full stops, blank lines, list items, colons at a line's
+end and before lines that open a notice.  Each is normalised (lower case, runs of
+other than letters and digits become one blank) and looked up among known licence
+sentences; one that is not known is looked up clause by clause (";" and ":"), and
+an unknown clause line by line, so a notice without a full stop is found between
+other lines.  This gives the text a sequence of sentence identifiers.  Ordered
 rules, the most specific first, match runs of the sequence; what a rule matched
 is taken out, so a general rule cannot claim it again.  Identifiers that no rule
 takes are reported as unmatched.
@@ -110,7 +114,19 @@ RULES = (
     ("SPDX", ("spdx-tag",)),
 )
 
-SENTENCE_END = r"([.;:])[ \t]+"
+# Replacements that cut a lower-case text, in this order.  "\f" ends a sentence,
+# "\n" is a line break inside one.
+SENTENCE_CUTS = (
+    (r"\r\n?|\f", "\n"),
+    (r"(?m)^[ \t]*(?:(?:/\*+|\*+/?|//+!?|#+|;+|--+|<!--+|%+|(?:dnl|rem)\b)[ \t]*)*", ""),    # comment marks
+    (r"(?:\*+/|--+>)[ \t]*(?=\n|$)", ""),
+    (r"\n{2,}|(?<=:)[ \t]*\n", "\f"),
+    (r"(?<!version)\n(?=[0-9]{1,2}[.)][ \t]|\(?[0-9a-z]\)[ \t]|[-+•][ \t])", "\f"),         # list items
+    (r"\n(?=\(c\) |©|copyright (?:\(c\)|©|[0-9])|all rights reserved|spdx-license-identifier|(?:licensed|released) under )", "\f"),
+    (r"(?<!\bv)([.?!][\"')\]]*)(?<!\b(?:inc|ltd|corp|co)\.(?=\s{1,9}(?:nor|or|and|may|be|[\"'`“]{0,2}as is)\b))\s+", "$1\f"),
+    (r"((?:^|\f)(?:\(c\)|©|copyright\b|spdx-license-identifier)[^\n\f]*)\n", "$1\f"),       # one line each
+)
+CLAUSE_END = r"(?<=[;:])[ \t\n]+"
 ORDER = list(dict.fromkeys(name for name, _ in RULES))
 
 
@@ -129,6 +145,24 @@ def _identify(sentence):
     return found
 
 
+def _known(pieces, smaller=None):
+    """The identifiers of the known pieces in order; a piece that is not known gives those of its smaller ones."""
+    def one(s):
+        return F.struct(s.alias("s"), _identify(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))).alias("id"))
+
+    found = F.transform(F.filter(pieces, _any_word), one)
+    if smaller is None:
+        return F.transform(F.filter(found, lambda r: r["id"].isNotNull()), lambda r: r["id"])
+    return F.flatten(F.transform(found, lambda r: F.when(r["id"].isNotNull(), F.array(r["id"])).otherwise(smaller(r["s"]))))
+
+
+def _identifiers(text):
+    """The identifiers of a lower-case text: sentence by sentence, else clause by clause, else line by line."""
+    for pattern, by in SENTENCE_CUTS:
+        text = F.regexp_replace(text, pattern, by)
+    return _known(F.split(text, "\f"), lambda s: _known(F.split(s, CLAUSE_END), lambda c: _known(F.split(c, "\n"))))
+
+
 def _wrap(ids) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -137,10 +171,8 @@ def scan(docs: DataFrame, out: str = "license_scan") -> DataFrame:
     """`docs` plus the struct column `out`: sequence (known sentences in order),
     licenses (each once, in the order of the rules) and unmatched."""
     low = F.coalesce(F.lower("text"), F.lit(""))
-    cut = F.split(F.regexp_replace(F.col("_low"), SENTENCE_END, "$1\n"), "\n")
-    normal = F.transform(F.filter(cut, _any_word), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     none = F.array().cast("array<string>")
-    ids = F.when(_any_word(F.col("_low")), F.filter(F.transform(normal, _identify), lambda i: i.isNotNull())).otherwise(none)
+    ids = F.when(_any_word(F.col("_low")), _identifiers(F.col("_low"))).otherwise(none)
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_wrap(run)).alias("run")) for name, run in RULES])
     start = F.struct(F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("rest"),
                      none.alias("found"))
