@@ -325,7 +325,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, spans = batch.column(0), batch.column(1)
         texts = row.field("text").cast(pa.binary())
-        n, removed, runs, sha, kept = [], [], [], [], []
+        n, removed, runs, sha, kept, whole = [], [], [], [], [], []
         for i in range(batch.num_rows):
             text = texts[i].as_py() or b""
             cuts = _cuts(text, spans[i].as_py())
@@ -339,17 +339,21 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs.append(len(cuts))
             sha.append(hashlib.sha256(left).hexdigest())
             kept.append(left)
+            ends = [0, *(x for c in cuts for x in c), len(text)]
+            whole.append("".join(text[a:b].decode("utf-8", "ignore") for a, b in zip(ends[::2], ends[1::2])) if cuts else None)
         yield pa.RecordBatch.from_arrays([row, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
-                                          pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-                                         ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                                          pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(whole, pa.string())],
+                                         ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """row (struct of the document's columns), n_bytes, n_removed, n_spans,
-    kept_sha256 and kept (the remaining bytes)."""
+    kept_sha256, kept (the remaining bytes) and kept_text (of a cut text, what is
+    left without the characters that a cut broke)."""
     keyed, spans = repeated_windows(docs)
     schema = T.StructType([keyed.schema["row"]] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-                          + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+                          + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()),
+                             T.StructField("kept_text", T.StringType())])
     return keyed.join(spans, ["k1", "k2"], "left").select("row", "spans").mapInArrow(_kept, schema)
 
 
@@ -357,8 +361,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut from `text`; documents of which nothing
     is left go.  A character that a cut left incomplete is dropped with it."""
     d = dedup(docs).filter("n_removed = 0 or n_removed < n_bytes")
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.when(F.col("n_removed") == 0, text).otherwise(F.regexp_replace(text, "�", ""))
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
     return d.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
