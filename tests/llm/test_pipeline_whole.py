@@ -1,6 +1,13 @@
 """What the pipeline leaves, against plain Python."""
 
-from mercato.llm import suffix_dedup
+import re
+from collections import Counter
+
+import corpus_pipeline
+from mercato.llm import suffix_dedup, toxicity
+from mercato.llm.common import table
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def test_cut_texts_keeps_real_replacement_characters(spark):
@@ -17,3 +24,68 @@ def test_cut_texts_drops_broken_characters_only(spark):
     rows = [(1, "\ufffda" + "ũ" + "k" * 210 + "\ufffd"), (2, "b" + "é" + "k" * 210)]
     out = {r.doc_id: r.text for r in suffix_dedup.cut_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: "\ufffda\ufffd", 2: "b"}
+
+
+def _after_near_dedup(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
+        sets[i] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: t for i, t in texts.items() if root(i) == i}
+
+
+def _after_suffix_dedup(texts):
+    raw = {i: t.encode() for i, t in texts.items()}
+    seen = Counter(b[p:p + 200] for b in raw.values() for p in range(len(b) - 199))
+    left = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if seen[b[p:p + 200]] > 1:
+                gone[p:p + 200] = b"\1" * 200
+        if b and all(gone):
+            continue
+        left[i] = "".join(b[m.start():m.end()].decode("utf-8", "ignore") for m in re.finditer(b"\0+", bytes(gone)))
+    return left
+
+
+def _after_decontamination(texts, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    windows = set()
+    for t in items:
+        w = words(t)
+        n = min(13, len(w))
+        windows |= {tuple(w[j:j + n]) for j in range(len(w) - n + 1)} if n else set()
+    left = {}
+    for i, t in texts.items():
+        w = words(t)
+        hit = {k for n in {len(x) for x in windows} for j in range(len(w) - n + 1) if tuple(w[j:j + n]) in windows
+               for k in range(j, j + n)}
+        if not hit or 20 * len(hit) < len(w):
+            left[i] = t
+    return left
+
+
+def test_pipeline_against_brute_force(spark, sf_small):
+    """The ids and texts that must be left; the toxicity scores are the operator's (a trained model)."""
+    docs = table(spark, sf_small, "documents")
+    clean = {r.doc_id for r in toxicity.report(docs, table(spark, sf_small, "labels")).collect() if r.score < 0.5}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    stages = [{i: t for i, t in texts.items() if i in clean}]
+    stages.append(_after_near_dedup(stages[-1]))
+    stages.append(_after_suffix_dedup(stages[-1]))
+    stages.append(_after_decontamination(stages[-1], [r.text or "" for r in table(spark, sf_small, "benchmark").collect()]))
+    got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, sf_small).collect()}
+    assert got == stages[-1] and len(texts) > len(stages[0]) > len(stages[1]) > len(stages[3]) > 0
+    assert any(stages[2][i] != stages[1][i] for i in stages[2])
