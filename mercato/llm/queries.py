@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language_id, license_scan, mixing, near_dedup, passages, suffix_dedup, toxicity, warc
+from . import (decontaminate, fingerprint, importance, language_id, license_scan, manifest, mixing, near_dedup, passages, simhash, suffix_dedup,
+               toxicity, warc)
 from .common import table
 
 
@@ -48,7 +49,22 @@ def op4_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(table(spark, sf_dir, "documents")).drop("start_byte", "end_byte")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
     "op4_chained_passages": op4_chained_passages,
     "op1_license_scan": op1_license_scan,
     "op2_rank_order_language_id": op2_rank_order_language_id,
@@ -62,6 +78,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_merkle_manifest": manifest.oracle(),
+    "op13_importance_resampling": importance.oracle(),
     "op1_license_scan": license_scan.oracle(),
     "op10_warc_roundtrip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
