@@ -1,5 +1,6 @@
 """Licence notices as they are written: every known sentence and every rule."""
 
+import duckdb
 import pytest
 
 from mercato.llm import license_scan
@@ -32,7 +33,11 @@ SAMPLES = {
     "gpl-3-name": ["Licensed under the GNU General Public License version 3.0."],
     "gpl-or-later": ["You can redistribute it and/or modify it under the terms of the GNU General Public License as published, either version 2 or later."],
     "gpl-3-or-later": ["You can redistribute it and/or modify it under the terms of the GNU General Public License as published, either version 3 or later."],
+    "lgpl-2.1-name": ["Under the terms of the GNU Lesser General Public License version 2.1.",
+                      "It is free under the GNU Lesser General Public License as published by the Foundation, version 2.1 or later."],
+    "lgpl-3-name": ["Under the GNU Lesser General Public License, version 3."],
     "lgpl-name": ["It is under the GNU Lesser General Public License."],
+    "agpl-3-name": ["Under the terms of the GNU Affero General Public License, version 3."],
     "agpl-name": ["It is under the GNU Affero General Public License."],
     "gpl-no-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."],
     "gpl-copy": ["You should have received a copy of the GNU General Public License."],
@@ -40,14 +45,23 @@ SAMPLES = {
     "mpl-copy": ["If a copy of the MPL was not distributed with this file, you can obtain one."],
     "epl-2-name": ["Under the terms of the Eclipse Public License v. 2.0."],
     "cc0-name": ["Dedicated to all by CC0 1.0.", "Licensed under Creative Commons Zero."],
-    "cc-by-name": ["Licensed under CC BY 4.0."],
-    "cc-by-sa-name": ["Licensed under CC BY-SA 4.0."],
+    "cc-by-4-name": ["Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa-4-name": ["Licensed under CC BY-SA 4.0."],
+    "cc-by-name": ["Licensed under CC BY 3.0."],
+    "cc-by-sa-name": ["Licensed under CC BY-SA 2.0."],
     "cc-by-nc-name": ["Licensed under CC BY-NC 4.0."],
     "cc-by-nd-name": ["Licensed under CC BY-ND 4.0."],
     "unlicense-domain": ["This is free and unencumbered software released into the public  domain."],
     "zlib-no-warranty": ["This software is provided as-is, without any express or implied warranty."],
     "zlib-permission": ["Permission is granted to anyone to use this software for any purpose."],
     "boost-name": ["Under the Boost Software License, Version 1.0."],
+    "gpl-2-head": ["GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991"],
+    "gpl-3-head": ["                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"],
+    "lgpl-2.1-head": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"],
+    "lgpl-3-head": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"],
+    "agpl-3-head": ["GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"],
+    "mpl-2-head": ["Mozilla Public License Version 2.0\n=================================="],
+    "apache-2-head": ["Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"],
 }
 
 
@@ -164,8 +178,32 @@ def test_wrapped_notices(spark, wrap):
 
 def test_lines_beside_other_text(spark):
     """What a line said alone is still found between lines that do not end."""
-    texts = {"MIT": "some title\nReleased under the MIT License\nother words go on", "CC-BY": "a\nb: Licensed under CC BY 4.0\nc",
-             "MIT,SPDX": "Copyright 2020 A Body\nThis is available under the MIT license\nSPDX-License-Identifier: MIT\nint main;",
+    texts = {"Zlib": "a\nThis software is provided as-is, without any express or implied warranty.\nPermission is granted to anyone to use this software for any purpose", "CC-BY": "a\nb: Licensed under CC BY 3.0\nc",
+             "MIT": "Copyright 2020 A Body\nThis is available under the MIT license\nSPDX-License-Identifier: MIT\nint main;",
              "Apache-2.0,MIT": "Licensed under the Apache License, Version 2.0\nReleased under the MIT License\n"}
     got = _scan(spark, list(texts.values()))
     assert [got[n].licenses for n in range(len(texts))] == list(texts)
+
+
+def test_tags_state_their_licence(spark):
+    texts = {"MIT": "// SPDX-License-Identifier: MIT\nint main;", "GPL-2.0-only WITH Classpath-exception-2.0": "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0",
+             "MIT OR Apache-2.0": "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", "X11": "spdx-license-identifier = X11.\nx",
+             "MIT,BSD-2-Clause": "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: BSD-2-Clause\nSPDX-License-Identifier: MIT", "": "SPDX-License-Identifier: ???"}
+    got = _scan(spark, list(texts.values()))
+    assert [got[n].licenses for n in range(len(texts))] == list(texts)
+    assert all(got[n].unmatched == "" for n in range(len(texts)))
+
+
+def test_twin_on_notices(spark):
+    """The SQL twin reads every notice, wrap and sample as the operator does."""
+    texts = [t for samples in SAMPLES.values() for t in samples] + [t for texts in NOTICES.values() for t in texts]
+    texts += [_commented(t, m) for texts_ in NOTICES.values() for t in texts_ for m in ("#", "//", " *")]
+    texts += ["\n\n".join(t[0] for t in SAMPLES.values()), "\n".join(t[0] for t in SAMPLES.values()), "", None, "a: \n\nCopyright x\nb", "a:\n\n\nb v. 2 co. or inc. x",
+              "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0-only OR X11.\nAll rights reserved", "SPDX-License-Identifier: ???"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = ("n_sentences", "sequence", "licenses", "unmatched")
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, {', '.join(names)} FROM ({license_scan.oracle()})").fetchall()}
+    got = _scan(spark, texts)
+    assert {texts[n]: tuple(r[c] for c in names) for n, r in got.items()} == {texts[n]: r for n, r in want.items()}
