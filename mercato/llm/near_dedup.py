@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import cut, prepare
 from .graph import components
+from .ranks import stored
 
 SHINGLE = 5
 PERCENT = 75                       # linked when 100 * intersection >= PERCENT * union
@@ -253,23 +254,39 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, found.union(rest)
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, th, n_shingles, component_id, kept."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs`: doc_id, th, n_shingles and head, the smallest (id, th) of its group."""
     sketched = cut(sketches(docs))
     classes, found = links(docs, sketched)
     label = (classes.select("set_id", "rep").join(components(found).toDF("rep", "comp"), "rep", "left")
-             .select("set_id", F.coalesce("comp", "rep")["id"].alias("component")))
-    out = sketched.select("doc_id", "th", "n_shingles", "set_id").join(label, "set_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+             .select("set_id", F.coalesce("comp", "rep").alias("head")))
+    return sketched.select("doc_id", "th", "n_shingles", "set_id").join(label, "set_id", "left").drop("set_id")
+
+
+def cluster(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs`: doc_id, th, n_shingles, component_id, kept."""
+    component = F.when(F.col("n_shingles") > 0, F.col("head.id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return _labelled(docs).select("doc_id", "th", "n_shingles", component.alias("component_id"),
+                                  F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group; the columns as they came."""
-    gone = cluster(docs).filter("not kept").select(F.col("doc_id").alias("_nd_id"), F.col("th").alias("_nd_th")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_nd_id")) & (F.xxhash64("text") == F.col("_nd_th")), "left_anti")
+    """`docs` with one row of each group, that of its smallest id (of rows that share
+    it, one text; of rows repeated in id and text, one); the columns as they came.
+    Rows without words or id stay.
+
+    Only what has to go or is repeated meets the documents again."""
+    head = F.struct(F.col("doc_id").alias("id"), "th")
+    acts = (_labelled(docs).filter("n_shingles > 0 and doc_id is not null")
+            .groupBy(F.col("doc_id").alias("_nd_id"), F.col("th").alias("_nd_th"))
+            .agg(F.count(F.lit(1)).alias("_nd_n"), F.first(F.col("head") == head).alias("_nd_kept")).filter("not _nd_kept or _nd_n > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    acts = stored(acts.drop("_nd_n"), "near-acts")
+    at = rows.join(acts, (F.col("row.doc_id") == F.col("_nd_id")) & (F.xxhash64("row.text") == F.col("_nd_th")), "left")
+    repeated = at.filter("_nd_kept").groupBy("_nd_id", "_nd_th").agg(F.first("row").alias("row"))
+    out = at.filter("_nd_kept is null").select("row").union(repeated.select("row"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from mercato.llm import suffix_dedup, toxicity
+from mercato.llm import near_dedup, suffix_dedup, toxicity
 from mercato.llm.common import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,3 +89,24 @@ def test_pipeline_against_brute_force(spark, sf_small):
     got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, sf_small).collect()}
     assert got == stages[-1] and len(texts) > len(stages[0]) > len(stages[1]) > len(stages[3]) > 0
     assert any(stages[2][i] != stages[1][i] for i in stages[2])
+
+
+def test_repeated_rows_keep_one_each(spark):
+    """Rows repeated in id and text, copies, near copies and near texts under one id:
+    every group is left once, and suffix dedup then finds nothing of it repeated."""
+    text = " ".join(f"word{i}" for i in range(120))
+    near = text.replace("word60 ", "other ")
+    alone = " ".join(f"lone{i}" for i in range(90))
+    rows = [(1, text, 1), (1, text, 1), (2, text + " ", 2), (3, text + " ", 3), (5, near, 4), (5, near, 5), (6, alone, 6), (6, alone, 6),
+            (7, alone, 7), (8, "same id", 8), (8, "another text here", 9), (8, "same id", 10), (9, None, 11), (9, None, 11), (None, "no id", 12), (None, "no id", 12),
+            (10, " ".join(f"x{i}" for i in range(100)), 13), (10, " ".join(f"x{i}" for i in range(99)), 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(4)
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    ten = [g for g in got if g[0] == 10]
+    assert len(ten) == 1 and ten[0][1] in (rows[16][1], rows[17][1])
+    want = [(1, text), (6, alone), (8, "same id"), (8, "another text here"), (9, None), (9, None), (None, "no id"), (None, "no id"), ten[0]]
+    assert got == sorted(want, key=str)
+    left = sorted(((r.doc_id, r.text) for r in suffix_dedup.cut_texts(kept).collect()), key=str)
+    assert left == got
