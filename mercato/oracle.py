@@ -219,6 +219,16 @@ def sql(select: str, extra_ctes: str = "") -> str:
     return head + "\n" + select.strip()
 
 
+def sql_of_orders(condition: str, select: str) -> str:
+    """`select` over the models of a lake that holds only the orders (of `stg_orders_all_`)
+    that meet the condition, and their lines."""
+    head = (PRELUDE.replace("stg_orders AS (", "stg_orders_all_ AS (", 1).replace("stg_order_details AS (", "stg_order_details_all_ AS (", 1)
+            .replace("stg_customers AS (", f"stg_orders AS (SELECT * FROM stg_orders_all_ WHERE {condition}),\n"
+                     "stg_order_details AS (SELECT * FROM stg_order_details_all_ WHERE order_id IN (SELECT order_id FROM stg_orders)),\n"
+                     "stg_customers AS (", 1))
+    return head + "\n" + select.strip()
+
+
 # analytics building blocks shared by several statements
 ANALYTICS = """
 series_ AS (

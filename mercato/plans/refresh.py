@@ -4,15 +4,17 @@ The first run builds every model.  Later runs keep the incremental models'
 semantics — each takes only rows whose id is above its own stored high-water
 mark — and, because the merge key determines the id, the merge is an append:
 only the new rows are written, as a committed delta of the current version
-(`VersionedTable.append`).  A daily run therefore reads and writes O(new rows)
-for the big tables (order lines and the fact), whatever their size.  The
-small models (customers, products, …) are rebuilt as a new version, and the
-day × category tables are rebuilt from the current fact.
+(`VersionedTable.append`).  A daily run therefore writes O(new rows) for the big
+tables (order lines and the fact), whatever their size.  The small models
+(customers, products, …) are rebuilt as a new version.  The fact is stored by
+month, and the day × category tables are replaced for the touched days and their
+halo only (`plans/daily.py`).
 
     run 1:  stg_* ← bronze;  fact ← stg_orders ⋈ stg_order_details;  wide ← fact
     run n:  stg_orders        += stg(bronze.orders)        where order_id > mark
             stg_order_details += stg(bronze.order_details) where order_id > mark
             fact_sales        += stg_orders ⋈ details       where order_id > mark(fact)
+            daily_cat, wide   := touched days and 29 days after, by dynamic partition overwrite
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from mercato.lake import Lake, StoredLake
 from mercato.operators import incremental as I
 from mercato.plans import gold, staging
+from mercato.plans.daily import DailyTables
 from mercato.sources.catalog import VersionedTable
 
 # model → (id column of the watermark, merge key); every key here determines its id
@@ -31,28 +34,29 @@ INCREMENTAL = {"stg_orders": ("order_id", "order_id"),
                "fact_sales": ("order_id", "order_detail_id")}
 FULL_SILVER = ("stg_customers", "stg_products", "stg_categories", "stg_employees", "stg_suppliers")
 FULL_GOLD = ("dim_customers", "dim_products", "dim_employees", "dim_date")
-AGGREGATES = ("daily_cat", "wide_exact")     # in this order: the wide table reads the stored aggregate
 
 
 class RefreshedLake:
     def __init__(self, spark: SparkSession, root: str, spine: tuple[str, str] | None = None):
         self.spark, self.root, self.spine = spark, root.rstrip("/"), spine
-        self.tables = {n: VersionedTable(spark, f"{self.root}/{n}")
-                       for n in (*INCREMENTAL, *FULL_SILVER, *FULL_GOLD, *AGGREGATES)}
+        self.tables = {n: VersionedTable(spark, f"{self.root}/{n}", month_of="date_key" if n == "fact_sales" else None)
+                       for n in (*INCREMENTAL, *FULL_SILVER, *FULL_GOLD)}
+        self.daily = DailyTables(spark, self.root)
 
     def current(self) -> StoredLake:
-        stored = {n: t.current() for n, t in self.tables.items() if t.versions()}
-        return StoredLake(self.spark, {}, stored, spine=self.spine)
+        return self._without(())
 
     def _without(self, names: tuple[str, ...]) -> StoredLake:
         """The stored lake, with the named tables planned anew."""
         stored = {n: t.current() for n, t in self.tables.items() if n not in names and t.versions()}
-        return StoredLake(self.spark, {}, stored, spine=self.spine)
+        days = {n: self.daily.current(n) for n in DailyTables.NAMES}
+        return StoredLake(self.spark, {}, stored | {n: df for n, df in days.items() if df is not None}, spine=self.spine)
 
-    def run(self, bronze: dict[str, DataFrame]) -> dict[str, int]:
-        """One scheduled run; returns the number of rows written per incremental model."""
+    def run(self, bronze: dict[str, DataFrame]) -> dict[str, int | str]:
+        """One scheduled run; returns the number of rows written per incremental model
+        and of days replaced in the day × category tables ("built": all of them)."""
         first = not self.tables["stg_orders"].versions()
-        written: dict[str, int] = {}
+        written: dict[str, int | str] = {}
         src = Lake(self.spark, bronze, spine=self.spine)
 
         for name in FULL_SILVER:
@@ -63,6 +67,7 @@ class RefreshedLake:
         for name in ("stg_orders", "stg_order_details"):
             written[name] = self._append_new(name, fresh[name])
 
+        products = self.tables["dim_products"].current()             # as the last run left them
         lk = self._without(FULL_GOLD)
         for name in FULL_GOLD:
             self.tables[name].commit(lk.model(name))
@@ -71,9 +76,8 @@ class RefreshedLake:
         new_fact = gold.fact_sales(lk.stg_orders, lk.stg_order_details)
         written["fact_sales"] = self._append_new("fact_sales", new_fact)
 
-        for name in AGGREGATES:
-            lk = self._without(AGGREGATES[AGGREGATES.index(name):])
-            self.tables[name].commit(lk.model(name))
+        lk = self.current()
+        written |= self.daily.refresh(self.tables["fact_sales"], lk.dim_date, lk.dim_products, products)
         written["first_run"] = int(first)
         return written
 
@@ -83,11 +87,7 @@ class RefreshedLake:
         table = self.tables[name]
         current = table.current()
         mark = I.watermark(current, id_col)              # literal: pushed to the scans
-        new = I.increment(rows, current, id_col, mark)
-        before = table.count_rows()
-        if current is None or not new.isEmpty():
-            table.append(new)
-        return table.count_rows() - before                # from the written files, nothing is cached
+        return table.append(I.increment(rows, current, id_col, mark))
 
 
 def first_delivery(bronze: dict[str, DataFrame], orders: DataFrame) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.session import checkpoint_dir
@@ -101,10 +102,15 @@ class VersionedTable:
     rows are written (the incremental case).  `current()` reads the newest
     complete version with its committed deltas.  Old versions stay until
     `vacuum(keep)`.
+
+    `month_of` names an INT yyyyMMdd column: rows are then ranged by it and stored by
+    its month (`date_month`), so a range of days prunes whole months and, inside
+    one, row groups.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, month_of: str | None = None):
+        self.spark, self.path, self.month_of = spark, path.rstrip("/"), month_of
+        self._prefix = "part=" if month_of else ""        # parts with partitions below are partitions themselves
         jvm = spark._jvm
         self._P = jvm.org.apache.hadoop.fs.Path
         self._fs = self._P(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -116,25 +122,41 @@ class VersionedTable:
         out = []
         for st in self._fs.listStatus(root):
             name = st.getPath().getName()
-            if name.startswith("v=") and self._fs.exists(self._P(st.getPath(), "base/_SUCCESS")):
+            if name.startswith("v=") and self._fs.exists(self._P(st.getPath(), f"{self._prefix}base/_SUCCESS")):
                 out.append(int(name[2:]))
         return sorted(out)
 
+    def parts(self) -> list[str]:
+        """The folders of the current version: its base and committed deltas."""
+        v = self.versions()
+        return self._parts(v[-1]) if v else []
+
     def _parts(self, n: int) -> list[str]:
         root = f"{self.path}/v={n}"
-        parts = [f"{root}/base"]
+        parts = [f"{root}/{self._prefix}base"]
         for st in self._fs.listStatus(self._P(root)):
             p = st.getPath()
-            if st.isDirectory() and p.getName().startswith("delta-") and self._fs.exists(self._P(p, "_SUCCESS")):
+            if st.isDirectory() and p.getName().startswith(f"{self._prefix}delta-") and self._fs.exists(self._P(p, "_SUCCESS")):
                 parts.append(p.toString())
         return parts
 
-    def current(self) -> DataFrame | None:
-        v = self.versions()
-        if not v:
+    def current(self, raw: bool = False) -> DataFrame | None:
+        """The current version; `raw` keeps the storage column `date_month`."""
+        parts = self.parts()
+        if not parts:
             return None
-        parts = self._parts(v[-1])
-        return self.spark.read.parquet(*parts)
+        if self.month_of is None:
+            return self.spark.read.parquet(*parts)
+        df = self.spark.read.option("basePath", parts[0].rsplit("/", 1)[0]).parquet(*parts).drop("part")
+        return df if raw else df.drop("date_month")
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        if self.month_of is None:
+            df.write.mode("errorifexists").parquet(path)
+            return
+        (df.withColumn("date_month", F.floor(F.col(self.month_of) / 100).cast("int"))
+         .repartitionByRange(self.month_of).sortWithinPartitions(self.month_of)
+         .write.mode("errorifexists").partitionBy("date_month").parquet(path))
 
     def count_rows(self) -> int:
         """Rows of the current version, from the files' footers; 0 without one."""
@@ -149,18 +171,24 @@ class VersionedTable:
     def commit(self, df: DataFrame) -> int:
         v = self.versions()
         n = (v[-1] + 1) if v else 1
-        df.write.mode("errorifexists").parquet(f"{self.path}/v={n}/base")
+        self._write(df, f"{self.path}/v={n}/{self._prefix}base")
         return n
 
     def append(self, df: DataFrame) -> int:
-        """Write `df` as a committed delta of the current version (creates
-        version 1 when there is none).  Readers that listed the version before
-        the delta's `_SUCCESS` appeared do not see it."""
+        """Write `df` as a committed delta of the current version (creates version 1
+        when there is none) and return its number of rows, told by the files'
+        footers; a delta without rows is dropped again.  Readers that listed the
+        version before the delta's `_SUCCESS` appeared do not see it."""
         v = self.versions()
         if not v:
-            return self.commit(df)
-        df.write.mode("errorifexists").parquet(f"{self.path}/v={v[-1]}/delta-{uuid.uuid4().hex}")
-        return v[-1]
+            self.commit(df)
+            return self.count_rows()
+        path = f"{self.path}/v={v[-1]}/{self._prefix}delta-{uuid.uuid4().hex}"
+        self._write(df, path)
+        n = self.spark.read.schema(df.schema).parquet(path).count()
+        if not n:
+            self._fs.delete(self._P(path), True)
+        return n
 
     def vacuum(self, keep: int = 2) -> None:
         for n in self.versions()[:-keep]:
