@@ -127,7 +127,10 @@ class Lake:
     WAVES = (SILVER, ("dim_customers", "dim_products", "dim_employees", "dim_date", "fact_sales"),
              ("daily_cat",), ("wide_exact",))
 
-    def materialize(self, root: str, threads: int = 4, fact_partition: str | None = None) -> "Lake":
+    # silver tables that are joined on a key again and again: stored in buckets of it
+    BUCKETED = {"stg_orders": "order_id", "stg_order_details": "order_id"}
+
+    def materialize(self, root: str, threads: int = 4, fact_partition: str | None = None, buckets: int | None = None) -> "Lake":
         """Write silver and gold under `root` (a shared folder) and return a
         Lake whose models read the stored tables.
 
@@ -135,16 +138,24 @@ class Lake:
         are written concurrently (`threads` jobs on one session, as a
         model runner runs several models at once).  Each wave is planned from
         the stored output of the previous ones, which also cuts lineage: a lost
-        executor recomputes at most one layer.  The fact is clustered by date
-        key (sorted within files), so date-range reads skip row groups; with
-        `fact_partition="date_key"` (the choice at scale) it is also
-        partitioned by it, and a join with a filtered date dimension prunes
-        whole partitions at run time (dynamic partition pruning)."""
+        executor recomputes at most one layer.
+
+        Orders and their lines are stored in `buckets` buckets of the order id
+        (default: `spark.sql.shuffle.partitions`), sorted, so that their join needs no
+        exchange.  The fact is ranged by date key and sorted, so every file holds a
+        span of days and a date range skips files and row groups; with
+        `fact_partition="date_key"` it is also partitioned by it, and a join with a
+        filtered date dimension prunes whole partitions at run time."""
         from concurrent.futures import ThreadPoolExecutor
 
+        from mercato.sources import catalog
+        n_buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
         def store(source: "Lake", name: str) -> tuple[str, DataFrame]:
             df = source.model(name)
             path = f"{root.rstrip('/')}/{name}"
+            if name in self.BUCKETED:
+                return name, catalog.materialize_bucketed(df, self.spark, "silver", name, root.rstrip("/"), self.BUCKETED[name], n_buckets)
             if name == "fact_sales" and fact_partition:
                 # rebalanced by the partition value: AQE splits a peak day over several
                 # writers and joins small days; columns keep the model's order on read
@@ -152,7 +163,7 @@ class Lake:
                 (df.hint("rebalance", fact_partition).write.mode("overwrite").partitionBy(fact_partition).parquet(path))
                 return name, self.spark.read.parquet(path).select(*cols)
             if name == "fact_sales":
-                df = df.sortWithinPartitions("date_key")
+                df = df.repartitionByRange("date_key").sortWithinPartitions("date_key")
             df.write.mode("overwrite").parquet(path)
             return name, self.spark.read.parquet(path)
 

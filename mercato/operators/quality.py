@@ -1,14 +1,16 @@
 """Data-quality tests between layers (D-*).  Each test returns its failing
 rows — zero rows means pass.  The suite is one DataFrame (model, test,
-column, failures) built as a union of per-test aggregates, so running it is a
-single Spark job; not-null checks of one model are fused into one pass.
+column, failures): per model one pass per unique key and one for all other tests,
+some of which can instead be observed while the model is written.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -78,36 +80,70 @@ GOLD_TESTS = [
 # ----------------------------------------------------------------
 
 
-def _row(model: str, test: str, column: str, failures: Column) -> list[Column]:
-    return [F.lit(model).alias("model"), F.lit(test).alias("test"), F.lit(column).alias("column"),
-            failures.cast("bigint").alias("failures")]
+def _null(c: str) -> Column:
+    return F.count(F.when(F.col(c).isNull(), 1))
 
 
-def run_suite(models: dict[str, DataFrame], suite: list[ModelTests]) -> DataFrame:
-    """D-06: one row per declared test with its number of failing rows."""
+def _keyed_tests(df: DataFrame, t: ModelTests, c: str) -> list[DataFrame]:
+    """The unique test of a column and, from the same groups, its not-null test."""
+    n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    both = n.agg(F.count(F.when(F.col(c).isNotNull() & (F.col("n") > 1), 1)).alias("twice"),
+                 F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    rows = [("unique", F.col("twice"))] + ([("not_null", F.col("missing"))] if c in t.not_null else [])
+    return [_unpivot(both, t.model, [(test, c, e) for test, e in rows])]
+
+
+def _unpivot(one: DataFrame, model: str, tests: list[tuple[str, str, Column]]) -> DataFrame:
+    """One row per (test, column, failures) of a one-row aggregate, which is planned once."""
+    row = lambda test, c, e: F.struct(F.lit(test).alias("test"), F.lit(c).alias("column"), e.cast("bigint").alias("failures"))
+    return one.select(F.inline(F.array(*[row(*t) for t in tests]))).select(F.lit(model).alias("model"), "test", "column", "failures")
+
+
+def observed(df: DataFrame, t: ModelTests) -> tuple[DataFrame, Callable[[], list[tuple[str, str, str, int]]]]:
+    """The model with its not-null tests observed: they are counted while it is
+    written, without a scan of their own.  The second value gives their rows
+    (model, test, column, failures) once the write has ended."""
+    metrics = Observation(f"{t.model}_not_null")
+    if not t.not_null:
+        return df, lambda: []
+    out = df.observe(metrics, *[_null(c).alias(c) for c in t.not_null])
+    return out, lambda: [(t.model, "not_null", c, int(metrics.get[c])) for c in t.not_null]
+
+
+def run_suite(models: dict[str, DataFrame], suite: list[ModelTests],
+              known: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
+    """D-06: one row per declared test with its number of failing rows.
+
+    Per model there is one pass for each unique key (whose groups also tell the
+    key's nulls) and one for everything else: not-null tests, expressions and
+    relationships, the latter as left joins with the parents' keys whose misses are
+    counted in the same aggregate.  `known` holds rows told by `observed`; their
+    tests are not run again."""
+    known = known or []
+    told = {(m, c) for m, test, c, _ in known if test == "not_null"}
+    spark = next(iter(models.values())).sparkSession
     parts: list[DataFrame] = []
     for t in suite:
         df = models[t.model]
-        if t.not_null:     # fused: one pass counts NULLs of every listed column
-            agg = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_nn{i}") for i, c in enumerate(t.not_null)])
-            for i, c in enumerate(t.not_null):
-                parts.append(agg.select(*_row(t.model, "not_null", c, F.col(f"_nn{i}"))))
+        t = replace(t, not_null=[c for c in t.not_null if (t.model, c) not in told])
         for c in t.unique:
-            parts.append(dq_unique(df, c).agg(F.count(F.lit(1)).alias("n"))
-                         .select(*_row(t.model, "unique", c, F.col("n"))))
-        for c, parent, fld in t.relationships:
-            parts.append(dq_relationships(df, c, models[parent], fld).agg(F.count(F.lit(1)).alias("n"))
-                         .select(*_row(t.model, "relationships", c, F.col("n"))))
+            parts += _keyed_tests(df, t, c)
+        counts: list[tuple[str, str, Column]] = [("not_null", c, _null(c)) for c in t.not_null if c not in t.unique]
+        rows = df
+        for i, (c, parent, fld) in enumerate(t.relationships):
+            keys = models[parent].select(F.col(fld).alias(f"_p{i}")).where(F.col(f"_p{i}").isNotNull()).distinct()
+            rows = rows.join(keys, F.col(c) == F.col(f"_p{i}"), "left")
+            counts.append(("relationships", c, F.count(F.when(F.col(c).isNotNull() & F.col(f"_p{i}").isNull(), 1))))
+        counts += [("expression", label, F.count(F.when(~F.coalesce(make(models), F.lit(False)), 1))) for label, make in t.expressions]
+        if counts:
+            one = rows.agg(*[e.alias(f"_c{i}") for i, (_, _, e) in enumerate(counts)])
+            parts.append(_unpivot(one, t.model, [(test, c, F.col(f"_c{i}")) for i, (test, c, _) in enumerate(counts)]))
         for cols in t.unique_combination:
-            parts.append(dq_unique_combination(df, cols).agg(F.count(F.lit(1)).alias("n"))
-                         .select(*_row(t.model, "unique_combination", ",".join(cols), F.col("n"))))
-        for label, make in t.expressions:
-            parts.append(dq_expression(df, make(models)).agg(F.count(F.lit(1)).alias("n"))
-                         .select(*_row(t.model, "expression", label, F.col("n"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            n = dq_unique_combination(df, cols).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(_unpivot(n, t.model, [("unique_combination", ",".join(cols), F.col("n"))]))
+    if known:
+        parts.append(spark.createDataFrame(known, "model string, test string, column string, failures bigint"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def failed(results: DataFrame) -> list[tuple[str, str, str, int]]:

@@ -71,15 +71,52 @@ def load_append(df: DataFrame, path: str) -> None:
 
 
 def materialize(df: DataFrame, spark: SparkSession, layer: str, name: str, root: str) -> DataFrame:
-    """S-06: full-refresh build of a model into `<layer>.<name>`; returns the table."""
-    path, ns = f"{root}/{layer}/{name}", namespace(layer, root)
+    """S-06: full-refresh build of a model into `<layer>.<name>`; returns the table.
+
+    The rows are written to a new location, and only then is the table pointed at
+    it (one catalog call), so a reader sees the old rows or the new ones, never a
+    gap; one that started before goes on with the old files, which stay until
+    `sweep`.  A model whose columns changed is declared anew at the new location."""
+    path, ns = f"{root}/{layer}/{name}/{uuid.uuid4().hex}", namespace(layer, root)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns} LOCATION '{root}/{layer}.db'")
-    df.write.mode("overwrite").parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {ns}.{name}")
+    df.write.mode("errorifexists").parquet(path)
+    if spark.catalog.tableExists(f"{ns}.{name}"):
+        if [(f.name, f.dataType) for f in spark.table(f"{ns}.{name}").schema] == [(f.name, f.dataType) for f in df.schema]:
+            spark.sql(f"ALTER TABLE {ns}.{name} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(f"{ns}.{name}")
+            return spark.table(f"{ns}.{name}")
+        spark.sql(f"DROP TABLE {ns}.{name}")             # external: only the declaration goes
     spark.sql(f"CREATE TABLE {ns}.{name} USING parquet LOCATION '{path}'")
     return spark.table(f"{ns}.{name}")
 
 
+def location(spark: SparkSession, layer: str, name: str, root: str) -> str:
+    """Where the table's rows lie now."""
+    rows = spark.sql(f"DESCRIBE EXTENDED {namespace(layer, root)}.{name}").where("col_name = 'Location'").collect()
+    return rows[0].data_type
+
+
+def sweep(spark: SparkSession, layer: str, name: str, root: str) -> int:
+    """Delete the locations a table has left; for when no reader of them is running."""
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    here, base = location(spark, layer, name, root).rsplit("/", 1)[-1], P(f"{root}/{layer}/{name}")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [st.getPath() for st in fs.listStatus(base) if st.getPath().getName() != here]
+    for p in left:
+        fs.delete(p, True)
+    return len(left)
+
+
+def materialize_bucketed(df: DataFrame, spark: SparkSession, layer: str, name: str, root: str, key: str, buckets: int) -> DataFrame:
+    """A model stored in sorted buckets of `key`: one file per bucket, so tables with
+    the same key and number of buckets join on it without an exchange."""
+    path, ns = f"{root}/{layer}/{name}/{uuid.uuid4().hex}", namespace(layer, root)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns} LOCATION '{root}/{layer}.db'")
+    spark.sql(f"DROP TABLE IF EXISTS {ns}.{name}")
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(f"{ns}.{name}"))
+    return spark.table(f"{ns}.{name}")
+
+
 def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
     """S-10: preview (`LIMIT n`; which rows is unspecified)."""
     return df.limit(n)

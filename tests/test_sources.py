@@ -76,3 +76,18 @@ def test_jdbc_bounds_are_text():
     from mercato.sources.jdbc import _bound
     assert _bound(7) == "7" and _bound(dt.date(2020, 1, 2)) == "2020-01-02"
     assert _bound(dt.datetime(2020, 1, 2, 3, 4, 5)) == "2020-01-02 03:04:05"
+
+
+def test_materialize_swaps_the_location_under_a_running_reader(spark):
+    from mercato.sources import catalog as C
+    root = C.fresh_root(spark)
+    first = C.materialize(spark.range(100), spark, "gold", "swapped", root)
+    rows = first.toLocalIterator()                          # a reader that has begun
+    assert next(rows).id >= 0
+    old = C.location(spark, "gold", "swapped", root)
+    now = C.materialize(spark.range(100, 105), spark, "gold", "swapped", root)
+    assert sorted(r.id for r in now.collect()) == list(range(100, 105)) and C.location(spark, "gold", "swapped", root) != old
+    assert len(list(rows)) == 99
+    wide = C.materialize(spark.range(3).selectExpr("id", "id * 2 AS twice"), spark, "gold", "swapped", root)
+    assert wide.columns == ["id", "twice"] and wide.count() == 3
+    assert C.sweep(spark, "gold", "swapped", root) == 2 and spark.table(f"{C.namespace('gold', root)}.swapped").count() == 3
