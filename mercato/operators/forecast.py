@@ -8,23 +8,28 @@ Model (after Taylor & Letham, "Forecasting at Scale", 2018): additive
 The paper's Laplace prior on δ and its sampled intervals are replaced by
 Gaussian priors, so the MAP fit is one closed-form ridge solve per series:
   minimise ‖y − Xβ‖² + σ² (Σ δ²/cps² + Σ s²/sps² + (k² + m²)/5²)
-with σ² estimated by a first pass.  The 80 % band is ±1.2816·σ̂.  This is an
-approximation of the published model; its numbers are not those of any
-particular library.
+with σ² estimated by a first pass.  This is an approximation of the published
+model; its numbers are not those of any particular library.
 
 Spark shape
-  * a *series* is (series_key, ds, y) — one row per day, so a group is bounded
-    by the calendar, never by data volume; many series (categories, nations…)
-    fit in parallel, one task per (series, grid point);
-  * the grid (24 points) is cross-joined to the series — both bounded — and
-    scored by `applyInPandas`; the best point per series is `min_by`;
-  * a fitted model is a row of coefficients; forecasting from it is pure
-    Spark SQL (higher-order functions over the coefficient arrays).
+  * a *series* is (series_key, ds, y), one row per day.  Its fit needs XᵀX, Xᵀy and
+    yᵀy only: every batch of rows gives partial sums of these products, which an
+    aggregate adds up, so no series' days meet in one task;
+  * one row per series then holds everything that a solve needs; the 24 grid points
+    are solved from the same sums, and scored by a join of the test rows with the
+    coefficients;
+  * a fitted model is a row of coefficients; forecasting from it is Spark SQL
+    (higher-order functions over the coefficient arrays);
+  * the band of a future day is the 10 % to 90 % span of simulated paths: new trend
+    changes as frequent and as large as the fitted ones, and noise, drawn from hashes
+    of (seed, series, path, day), so it widens with the horizon and does not depend on
+    how rows are partitioned.  Past days have the noise's band, ±1.2816·σ̂.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.functions.keys import uniform
 from mercato.operators.aggregates import forecast_error
 from mercato.session import ship_package
 
@@ -45,10 +51,12 @@ YEARLY_ORDER, YEARLY_PERIOD = 10, 365.25
 TRAIN_SHARE = 0.8
 HORIZON = 30
 BAND_Z = 1.2816                                     # two-sided 80 % normal interval
+BAND = (0.1, 0.9)                                   # the same as quantiles of simulated paths
 LINEAR_BAND = (0.85, 1.15)                          # fallback projection band
 LINEAR_MIN_ROWS = 7
 # ------------------------------------------
 
+SAMPLES, SEED = 300, 42                             # simulated paths per series
 EPOCH = "1970-01-01"
 FIT_SCHEMA = T.StructType([
     T.StructField("series_key", T.StringType()), T.StructField("cps", T.DoubleType()),
@@ -61,63 +69,32 @@ FIT_SCHEMA = T.StructType([
 ])
 
 
-# ---------------------------------------------------------------- numpy core (per group)
+# ---------------------------------------------------------------- numpy core
 def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
-    cols = []
-    for n in range(1, order + 1):
-        a = 2.0 * math.pi * n * days / period
-        cols += [np.sin(a), np.cos(a)]
-    return np.column_stack(cols) if cols else np.empty((len(days), 0))
+    a = 2.0 * math.pi * np.outer(days, np.arange(1, order + 1)) / period
+    return np.stack([np.sin(a), np.cos(a)], 2).reshape(len(days), -1)
 
 
-def _design(days: np.ndarray, t0: float, t_span: float, cps: np.ndarray, yearly: bool) -> np.ndarray:
+def design(days: np.ndarray, t0: float, t_span: float, cps: np.ndarray, yearly: bool) -> np.ndarray:
+    """One row per day: level, slope, slope changes, weekly (and yearly) terms."""
     t = (days - t0) / t_span
-    parts = [np.ones_like(t)[:, None], t[:, None]]
-    if len(cps):
-        parts.append(np.maximum(t[:, None] - cps[None, :], 0.0))
-    parts.append(_fourier(days, WEEKLY_PERIOD, WEEKLY_ORDER))
-    if yearly:
-        parts.append(_fourier(days, YEARLY_PERIOD, YEARLY_ORDER))
-    return np.hstack(parts)
+    parts = [np.ones_like(t)[:, None], t[:, None], np.maximum(t[:, None] - cps[None, :], 0.0), _fourier(days, WEEKLY_PERIOD, WEEKLY_ORDER)]
+    return np.hstack(parts + ([_fourier(days, YEARLY_PERIOD, YEARLY_ORDER)] if yearly else []))
 
 
-def fit_series(days: np.ndarray, y: np.ndarray, cps_scale: float, sps_scale: float, yearly: bool) -> dict:
-    """Closed-form MAP fit of one series; returns the coefficient record."""
-    order = np.argsort(days, kind="stable")
-    days, y = days[order].astype(float), y[order].astype(float)
-    n = len(days)
+def solve(products: np.ndarray, n: int, n_changes: int, cps_scale: float, sps_scale: float) -> tuple[np.ndarray, float]:
+    """(coefficients, σ) from the products [X y]ᵀ[X y] of a series of n rows."""
     if n < 2:
-        raise ValueError("need at least two observations")
-    t0, t_span = days[0], max(days[-1] - days[0], 1.0)
-    y_scale = float(np.max(np.abs(y))) or 1.0
-    ys = y / y_scale
-    hist = int(math.floor(n * CHANGEPOINT_RANGE))
-    k = min(N_CHANGEPOINTS, max(hist - 1, 0))
-    if k > 0:
-        idx = np.round(np.linspace(0, hist - 1, k + 1)).astype(int)[1:]
-        cps = (days[idx] - t0) / t_span
-    else:
-        cps = np.empty(0)
-    X = _design(days, t0, t_span, cps, yearly)
-    prior = np.concatenate([[1 / 25.0, 1 / 25.0], np.full(len(cps), 1 / cps_scale ** 2),
-                            np.full(X.shape[1] - 2 - len(cps), 1 / sps_scale ** 2)])
-    XtX, Xty = X.T @ X, X.T @ ys
+        raise ValueError("a fit needs two days or more")
+    m = int(round(math.sqrt(len(products))))
+    both = np.asarray(products, float).reshape(m, m)
+    xx, xy, yy = both[:-1, :-1], both[:-1, -1], both[-1, -1]
+    prior = np.concatenate([[1 / 25.0, 1 / 25.0], np.full(n_changes, 1 / cps_scale ** 2), np.full(m - 3 - n_changes, 1 / sps_scale ** 2)])
     sigma2 = 1.0
     for _ in range(2):                       # pass 1: unit noise; pass 2: estimated noise
-        beta = np.linalg.solve(XtX + sigma2 * np.diag(prior), Xty)
-        resid = ys - X @ beta
-        sigma2 = max(float(resid @ resid) / max(n - 1, 1), 1e-12)
-    return {"t0": int(t0), "t_span": float(t_span), "y_scale": y_scale, "sigma": math.sqrt(sigma2),
-            "n_train": n, "changepoints": cps.tolist(), "coef": beta.tolist()}
-
-
-def predict_days(model: dict, days: np.ndarray, yearly: bool) -> np.ndarray:
-    X = _design(days.astype(float), model["t0"], model["t_span"], np.asarray(model["changepoints"]), yearly)
-    return (X @ np.asarray(model["coef"])) * model["y_scale"]
-
-
-def _days(s: pd.Series) -> np.ndarray:
-    return (pd.to_datetime(s) - pd.Timestamp(EPOCH)).dt.days.to_numpy()
+        beta = np.linalg.solve(xx + sigma2 * np.diag(prior), xy)
+        sigma2 = max(float(yy - 2 * beta @ xy + beta @ xx @ beta) / max(n - 1, 1), 1e-12)
+    return beta, math.sqrt(sigma2)
 
 
 # ---------------------------------------------------------------- DataFrame operators
@@ -142,33 +119,94 @@ def param_grid(spark: SparkSession, yearly: bool = False) -> DataFrame:
     return spark.createDataFrame(rows, "grid_index int, cps double, sps double, yearly boolean")
 
 
-def _score_series(grid: list[tuple]):
-    """All grid points of one series: fit on train rows, MAE on test rows; a failing fit yields ok = False."""
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, te = pdf[pdf.split == "train"], pdf[pdf.split == "test"]
-        tr_days, te_days, tr_y, te_y = _days(tr.ds), _days(te.ds), tr.y.to_numpy(), te.y.to_numpy()
-        rows = []
-        for index, cps, sps, yearly in grid:
-            mae = float("nan")
-            try:
-                pred = predict_days(fit_series(tr_days, tr_y, cps, sps, yearly), te_days, yearly)
-                mae = float(np.mean(np.abs(te_y - pred))) if len(te) else mae
-            except Exception:  # noqa: BLE001 — a failing grid point is skipped, like a failed fit
-                pass
-            rows.append({"series_key": pdf.iloc[0].series_key, "grid_index": index, "cps": cps, "sps": sps, "mae": mae,
-                         "ok": bool(np.isfinite(mae))})
-        return pd.DataFrame(rows)
-    return score
+SCORE_SCHEMA = "series_key string, grid_index int, cps double, sps double, mae double, ok boolean"
 
 
-SCORE_SCHEMA = "series_key string, grid_index int, cps double, sps double, mae double, ok boolean"
+def _day(ds: str = "ds") -> Column:
+    return F.datediff(ds, F.to_date(F.lit(EPOCH)))
+
+
+def series_frames(series: DataFrame) -> DataFrame:
+    """One row per series: n_train, t0, t_span, y_scale, last_ds and the places of its
+    potential changepoints, at even ranks over the first days."""
+    head = (series.groupBy("series_key")
+            .agg(F.count(F.lit(1)).alias("n_train"), F.min(_day()).cast("long").alias("t0"), F.max(_day()).alias("_t1"),
+                 F.max("ds").alias("last_ds"), F.max(F.abs("y")).alias("y_scale"))
+            .withColumn("t_span", F.greatest(F.col("_t1") - F.col("t0"), F.lit(1)).cast("double"))
+            .withColumn("y_scale", F.when(F.col("y_scale") == 0, F.lit(1.0)).otherwise(F.col("y_scale"))).drop("_t1"))
+    first = F.floor(F.col("n_train") * CHANGEPOINT_RANGE)
+    k = F.least(F.lit(N_CHANGEPOINTS), first - 1).cast("int")
+    ranks = F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda j: F.bround(j * ((first - 1) / k)).cast("int")))
+    at = head.select("series_key", "t0", "t_span", F.explode(ranks).alias("_rank"))
+    w = Window.partitionBy("series_key").orderBy("ds")             # a series has one row per day
+    placed = series.select("series_key", _day().alias("_d"), (F.row_number().over(w) - 1).alias("_rank"))
+    found = (placed.join(at, ["series_key", "_rank"])
+             .groupBy("series_key").agg(F.sort_array(F.collect_list((F.col("_d") - F.col("t0")) / F.col("t_span"))).alias("changepoints")))
+    none = F.array().cast("array<double>")
+    return head.join(found, "series_key", "left").withColumn("changepoints", F.coalesce("changepoints", none))
+
+
+def _partial_products(yearly: bool):
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, part in pdf.groupby("series_key", sort=False):
+                one = part.iloc[0]
+                x = design(part._d.to_numpy(float), one.t0, one.t_span, np.asarray(one.changepoints, float), yearly)
+                both = np.column_stack([x, part.y.to_numpy(float) / one.y_scale])
+                rows.append((key, (both.T @ both).ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["series_key", "products"])
+    return sums
+
+
+def normal_equations(series: DataFrame, yearly: bool) -> DataFrame:
+    """`series_frames` with `products`, the entries of [X y]ᵀ[X y] by row: partial sums
+    of every batch of days, added up by an aggregate."""
+    ship_package(series.sparkSession)
+    frames = series_frames(series)
+    rows = series.join(frames.select("series_key", "t0", "t_span", "y_scale", "changepoints"), "series_key")
+    part = (rows.select("series_key", _day().alias("_d"), "y", "t0", "t_span", "y_scale", "changepoints")
+            .mapInPandas(_partial_products(yearly), "series_key string, products array<double>"))
+    cells = part.select("series_key", F.posexplode("products").alias("i", "v")).groupBy("series_key", "i").agg(F.sum("v").alias("v"))
+    sums = cells.groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c"))
+    return frames.join(sums.select("series_key", F.col("c.v").alias("products")), "series_key")
+
+
+def _solved(points: list[tuple] | None):
+    """Models of rows of `normal_equations`: for each of `points` (grid_index, cps, sps), or
+    for the row's own cps and sps.  A fit that fails has no coefficients."""
+    def models(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                for index, cps, sps in points or [(0, r.cps, r.sps)]:
+                    try:
+                        coef, sigma = solve(r.products, r.n_train, len(r.changepoints), cps, sps)
+                        coef = coef.tolist() if np.isfinite(coef).all() else None
+                    except Exception:  # noqa: BLE001 — one bad series or point must not fail the others
+                        coef, sigma = None, None
+                    rows.append((r.series_key, index, float(cps), float(sps), r.t0, r.t_span, r.y_scale, sigma, r.n_train, r.last_ds,
+                                 list(r.changepoints), coef))
+            yield pd.DataFrame(rows, columns=[f.name for f in SOLVED_SCHEMA])
+    return models
+
+
+SOLVED_SCHEMA = T.StructType([FIT_SCHEMA["series_key"], T.StructField("grid_index", T.IntegerType()),
+                              *[f for f in FIT_SCHEMA if f.name not in ("series_key", "yearly")]])
 
 
 def grid_scores(split_series: DataFrame, grid: DataFrame) -> DataFrame:
-    """F-04 (scoring): every series is shuffled once, all grid points (fixed rows) are fitted in its group."""
-    ship_package(split_series.sparkSession)
-    points = [(r.grid_index, r.cps, r.sps, r.yearly) for r in grid.collect()]
-    return split_series.groupBy("series_key").applyInPandas(_score_series(points), SCORE_SCHEMA)
+    """F-04 (scoring): all grid points of a series are solved from the same sums; the
+    test rows meet the coefficients in a join.  A point without a score has ok = false."""
+    points = [(r.grid_index, r.cps, r.sps) for r in grid.collect()]
+    yearly = bool(grid.first().yearly)
+    train, test = (split_series.where(F.col("split") == part) for part in ("train", "test"))
+    models = normal_equations(train, yearly).mapInPandas(_solved(points), SOLVED_SCHEMA).where("coef is not null")
+    error = F.abs(F.col("y") - yhat_expr(F.col("ds"), yearly))
+    mae = (test.select("series_key", "ds", "y").join(models, "series_key").groupBy("series_key", "grid_index").agg(F.avg(error).alias("mae")))
+    every = split_series.select("series_key").distinct().crossJoin(F.broadcast(grid.select("grid_index", "cps", "sps")))   # fixed rows
+    scored = every.join(mae, ["series_key", "grid_index"], "left")
+    return scored.select("series_key", "grid_index", "cps", "sps", "mae", (F.col("mae").isNotNull() & ~F.isnan("mae")).alias("ok"))
 
 
 def best_params(scores: DataFrame) -> DataFrame:
@@ -180,23 +218,14 @@ def best_params(scores: DataFrame) -> DataFrame:
             .select("series_key", "b.cps", "b.sps", "b.grid_index", F.col("b.mae").alias("grid_mae")))
 
 
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    head = pdf.iloc[0]
-    try:
-        m = fit_series(_days(pdf.ds), pdf.y.to_numpy(), head.cps, head.sps, bool(head.yearly))
-    except Exception:  # noqa: BLE001 — one bad series must not fail the others; `unfitted` names it
-        return pd.DataFrame()
-    return pd.DataFrame([{"series_key": head.series_key, "cps": float(head.cps), "sps": float(head.sps),
-                          "yearly": bool(head.yearly), "last_ds": pd.to_datetime(pdf.ds).max().date(), **m}])
-
-
 def fit_models(series: DataFrame, params: DataFrame, yearly: bool, rows: str | None = None) -> DataFrame:
-    """F-03/F-05/F-06: fit one model per series with its chosen parameters.
-    `rows='train'` fits on the training rows only (needs a `split` column)."""
-    ship_package(series.sparkSession)
+    """F-03/F-05/F-06: fit one model per series with its chosen parameters (one row
+    per series).  `rows='train'` fits on the training rows only (needs a `split`
+    column).  A series whose fit fails has no row; `unfitted` names it."""
     s = series.where(F.col("split") == rows) if rows else series
-    p = params.select("series_key", "cps", "sps").withColumn("yearly", F.lit(yearly))
-    return s.join(p, "series_key").groupBy("series_key").applyInPandas(_fit_group, FIT_SCHEMA)
+    known = normal_equations(s.select("series_key", "ds", "y"), yearly).join(params.select("series_key", "cps", "sps"), "series_key")
+    out = known.mapInPandas(_solved(None), SOLVED_SCHEMA).where("coef is not null").withColumn("yearly", F.lit(yearly))
+    return out.select(*[f.name for f in FIT_SCHEMA])
 
 
 def unfitted(series: DataFrame, models: DataFrame) -> DataFrame:
@@ -233,21 +262,64 @@ def _dyn_fourier(coef: Column, offset: Column, order: int, period: float, d: Col
     return out
 
 
+def simulated_band(future: DataFrame, yhat: Column, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """(series_key, ds, yhat_lower, yhat_upper) of `future`: rows of models with every
+    day `ds` after `last_ds`, one by one.  Path by path, a day changes the slope with
+    the fitted changepoints' frequency, by a Laplace step of their mean size."""
+    n = F.size("changepoints")
+    size = F.when(n > 0, F.aggregate(F.slice("coef", F.lit(3), n), F.lit(0.0), lambda a, d: a + F.abs(d)) / n).otherwise(0.0)
+    t = (_day().cast("double") - F.col("t0")) / F.col("t_span")
+    rows = future.select("series_key", "ds", yhat.alias("yhat"), t.alias("t"), F.least(n / F.col("t_span"), F.lit(1.0)).alias("often"),
+                         size.alias("size"), "sigma", "y_scale", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("path"))
+    u = lambda what: uniform(seed, F.col("series_key"), F.col("path"), F.col("ds"), F.lit(what))
+    away = u("step") - 0.5
+    step = -F.col("size") * F.signum(away) * F.log(F.greatest(1 - 2 * F.abs(away), F.lit(1e-300)))
+    normal = F.sqrt(-2 * F.log(F.greatest(u("radius"), F.lit(1e-300)))) * F.cos(2 * math.pi * u("angle"))
+    rows = rows.withColumn("step", F.when(u("change") < F.col("often"), step).otherwise(0.0)).withColumn("noise", F.col("sigma") * normal)
+    w = Window.partitionBy("series_key", "path").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)     # at most the horizon
+    bend = F.col("t") * F.sum("step").over(w) - F.sum(F.col("step") * F.col("t")).over(w)
+    rows = rows.select("series_key", "ds", (F.col("yhat") + (bend + F.col("noise")) * F.col("y_scale")).alias("v"))
+    span = rows.groupBy("series_key", "ds").agg(F.percentile("v", F.array(*[F.lit(q) for q in BAND])).alias("q"))
+    return span.select("series_key", "ds", F.col("q")[0].alias("yhat_lower"), F.col("q")[1].alias("yhat_upper"))
+
+
+def _ahead(models: DataFrame, until: Column) -> DataFrame:
+    """The models with every day after their last one, up to `until`."""
+    return models.where(until > F.col("last_ds")).select("*", F.explode(F.sequence(F.date_add("last_ds", 1), until)).alias("ds"))
+
+
 def forecast(models: DataFrame, history: DataFrame | None = None, horizon: int = HORIZON,
-             yearly: bool = True) -> DataFrame:
+             yearly: bool = True, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """F-07: history dates (if given) plus `horizon` future days per series with
     yhat and the 80 % band.  The future spine is generated from each model's
     last date — bounded by the horizon."""
-    fut = models.select("*", F.explode(F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", horizon)))
-                        .alias("ds"))
-    rows = fut
+    yh = yhat_expr(F.col("ds"), yearly)
+    fut = _ahead(models, F.date_add("last_ds", horizon))
+    out = (fut.select("series_key", "ds", yh.alias("yhat")).join(simulated_band(fut, yh, samples, seed), ["series_key", "ds"])
+           .withColumn("is_future", F.lit(True)))
     if history is not None:
         h = history.select("series_key", "ds").join(models, "series_key")
-        rows = h.unionByName(fut)
-    yh = yhat_expr(F.col("ds"), yearly)
-    band = F.lit(BAND_Z) * F.col("sigma") * F.col("y_scale")
-    return rows.select("series_key", "ds", yh.alias("yhat"), (yh - band).alias("yhat_lower"),
-                       (yh + band).alias("yhat_upper"), (F.col("ds") > F.col("last_ds")).alias("is_future"))
+        band = F.lit(BAND_Z) * F.col("sigma") * F.col("y_scale")
+        past = h.select("series_key", "ds", yh.alias("yhat"), (yh - band).alias("yhat_lower"), (yh + band).alias("yhat_upper"),
+                        (F.col("ds") > F.col("last_ds")).alias("is_future"))
+        out = past.unionByName(out)
+    return out
+
+
+def interval_coverage(split_series: DataFrame, best: DataFrame, yearly: bool = False, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """Per series the share of test days inside the band that its training rows
+    forecast (0.8 is aimed at), and the band's mean width over the first and last
+    thirty of them."""
+    test = split_series.where(F.col("split") == "test").select("series_key", "ds", "y")
+    last = test.groupBy("series_key").agg(F.max("ds").alias("until"), F.min("ds").alias("since"))
+    m = fit_models(split_series, best, yearly, rows="train").join(last, "series_key")
+    fut = _ahead(m, F.col("until"))
+    band = simulated_band(fut, yhat_expr(F.col("ds"), yearly), samples, seed)
+    wide = F.col("yhat_upper") - F.col("yhat_lower")
+    got = test.join(band, ["series_key", "ds"]).join(last, "series_key")
+    return got.groupBy("series_key").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg(F.col("y").between(F.col("yhat_lower"), F.col("yhat_upper")).cast("int")).alias("coverage"),
+        F.avg(F.when(F.datediff("ds", "since") < 30, wide)).alias("width_first"), F.avg(F.when(F.datediff("until", "ds") < 30, wide)).alias("width_last"))
 
 
 def future_only(fc: DataFrame) -> DataFrame:
@@ -325,11 +397,11 @@ def train(spark: SparkSession, series: DataFrame) -> dict[str, DataFrame]:
     checkpoint_dir(spark)
     split = chrono_split(series).checkpoint()
     if split.isEmpty():
-        raise ValueError("no rows with positive revenue")
+        raise ValueError("there is no day to train on")
     scores = grid_scores(split, param_grid(spark, yearly=False)).checkpoint()
     best = best_params(scores)
     if best.isEmpty():
-        raise ValueError("grid search produced no successful fits")
+        raise ValueError("no grid point could be fitted")
     pairs, metrics = evaluate_best(split, best, yearly=False)
     final = fit_models(split.drop("split"), best, yearly=True)
     return {"split": split, "scores": scores, "best": best, "pairs": pairs, "metrics": metrics, "final": final}

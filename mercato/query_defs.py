@@ -705,6 +705,13 @@ def q_forecast_error(spark, sf_dir):
     return A.forecast_error(pairs, keys=("series_key",))
 
 
+@register("interval_coverage")
+def q_interval_coverage(spark, sf_dir):
+    """How often the test days of every series lie inside the forecast band."""
+    t = _trained(spark, sf_dir)
+    return FC.interval_coverage(t["split"], t["best"])
+
+
 @register("fit_final")
 def q_fit_final(spark, sf_dir):
     return _trained(spark, sf_dir)["final"]
