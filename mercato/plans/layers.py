@@ -24,47 +24,94 @@ class StageResult:
     detail: str = ""
 
 
+STAGES = ("bronze", "silver", "silver_tests", "gold", "gold_tests", "forecast")
+MARK = "stage string, status string, detail string, layer string, name string, path string"
+
+
+class _Marks:
+    """Beside the tables, what each finished stage said and where its tables lie: a
+    run started again on the same root goes on after the last stage that was ok."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, f"{root}/_stages"
+        self._P = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._P(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def read(self, stage: str) -> tuple[StageResult, dict[str, str]] | None:
+        if not self._fs.exists(self._P(f"{self.root}/{stage}/_SUCCESS")):
+            return None
+        rows = self.spark.read.schema(MARK).parquet(f"{self.root}/{stage}").collect()
+        if rows[0].status != "ok":
+            return None
+        return StageResult(stage, "ok", rows[0].detail), {r.name: r.path for r in rows if r.name}
+
+    def write(self, result: StageResult, placed: dict[str, tuple[str, str]]) -> None:
+        head = (result.stage, result.status, result.detail)
+        rows = [(*head, layer, name, path) for name, (layer, path) in placed.items()] or [(*head, None, None, None)]
+        self.spark.createDataFrame(rows, MARK).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{result.stage}")
+
+
 def run_layers(spark: SparkSession, bronze: dict[str, DataFrame], root: str | None = None,
                  forecast=None, stop_on_failure: bool = True) -> tuple[list[StageResult], dict[str, DataFrame]]:
     """Run all stages; `forecast(models) -> DataFrame` is the optional last stage.
-    Returns the stage log and the materialised tables."""
-    root = root or catalog.fresh_root(spark)
-    log: list[StageResult] = []
-    tables: dict[str, DataFrame] = {}
-
-    def stop() -> bool:
-        return stop_on_failure and any(s.status == "failed" for s in log)
-
-    # bronze
-    for name, df in bronze.items():
-        tables[name] = catalog.materialize(df, spark, "bronze", name, root)
-    log.append(StageResult("bronze", "ok", f"{len(bronze)} tables"))
-
-    stored = Lake(spark, {n: tables[n] for n in bronze})
-    for name in Lake.SILVER:
-        tables[name] = catalog.materialize(stored.model(name), spark, "silver", name, root)
-    log.append(StageResult("silver", "ok"))
-
-    bad = Q.failed(Q.run_suite(tables, Q.SILVER_TESTS))
-    log.append(StageResult("silver_tests", "failed" if bad else "ok", repr(bad)))
-    if stop():
+    Returns the stage log and the materialised tables.
+
+    Not-null tests are observed while a layer is written.  With the `root` of an
+    earlier run, stages that had ended ok are not repeated: their tables are read."""
+    root = (root or catalog.fresh_root(spark)).rstrip("/")
+    marks, log, tables = _Marks(spark, root), [], {}
+    known: list = []
+
+    def models(stage: str, layer: str, frames, tests=()) -> None:
+        kept = marks.read(stage)
+        if kept:
+            log.append(kept[0])
+            tables.update({n: spark.read.parquet(p) for n, p in kept[1].items()})
+            return
+        placed, by_model = {}, {t.model: t for t in tests}
+        for name, df in frames():
+            tell = None
+            if name in by_model:
+                df, tell = Q.observed(df, by_model[name])
+            tables[name] = catalog.materialize(df, spark, layer, name, root)
+            known.extend(tell() if tell else [])
+            placed[name] = (layer, catalog.location(spark, layer, name, root))
+        log.append(StageResult(stage, "ok", f"{len(placed)} tables"))
+        marks.write(log[-1], placed)
+
+    def tests(stage: str, suite) -> bool:
+        """False when the run has to stop."""
+        kept = marks.read(stage)
+        if kept:
+            log.append(kept[0])
+            return True
+        names = {t.model for t in suite}
+        bad = Q.failed(Q.run_suite(tables, suite, [k for k in known if k[0] in names]))
+        log.append(StageResult(stage, "failed" if bad else "ok", repr(bad)))
+        marks.write(log[-1], {})
+        return not (bad and stop_on_failure)
+
+    models("bronze", "bronze", lambda: bronze.items())
+    stored = Lake(spark, {n: tables[n] for n in tables})
+    models("silver", "silver", lambda: ((n, stored.model(n)) for n in Lake.SILVER), Q.SILVER_TESTS)
+    if not tests("silver_tests", Q.SILVER_TESTS):
         return _skip(log, ["gold", "gold_tests", "forecast"]), tables
 
     silver = _SilverLake(spark, tables)
-    for name in Lake.GOLD:
-        tables[name] = catalog.materialize(silver.model(name), spark, "gold", name, root)
-    log.append(StageResult("gold", "ok"))
-
-    bad = Q.failed(Q.run_suite(tables, Q.GOLD_TESTS))
-    log.append(StageResult("gold_tests", "failed" if bad else "ok", repr(bad)))
-    if stop():
+    models("gold", "gold", lambda: ((n, silver.model(n)) for n in Lake.GOLD), Q.GOLD_TESTS)
+    if not tests("gold_tests", Q.GOLD_TESTS):
         return _skip(log, ["forecast"]), tables
 
     if forecast is not None:
-        tables["forecast"] = forecast(tables)
-        m = tables["forecast"].collect()          # one row per series
-        log.append(StageResult("forecast", "ok", repr([(r.series_key, round(r.mae, 2), r.meets_threshold)
-                                                        for r in m])))
+        kept = marks.read("forecast")
+        if kept:
+            tables["forecast"] = spark.read.parquet(kept[1]["forecast"])
+            log.append(kept[0])
+        else:
+            tables["forecast"] = catalog.materialize(forecast(tables), spark, "gold", "forecast", root)
+            m = tables["forecast"].collect()          # one row per series
+            log.append(StageResult("forecast", "ok", repr([(r.series_key, round(r.mae, 2), r.meets_threshold) for r in m])))
+            marks.write(log[-1], {"forecast": ("gold", catalog.location(spark, "gold", "forecast", root))})
     return log, tables
 
 

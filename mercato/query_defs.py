@@ -29,7 +29,7 @@ from mercato.plans import gold as G
 from mercato.plans.staging import stg_orders as _stg_orders
 from mercato.sources import catalog as C
 from mercato.sources import runs as RUNS
-from mercato.sources.schemas import BRONZE
+from mercato.sources.schemas import BRONZE, RUN_RECORD
 from mercato.streaming.incremental import land, run_once
 from mercato.queries import lake, register
 
@@ -605,12 +605,27 @@ def q_dq_suite(spark, sf_dir):
     return Q.run_suite(_models(lake(spark, sf_dir)), Q.SILVER_TESTS + Q.GOLD_TESTS)
 
 
-@register("layered_run")
+_SUITE_FAILURES = "(SELECT sum(failures) FROM ({}) t)"
+_LAYERED = oracle.PRELUDE.replace("l_discount AS discount\n  FROM lineitem", "l_discount AS discount\n  FROM lineitem QUALIFY "
+                                  "row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_suppkey, l_linenumber, l_shipdate) = 1", 1) + f"""
+SELECT stage, CASE WHEN bad THEN 'failed' WHEN skipped THEN 'skipped' ELSE 'ok' END AS status, CAST(n AS INTEGER) AS n_tables FROM (
+  SELECT stage, n, i, bad, bool_or(bad) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS skipped
+  FROM (VALUES (1, 'bronze', 7, false), (2, 'silver', 7, false), (3, 'silver_tests', 0, {_SUITE_FAILURES.format(oracle.suite_sql(Q.SILVER_TESTS))} > 0),
+               (4, 'gold', 6, false), (5, 'gold_tests', 0, {_SUITE_FAILURES.format(oracle.suite_sql(Q.GOLD_TESTS))} > 0),
+               (6, 'forecast', 1, false)) v(i, stage, n, bad))"""
+
+
+@register("layered_run", _LAYERED)
 def q_layered_run(spark, sf_dir):
+    """All six stages, on lines that an order names once per product."""
     from mercato.plans.layers import forecast_stage, run_layers
-    from mercato.sources.driver import bronze_from_driver
-    log, _ = run_layers(spark, bronze_from_driver(spark, sf_dir), forecast=forecast_stage(spark))
-    return spark.createDataFrame([(s.stage, s.status, s.detail) for s in log], "stage string, status string, detail string")
+    from mercato.sources.driver import bronze_from_driver, bronze_order_details
+    bronze = dict(bronze_from_driver(spark, sf_dir).items())
+    bronze["order_details"] = bronze_order_details(spark, sf_dir, distinct_products=True)
+    log, tables = run_layers(spark, bronze, forecast=forecast_stage(spark))
+    held = {"bronze": len(bronze), "silver": 7, "gold": 6, "forecast": int("forecast" in tables)}
+    return spark.createDataFrame([(r.stage, r.status, held.get(r.stage, 0) if r.status == "ok" else 0) for r in log],
+                                 "stage string, status string, n_tables int")
 
 
 # ====================================================================== forecasting (F) and run records
@@ -753,15 +768,58 @@ def _overall_record(t, stamp):
     return RUNS.run_record(t["metrics"].where(overall), t["final"].where(overall), stamp)
 
 
+# --- scenario: twelve monthly runs of a forecast that repeats the week before; one stamp
+# cannot be read, one file is not JSON, stamps come in three formats ---
+_RUN_STAMPS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm")
+_NAIVE = ("naive_ AS (SELECT sale_date, rev_ AS y, lag(rev_, 7) OVER (ORDER BY sale_date) AS yhat FROM active_), "
+          "naive_error_ AS (SELECT date_trunc('month', sale_date) AS m, "
+          "round(CAST(sum(abs(y - yhat)) AS DOUBLE) / count(*), 4) AS mae, "
+          "round(sqrt(sum(CAST(y - yhat AS DOUBLE) * CAST(y - yhat AS DOUBLE)) / count(*)), 4) AS rmse, "
+          "round(CAST(sum(y) AS DOUBLE) / count(*), 4) AS mean_test_revenue, count(*) AS n_test, max(sale_date) AS last_day "
+          "FROM naive_ WHERE yhat IS NOT NULL GROUP BY 1), "
+          "runs_ AS (SELECT *, row_number() OVER (ORDER BY m DESC) AS back_, mae <= 0.30 * mean_test_revenue AS meets_threshold, "
+          "CAST(m + INTERVAL 1 MONTH + INTERVAL 2 HOUR AS TIMESTAMP) AS at_ FROM naive_error_), "
+          "history_ AS (SELECT 'models/forecast_overall_' || strftime(at_, '%Y%m%d_%H%M%S') AS model_key, mae, rmse, mean_test_revenue, "
+          "meets_threshold, strftime(last_day, '%Y-%m-%d') AS train_end_date, CASE WHEN back_ <> 3 THEN at_ END AS trained_at, "
+          "'models/metrics_overall_' || strftime(at_, '%Y%m%d_%H%M%S') || '.json' AS _key FROM runs_ WHERE back_ <= 12)")
+
+
+def _naive_pairs(spark, sf_dir):
+    """Every active day with the revenue of the same weekday a week earlier as its forecast."""
+    from pyspark.sql import Window
+    s = S.active_period_calendar(_series(spark, sf_dir))
+    return s.select("sale_date", F.col(S.EXACT).alias("y"), F.lag(S.EXACT, 7).over(Window.orderBy("sale_date")).alias("yhat")).where("yhat IS NOT NULL")
+
+
+def _naive_errors(spark, sf_dir):
+    e = A.forecast_error(_naive_pairs(spark, sf_dir).withColumn("m", F.trunc("sale_date", "month")).withColumns(
+        {c: F.col(c).cast("double") for c in ("y", "yhat")}), keys=("m",))
+    return e.select("m", "n_test", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mean_test_revenue")], "meets_threshold")
+
+
+@register("forecast_error_naive", oracle.sql("SELECT CAST(m AS DATE) AS m, n_test, mae, rmse, mean_test_revenue, meets_threshold FROM runs_", extra_ctes=_NAIVE))
+def q_forecast_error_naive(spark, sf_dir):
+    """A-14 on a forecast that both engines can make: the same weekday a week before."""
+    return _naive_errors(spark, sf_dir)
+
+
 def _history_root(spark, sf_dir) -> str:
-    """Two retrain runs recorded, plus one malformed record file."""
-    t = _trained(spark, sf_dir)
-    root = C.fresh_root(spark)
-    for stamp in ("20240101_020000", "20240102_020000"):
-        RUNS.write_run_record(_overall_record(t, stamp), root, stamp)
-    spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(
-        f"{root}/models/metrics_overall_bad.json")
-    return root
+    """The records of the scenario's runs, written as a trainer writes them, and one
+    file that is not a record."""
+    lk = lake(spark, sf_dir)
+    if "history" not in lk.__dict__:
+        root = C.fresh_root(spark)
+        last = _naive_pairs(spark, sf_dir).groupBy(F.trunc("sale_date", "month").alias("m")).agg(F.max("sale_date").alias("last_day"))
+        runs = _naive_errors(spark, sf_dir).join(last, "m").orderBy(F.desc("m")).limit(12).collect()      # twelve runs
+        for back, r in enumerate(runs, 1):
+            at = (r.m.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
+            stamp, written = f"{at:%Y%m%d}_020000", (f"{at:%Y-%m-%d} 02:00:00", f"{at:%Y-%m-%d}T02:00:00", f"{at:%Y/%m/%d} 02:00")[back % 3]
+            record = spark.createDataFrame([(f"models/forecast_overall_{stamp}", r.mae, r.rmse, r.mean_test_revenue, r.meets_threshold,
+                                             f"{r.last_day:%Y-%m-%d}", "last night" if back == 3 else written)], RUN_RECORD)
+            RUNS.write_run_record(record, root, stamp, indent=back % 2 == 0)
+        spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(f"{root}/models/metrics_overall_bad.json")
+        lk.__dict__["history"] = root
+    return lk.__dict__["history"]
 
 
 @register("metrics_sink")
@@ -773,22 +831,27 @@ def q_metrics_sink(spark, sf_dir):
                              "meets_threshold boolean, train_end_date string, trained_at string").json(path)
 
 
-@register("training_history")
+@register("training_history", oracle.sql("SELECT * FROM history_", extra_ctes=_NAIVE))
 def q_training_history(spark, sf_dir):
-    return RUNS.training_history(spark, _history_root(spark, sf_dir))
+    """Every record but the unreadable file; file sizes are left to the tests."""
+    return RUNS.training_history(spark, _history_root(spark, sf_dir)).drop("_size")
 
 
-@register("latest_model")
+@register("latest_model", oracle.sql(
+    "SELECT model_key, trained_at, mae, rmse, replace(model_key, 'forecast_', 'metrics_') || '.json' AS metrics_key "
+    "FROM history_ WHERE trained_at IS NOT NULL ORDER BY trained_at DESC LIMIT 1", extra_ctes=_NAIVE))
 def q_latest_model(spark, sf_dir):
     return RUNS.latest_model(RUNS.training_history(spark, _history_root(spark, sf_dir)))
 
 
-@register("run_kpis")
+@register("run_kpis", oracle.sql("SELECT count(*) AS n_runs, arg_max(mae, trained_at) AS latest_mae, arg_max(rmse, trained_at) AS latest_rmse "
+                                 "FROM history_", extra_ctes=_NAIVE))
 def q_run_kpis(spark, sf_dir):
     return A.run_kpis(RUNS.training_history(spark, _history_root(spark, sf_dir)))
 
 
-@register("latest_first_history")
+@register("latest_first_history", oracle.sql("SELECT trained_at, train_end_date, mae, rmse, mean_test_revenue, meets_threshold, model_key FROM history_",
+                                             extra_ctes=_NAIVE))
 def q_latest_first_history(spark, sf_dir):
     return L.latest_first_history(RUNS.training_history(spark, _history_root(spark, sf_dir)))
 

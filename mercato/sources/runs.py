@@ -5,18 +5,21 @@ A run record has seven fields.  Records are written by Spark as JSON lines
 under `<root>/models/metrics_overall_<stamp>.json/`; the history reader
 globs every such entry, skips malformed records, adds the file path and size,
 and parses `trained_at` (an unparsable stamp becomes NULL, not an error).
-Indented single-record files (one pretty-printed object per file) are read
-with `multiline=True`.
+A record may be indented over several lines, as a trainer writes it; files that are
+not JSON are routed to `corrupt_records`.  Stamps are read by a chain of formats.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.sources.schemas import RUN_RECORD
 
 STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+STAMP_FORMATS = (STAMP_FORMAT, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy/MM/dd HH:mm[:ss]", "yyyy-MM-dd HH:mm", "yyyyMMdd_HHmmss", "yyyy-MM-dd")
+CORRUPT = "_corrupt"
 MODEL_PREFIX, METRICS_PREFIX = "forecast_", "metrics_"
 
 
@@ -32,20 +35,38 @@ def run_record(metrics: DataFrame, final: DataFrame, stamp: str) -> DataFrame:
                     F.date_format(ts, STAMP_FORMAT).alias("trained_at")))
 
 
-def write_run_record(record: DataFrame, root: str, stamp: str) -> str:
-    """S-07: append the run's records as JSON (one small file per run)."""
+def write_run_record(record: DataFrame, root: str, stamp: str, indent: bool = False) -> str:
+    """S-07: append the run's records as JSON (one small file per run); `indent` writes
+    each over several lines."""
     path = f"{root.rstrip('/')}/models/metrics_overall_{stamp}.json"
-    record.select(*[f.name for f in RUN_RECORD.fields]).coalesce(1).write.mode("append").json(path)
+    fields = [f.name for f in RUN_RECORD.fields]
+    if indent:
+        record.select(F.to_json(F.struct(*fields), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("append").text(path)
+    else:
+        record.select(*fields).coalesce(1).write.mode("append").json(path)
     return path
 
 
-def training_history(spark: SparkSession, root: str, multiline: bool = False) -> DataFrame:
-    """S-08: every run record, oldest first (NULL trained_at last)."""
-    df = (spark.read.schema(RUN_RECORD).option("multiLine", multiline).option("mode", "DROPMALFORMED")
+def _records(spark: SparkSession, root: str, multiline: bool) -> DataFrame:
+    schema = T.StructType(RUN_RECORD.fields + [T.StructField(CORRUPT, T.StringType())])
+    df = (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .json(f"{root.rstrip('/')}/models/metrics_overall_*.json"))
-    return (df.select("*", F.col("_metadata.file_path").alias("_key"), F.col("_metadata.file_size").alias("_size"))
-            .withColumn("trained_at", F.try_to_timestamp("trained_at", F.lit(STAMP_FORMAT)))
-            .orderBy(F.asc_nulls_last("trained_at")))
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"models/metrics_overall_[^/]*", 0)
+    return df.select("*", key.alias("_key"), F.col("_metadata.file_size").alias("_size"))
+
+
+def training_history(spark: SparkSession, root: str, multiline: bool = True) -> DataFrame:
+    """S-08: every readable run record with its key and size, oldest first (a stamp
+    that no format reads is NULL and comes last).  `multiline=False` reads files of
+    several records, one a line."""
+    stamp = F.coalesce(*[F.try_to_timestamp("trained_at", F.lit(f)) for f in STAMP_FORMATS])
+    return (_records(spark, root, multiline).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+            .withColumn("trained_at", stamp).orderBy(F.asc_nulls_last("trained_at"), "_key"))
+
+
+def corrupt_records(spark: SparkSession, root: str, multiline: bool = True) -> DataFrame:
+    """What the history left out: key, size and text of every unreadable record."""
+    return _records(spark, root, multiline).where(F.col(CORRUPT).isNotNull()).select("_key", "_size", CORRUPT, "mae").drop("mae")
 
 
 def latest_model(history: DataFrame) -> DataFrame:

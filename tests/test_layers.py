@@ -16,3 +16,33 @@ def test_stops_at_failing_gate_and_can_continue(spark, sf_small):
                                stop_on_failure=False)
     st = {s.stage: s.status for s in log}
     assert st["forecast"] == "ok" and tables["forecast"].count() == 1
+
+
+def test_restart_goes_on_after_the_last_finished_stage(spark, sf_small, monkeypatch):
+    from mercato.plans import layers
+    from mercato.sources import catalog
+    from mercato.sources.driver import bronze_order_details
+    bronze = dict(bronze_from_driver(spark, sf_small).items())
+    bronze["order_details"] = bronze_order_details(spark, sf_small, distinct_products=True)
+    root, written = catalog.fresh_root(spark), []
+    put = catalog.materialize
+
+    def counted(df, session, layer, name, where):
+        if name == "dim_employees" and len(written) < 40:
+            written.append("stopped")
+            raise RuntimeError("lost")
+        written.append(name)
+        return put(df, session, layer, name, where)
+    monkeypatch.setattr(catalog, "materialize", counted)
+    import pytest
+    with pytest.raises(RuntimeError):
+        run_layers(spark, bronze, root)
+    assert written.count("orders") == written.count("stg_orders") == 1
+    written.extend([""] * 40)
+    log, tables = run_layers(spark, bronze, root, forecast=lambda t: spark.createDataFrame([("overall", 1.0, True)], "series_key string, mae double, meets_threshold boolean"))
+    assert [(r.stage, r.status) for r in log] == [(s, "ok") for s in layers.STAGES]
+    assert written.count("orders") == written.count("stg_orders") == 1 and written.count("fact_sales") == 1
+    n = len(written)
+    again, same = run_layers(spark, bronze, root, forecast=lambda t: 1 / 0)
+    assert [(r.stage, r.status) for r in again] == [(s, "ok") for s in layers.STAGES] and len(written) == n
+    assert same["fact_sales"].count() == tables["fact_sales"].count() and same["forecast"].count() == 1
