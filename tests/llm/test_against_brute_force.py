@@ -154,7 +154,7 @@ def test_passages_catch_every_shared_run(spark, sf_small, texts):
         assert sum((Counter(a) & Counter(b)).values()) >= r.n_equal
 
 
-def test_chains_are_the_best(spark):
+def test_chains_are_the_best(monkeypatch):
     """Fenwick chaining against the quadratic recurrence."""
     import numpy as np
     rng = random.Random(3)
@@ -165,11 +165,27 @@ def test_chains_are_the_best(spark):
         for j, (a, b) in enumerate(pts):
             s = [best[i] - passages.GAP_COST * (a - x + b - y) for i, (x, y) in enumerate(pts[:j]) if x < a and y < b]
             best.append(passages.SEED + max([0, *s]))
+        chains = passages.best_chains(p, q)
+        assert sorted(i for c in chains for i in c) == list(range(len(pts)))
+        assert all((np.diff(p[c]) > 0).all() and (np.diff(q[c]) > 0).all() for c in chains)
+        gaps = [max(np.diff(p[c]).max(), np.diff(q[c]).max()) for c in chains if len(c) > 1]
+        assert all(g <= passages.MAX_GAP for g in gaps)
+        monkeypatch.setattr(passages, "MAX_GAP", 10 ** 9)          # before any cut the first chain is the best one
         chain = passages.best_chains(p, q)[0]
+        monkeypatch.undo()
         score = passages.SEED * len(chain) - passages.GAP_COST * sum(
             p[b] - p[a] + q[b] - q[a] for a, b in zip(chain, chain[1:]))
-        diagonal = (np.diff(p) == np.diff(q)).all() and (np.diff(p) > 0).all()
-        assert diagonal or abs(score - max(best)) < 1e-9
+        assert abs(score - max(best)) < 1e-9
+
+
+def test_a_second_passage_chains_beside_a_long_first_one():
+    """However long the first passage is, the seeds of the second chain among themselves."""
+    import numpy as np
+    for first, gap_p, gap_q, second in ((500, 45, 60, 100), (500, 45, 60, 200), (2000, 50, 70, 400)):
+        p = np.concatenate([np.arange(first), first + gap_p + np.arange(second)])
+        q = np.concatenate([np.arange(first), first + gap_q + np.arange(second)])
+        chains = passages.best_chains(p, q)
+        assert sorted(map(len, chains)) == sorted([first, second])
 
 
 def test_mixing_stays_within_a_block(spark, sf_small):
