@@ -29,11 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     the latest; a job of many steps asks for that here, so that its disk holds
     about one step's shuffles at a time."""
     checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder (never a machine-local one on a cluster)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
