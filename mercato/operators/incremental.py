@@ -81,10 +81,14 @@ def late_rows(source: DataFrame, target: DataFrame, id_col: str, key: str | list
 
 
 def incremental_model(source: DataFrame, target: DataFrame | None, id_col: str, key: str | list[str],
-                      mark: int | Column | None = None) -> DataFrame:
+                      mark: int | Column | None = None, key_contains_id: bool = False) -> DataFrame:
     """One incremental run: filter by the mark, then merge by key (the full
-    target after the run)."""
-    return merge_by_key(target, incremental_source(source, target, id_col, mark), key)
+    target after the run).  Where the key shows that no row can match
+    (`increment_is_append`) the merge is a union: the target is not shuffled."""
+    new = incremental_source(source, target, id_col, mark)
+    if target is not None and increment_is_append(id_col, key, key_contains_id):
+        return target.unionByName(new.select(*target.columns))
+    return merge_by_key(target, new, key)
 
 
 def increment_is_append(id_col: str, key: str | list[str], key_contains_id: bool = False) -> bool:

@@ -44,9 +44,13 @@ def active_period_calendar(series: DataFrame, keys: tuple[str, ...] = ()) -> Dat
             .drop("_first", "_last"))
 
 
-def active_period_positive(series: DataFrame) -> DataFrame:
-    """P-05: positive days only — a first/last range filter afterwards is a no-op."""
-    return positive_days(series)
+def active_period_positive(series: DataFrame, required: bool = False) -> DataFrame:
+    """P-05: positive days only — a first/last range filter afterwards is a no-op.
+    `required` makes a series without any such day an error (one small job)."""
+    out = positive_days(series)
+    if required and out.isEmpty():
+        raise ValueError("the series has no day with revenue above zero")
+    return out
 
 
 def last_n_days(series: DataFrame, back: int = 180, ahead: int = 30, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -473,7 +473,7 @@ def q_incr_stg_orders(spark, sf_dir):
 def q_incr_stg_order_details(spark, sf_dir):
     lk = lake(spark, sf_dir)
     target = lk.stg_order_details.join(_first_run_orders(lk).select("order_id"), "order_id", "left_semi")
-    return I.incremental_model(lk.stg_order_details, target, "order_id", "order_detail_id")
+    return I.incremental_model(lk.stg_order_details, target, "order_id", "order_detail_id", key_contains_id=True)
 
 
 @register("incr_fact_sales", sql(
@@ -487,7 +487,7 @@ def q_incr_fact_sales(spark, sf_dir):
     mark = I.watermark_col(target, "order_id")
     # the mark filters the orders side; Catalyst infers it for the lines side too
     src = G.fact_sales(lk.stg_orders.where(F.col("order_id") > mark), lk.stg_order_details)
-    return I.merge_by_key(target, src, "order_detail_id")
+    return target.unionByName(src)          # the key is a hash that holds the order id: nothing can match
 
 
 @register("merge_by_key", sql(
@@ -773,9 +773,9 @@ def _overall_record(t, stamp):
 _RUN_STAMPS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm")
 _NAIVE = ("naive_ AS (SELECT sale_date, rev_ AS y, lag(rev_, 7) OVER (ORDER BY sale_date) AS yhat FROM active_), "
           "naive_error_ AS (SELECT date_trunc('month', sale_date) AS m, "
-          "round(CAST(sum(abs(y - yhat)) AS DOUBLE) / count(*), 4) AS mae, "
-          "round(sqrt(sum(CAST(y - yhat AS DOUBLE) * CAST(y - yhat AS DOUBLE)) / count(*)), 4) AS rmse, "
-          "round(CAST(sum(y) AS DOUBLE) / count(*), 4) AS mean_test_revenue, count(*) AS n_test, max(sale_date) AS last_day "
+          "round(CAST(sum(abs(y - yhat)) AS DOUBLE) / count(*), 6) AS mae, "
+          "round(sqrt(sum(CAST(y - yhat AS DOUBLE) * CAST(y - yhat AS DOUBLE)) / count(*)), 6) AS rmse, "
+          "round(CAST(sum(y) AS DOUBLE) / count(*), 6) AS mean_test_revenue, count(*) AS n_test, max(sale_date) AS last_day "
           "FROM naive_ WHERE yhat IS NOT NULL GROUP BY 1), "
           "runs_ AS (SELECT *, row_number() OVER (ORDER BY m DESC) AS back_, mae <= 0.30 * mean_test_revenue AS meets_threshold, "
           "CAST(m + INTERVAL 1 MONTH + INTERVAL 2 HOUR AS TIMESTAMP) AS at_ FROM naive_error_), "
@@ -794,7 +794,7 @@ def _naive_pairs(spark, sf_dir):
 def _naive_errors(spark, sf_dir):
     e = A.forecast_error(_naive_pairs(spark, sf_dir).withColumn("m", F.trunc("sale_date", "month")).withColumns(
         {c: F.col(c).cast("double") for c in ("y", "yhat")}), keys=("m",))
-    return e.select("m", "n_test", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mean_test_revenue")], "meets_threshold")
+    return e.select("m", "n_test", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "mean_test_revenue")], "meets_threshold")
 
 
 @register("forecast_error_naive", oracle.sql("SELECT CAST(m AS DATE) AS m, n_test, mae, rmse, mean_test_revenue, meets_threshold FROM runs_", extra_ctes=_NAIVE))

@@ -118,7 +118,9 @@ def test_series_filters(spark):
     rows = [(dt.date(1998, 1, d), v) for d, v in [(1, 0.0), (2, 5.0), (3, 0.0), (4, 7.0), (5, 0.0)]]
     s = spark.createDataFrame(rows, "sale_date date, total_revenue double")
     assert [r.sale_date.day for r in S.active_period_calendar(s).orderBy("sale_date").collect()] == [2, 3, 4]
-    assert S.positive_days(s).count() == 2
+    assert S.positive_days(s).count() == 2 and S.active_period_positive(s, required=True).count() == 2
+    with pytest.raises(ValueError, match="no day with revenue"):
+        S.active_period_positive(s.where("total_revenue = 0"), required=True)
     gaps = spark.createDataFrame([(dt.date(1998, 1, d),) for d in (1, 2, 5)], "sale_date date")
     assert sorted(r.sale_date.day for r in S.missing_dates(gaps).collect()) == [3, 4]
 

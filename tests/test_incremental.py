@@ -91,6 +91,13 @@ def test_versioned_table(spark):
     assert t.versions() == [2]
 
 
+def test_model_with_its_id_as_key_is_not_shuffled(spark, src):
+    target = src.where("id <= 2")
+    plan = I.incremental_model(src, target, "id", "id", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert "Join" in I.incremental_model(src, target, "id", "v", 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_append_only_increment(spark, src):
     assert I.increment_is_append("id", "id") and not I.increment_is_append("id", "other")
     t = VersionedTable(spark, fresh_root(spark) + "/inc")
