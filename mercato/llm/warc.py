@@ -7,7 +7,8 @@ others are revisit records that name it.
 
 Reading: the archives are split like any text, at the line "WARC/1.0".  A
 piece's offset (in uncompressed bytes) follows from the sizes of the pieces
-before it.  Every piece is a candidate: its Content-Length states its
+before it: tasks count from their split's start, and a running total over a
+file's splits, one row each, gives the starts.  Every piece is a candidate: its Content-Length states its
 successor's offset.  The magic line may also stand inside a payload, and such a
 piece may look like a record; so a task emits, for each candidate, where its
 chain leaves the split, and pointer jumping from offset 0 of each file finds
@@ -37,7 +38,7 @@ from .common import cut, prepare, scratch
 MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n"
 LEAST_REVISIT = 1000       # bytes a payload must have to be stored once
-BROADCAST_ROWS = 200_000   # rows of ids and digests that may be broadcast, about 20 MB
+BROADCAST_ROWS = 200_000   # rows of ids and digests, or of splits, that may be broadcast, about 20 MB
 CONTENT_LENGTH = re.compile(rb"(?:^|\r\n)Content-Length: (\d{1,15})(?:\r\n|$)")
 STAMP = "2024-01-01T00:00:00Z"      # archives carry no wall clock, so writing twice gives equal files
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -82,29 +83,40 @@ def _record(p: DataFrame) -> DataFrame:
     return p.select(F.concat(head, F.when(response, body).otherwise("")).alias("value"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 2_000, compression: str = "gzip") -> None:
+def write(pages: DataFrame, path: str, records_per_file: int = 1_000_000, compression: str = "none") -> None:
     """Write the archives; a file holds one task's records, `records_per_file` at
-    most.  Uncompressed archives can be split when read."""
+    most.  Uncompressed archives are split when read; a gzip file is one split."""
     (_record(plan_records(pages)).write.option("lineSep", BREAK * 2).option("compression", compression)
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces of the archives and `place`, which grows along a split."""
     return (spark.read.option("lineSep", MAGIC).text(path)
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-                    F.col("value").alias("piece")))
+                    F.col("value").alias("piece"), F.monotonically_increasing_id().alias("place")))
+
+
+def _beside(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """`lines` with the columns of `splits` (one row per split), a split's pieces in
+    their order.  Few splits, counted, are broadcast; beyond that the pieces are
+    shuffled by split and sorted."""
+    if splits.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(splits), ["file", "split"])
+    return lines.join(splits.hint("merge"), ["file", "split"]).sortWithinPartitions("file", "split", "place")
 
 
 def _walk(batches: Iterator[pa.RecordBatch], running: dict) -> Iterator[tuple]:
     """(batch, row, (file, split), offset, successor's offset or None, bytes needed, piece) of a
-    split's pieces, which come in file order.  The first column triple is file, split, start."""
+    split's pieces, which come in their order.  The first columns are file, split, start, piece."""
     for batch in batches:
         files, splits, starts = (batch.column(i).to_pylist() for i in (0, 1, 2))
         for i, piece in enumerate(batch.column(3).cast(pa.binary())):
             body, key = piece.as_py(), (files[i], splits[i])
-            here = running.get(key, starts[i])
+            first = key not in running
+            here = starts[i] if first else running[key]
             running[key] = here + len(body) + len(MAGIC)
-            if here < len(MAGIC):
+            if first and not key[1]:
                 continue                             # a file starts with the magic line: its first, empty piece is no candidate
             end = body.find(b"\r\n\r\n")
             length = CONTENT_LENGTH.search(body[:end]) if end >= 0 else None
@@ -113,17 +125,30 @@ def _walk(batches: Iterator[pa.RecordBatch], running: dict) -> Iterator[tuple]:
 
 
 def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per candidate where its chain leaves the split: offsets only, no payloads."""
-    found: dict[tuple, list] = {}
-    for _, _, key, at, after, _, _ in _walk(batches, {}):
-        found.setdefault(key, []).append((at, after))
-    for (file, split), rows in found.items():
+    """Per candidate where its chain leaves the split, and per split (`at` null) its
+    size: offsets from the split's start only, no payloads."""
+    sizes: dict[tuple, int] = {}
+
+    def edges(key, rows):
         out: dict[int, int | None] = {}
         for at, after in reversed(rows):             # a successor lies further on, so it is known already
             out[at] = out.get(after, after)
-        yield pa.RecordBatch.from_arrays([pa.array([file] * len(out)), pa.array([split] * len(out), pa.int64()),
-                                          pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())],
-                                         ["file", "split", "at", "exit"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.string()), pa.array([key[1]] * len(out), pa.int64()),
+                                           pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())],
+                                          ["file", "split", "at", "exit"])
+
+    last, rows = None, []
+    for _, _, key, at, after, _, _ in _walk(batches, sizes):
+        if key != last and rows:
+            yield edges(last, rows)
+            rows = []
+        last = key
+        rows.append((at, after))
+    if rows:
+        yield edges(last, rows)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sizes], pa.string()), pa.array([k[1] for k in sizes], pa.int64()),
+                                      pa.nulls(len(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())],
+                                     ["file", "split", "at", "exit"])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,31 +205,41 @@ def reachable(edges: DataFrame) -> DataFrame:
     return reached
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records: file, at, header, block (the Content-Length bytes).
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split: start, entry (offset of the first record that starts in
+    it), owner (the split of the record that its first pieces belong to) and
+    ragged: a record begins in it and ends in another, or the reverse."""
+    local = cut(lines.select("file", "split", F.lit(0).cast("long").alias("start"), "piece")
+                .mapInArrow(_exits, "file string, split long, at long, exit long"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(local.filter("at is null").select("file", "split", F.col("exit").alias("total"))
+                 .withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0))))
+    edges = cut(local.filter("at is not null").join(starts, ["file", "split"])
+                .select("file", "split", (F.col("at") + F.col("start")).alias("at"), (F.col("exit") + F.col("start")).alias("exit")))
+    entries = edges.join(reachable(edges), ["file", "at"]).select("file", "split", F.col("at").alias("entry"), "exit")
+    s = starts.join(entries, ["file", "split"], "left")
+    s = s.withColumn("owner", F.last(F.when(F.col("entry").isNotNull(), F.col("split")), ignorenulls=True).over(before))
+    late = (F.col("split") > 0) & (F.col("entry") != F.col("start") - len(MAGIC))
+    open_end = ~F.col("exit").eqNullSafe(F.col("start") + F.col("total") - len(MAGIC))
+    return cut(s.select("file", "split", "start", "entry", "owner", (F.col("entry").isNull() | late | open_end).alias("ragged")))
 
-    A split's start in pieces is the sum of the splits before it; that table and
-    the entries have one row per split, which is what the tasks of a scan are."""
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The records: file, at, header, block (the Content-Length bytes)."""
     prepare(spark)
     lines = _lines(spark, path)
-    sizes = cut(lines.groupBy("file", "split").agg(F.sum(F.octet_length("piece") + len(MAGIC)).alias("total")))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    edges = cut(lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "start", "piece")
-                .mapInArrow(_exits, "file string, split long, at long, exit long"))
-    entries = edges.join(reachable(edges), ["file", "at"]).select("file", "split", F.col("at").alias("entry"))
-    plan = starts.join(entries, ["file", "split"], "left")
-    plan = plan.withColumn("owner", F.last(F.when(F.col("entry").isNotNull(), F.col("split")), ignorenulls=True).over(before))
-    found = cut(plan)
-    parts = (lines.join(F.broadcast(found), ["file", "split"]).select("file", "split", "start", "piece", "entry", "owner")
-             .mapInArrow(_records, "file string, owner long, at long, piece string, whole boolean"))
-    records = parts.filter("whole").select("file", "at", "piece")
-    if sizes.groupBy("file").count().filter("count > 1").limit(1).count():
+    splits = _splits(lines)
+
+    def parts(of: DataFrame) -> DataFrame:
+        return (_beside(lines, of).select("file", "split", "start", "piece", "entry", "owner")
+                .mapInArrow(_records, "file string, owner long, at long, piece string, whole boolean"))
+
+    records = parts(splits).filter("whole").select("file", "at", "piece")
+    ragged = splits.filter("ragged")
+    if not ragged.isEmpty():                         # only these splits are read for pieces to put together
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), MAGIC)
-        records = records.union(parts.filter("not whole").groupBy("file", "owner").agg(F.min("at").alias("at"), text.alias("piece"))
+        records = records.union(parts(ragged).filter("not whole").groupBy("file", "owner").agg(F.min("at").alias("at"), text.alias("piece"))
                                 .select("file", "at", "piece"))
-    else:
-        records = parts.select("file", "at", "piece")
     head = F.substring_index("piece", BREAK * 2, 1)
     length = F.regexp_extract(head, r"(?:^|\r\n)Content-Length: (\d{1,15})(?:\r\n|$)", 1).cast("int")
     block = F.substring(F.col("piece").cast("binary"), F.octet_length(head) + 5, length)
