@@ -64,26 +64,26 @@ def spine_from_bounds(bounds: DataFrame, start_col: str, end_col: str, name: str
             .where(F.col(name) < F.col("_end")).drop("_end"))
 
 
-def with_dense_index(df: DataFrame, name: str = "_idx", key: str | list[str] | None = None,
-                     buckets: int = 256) -> DataFrame:
+def with_dense_index(df: DataFrame, name: str = "_idx", key: str | None = None, digits: int = 3) -> DataFrame:
     """Attach a dense 0-based index that depends only on the rows, not on how
-    they are partitioned, without a single-partition window.
-
-    Rows are spread over `buckets` hash buckets of `key` (all columns by
-    default); inside a bucket they are ranked by the key (a window partitioned
-    by bucket — `buckets` parallel sorts); a bucket's offset is the running
-    total of the sizes of the buckets before it (one aggregate of `buckets`
-    rows, broadcast back).  Keys must be unique for the index to be unique."""
+    they are partitioned, without a single-partition window: the rank by (bucket,
+    key), where the bucket is the first `digits` hex digits of the key's md5.
+
+    Inside a bucket rows are ranked by the key (a window partitioned by bucket,
+    16^digits parallel sorts); a bucket's offset is the running total of the
+    sizes of the buckets before it (one aggregate, a row per bucket, broadcast
+    back).  Keys must be unique for the index to be unique.  Any engine with md5
+    can give the same index by one ORDER BY."""
     from pyspark.sql import Window
 
-    keys = [key] if isinstance(key, str) else list(key or df.columns)
-    b = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).alias("_b")
+    key = key or df.columns[0]
+    b = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, digits).alias("_b")
     tmp = df.select("*", b)
-    tmp = tmp.select("*", F.row_number().over(Window.partitionBy("_b").orderBy(*keys)).alias("_r"))
+    tmp = tmp.select("*", F.row_number().over(Window.partitionBy("_b").orderBy(key)).alias("_r"))
     sizes = df.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (tmp.join(F.broadcast(offsets), "_b")                 # ≤ `buckets` rows
+    return (tmp.join(F.broadcast(offsets), "_b")                 # at most 16^digits rows
             .withColumn(name, F.col("_off") + F.col("_r") - 1).drop("_b", "_r", "_off"))
 
 
@@ -92,3 +92,10 @@ def uniform(seed: int, *parts) -> Column:
     the same key whatever the partitioning."""
     h = F.xxhash64(F.lit(seed), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53)))
+
+
+def md5_uniform(seed: int, what: str, *parts: Column) -> Column:
+    """Deterministic U[0,1) from the md5 of `seed:what:part:…` (its first 13 hex
+    digits, 52 bits): the same number in any engine that has md5."""
+    text = F.concat(F.lit(f"{seed}:{what}"), *[x for p in parts for x in (F.lit(":"), p.cast("string"))])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))

@@ -7,11 +7,12 @@ shipped +1..7 days, freight U(5, 120); each order has 1..max_lines distinct
 products, price = base × U(0.9, 1.1) (U(5, 60) when the base is not
 positive), quantity 1..30 and a discount drawn from a fixed list.
 
-Every random draw is a hash of (seed, id, field), so the output depends only
-on the seed and the inputs — not on partitioning or task order.  (It cannot
-reproduce any particular PRNG stream; tests check properties.)  Dimension
-rows are picked by a dense index (hash-bucket ranks) and joined to the generated
-rows by that index; nothing generated is broadcast.  Empty customers, employees
+Every random draw is made of md5 digits of (seed, field, id), so the output
+depends only on the seed and the inputs — not on partitioning, task order or
+engine: the SQL twins draw the same numbers.  (It cannot reproduce any
+particular PRNG stream.)  Dimension rows are picked by a dense index (ranks
+inside md5 buckets) and joined to the generated rows by that index; nothing
+generated is broadcast.  Empty customers, employees
 or products, and orders without a date to continue from, are errors.
 """
 
@@ -22,7 +23,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.keys import uniform, with_dense_index
+from mercato.functions.keys import md5_uniform as uniform
+from mercato.functions.keys import with_dense_index
 
 # --- fixed values ---
 DISCOUNTS = (0.0, 0.0, 0.0, 0.05, 0.10, 0.15, 0.20, 0.25)

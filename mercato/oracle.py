@@ -11,6 +11,8 @@ handled explicitly:
 
 from __future__ import annotations
 
+import math
+
 TOKEN = "'_dbt_utils_surrogate_key_null_'"
 
 
@@ -347,3 +349,89 @@ def fact_select(orders: str, details: str) -> str:
             "od.quantity, od.unit_price, od.discount, "
             "CAST(od.quantity * od.unit_price * (1 - od.discount) AS DOUBLE) AS line_revenue, o.freight "
             f"FROM {orders} o JOIN {details} od ON o.order_id = od.order_id")
+
+
+def draw(seed: int, what: str, *parts: str) -> str:
+    """A number in [0, 1) from the first 52 bits of the md5 of seed, field and id."""
+    text = f"'{seed}:{what}'" + "".join(f" || ':' || CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0)"
+
+
+def draw_int(u: str, lo: int, hi: int) -> str:
+    return f"(CAST(floor({u} * {hi - lo + 1}) AS INTEGER) + {lo})"
+
+
+def _numbered(src: str, key: str) -> str:
+    """Rows of `src` numbered from 0 by the md5 of the key, three digits of it, then the key."""
+    return f"SELECT *, row_number() OVER (ORDER BY substr(md5(CAST({key} AS VARCHAR)), 1, 3), {key}) - 1 AS idx FROM {src}"
+
+
+def _between(u: str, lo: float, hi: float) -> str:
+    return f"({lo!r}e0 + {u} * {hi - lo!r}e0)"
+
+
+def synthetic_orders_ctes(x) -> str:
+    """The generator of new orders, of the constants in module `x`."""
+    seed, o = x.DEFAULTS["seed"], "order_id"
+    mean = x.DEFAULTS["per_day"]
+    gauss = (f"sqrt(-2e0 * ln(greatest({draw(seed, 'n1', 'day_no')}, 1e-300))) "
+             f"* cos({2 * math.pi!r}e0 * {draw(seed, 'n2', 'day_no')})")
+    return f"""
+days_ AS (
+  SELECT CAST(i AS INTEGER) AS day_no FROM range({x.DEFAULTS['days']}) t(i)
+),
+sized_ AS (SELECT day_no, greatest(1, CAST(trunc({mean} + {gauss} * {mean * 0.25!r}e0) AS INTEGER)) AS n FROM days_),
+placed_ AS (SELECT day_no, n, coalesce(sum(n) OVER (ORDER BY day_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM sized_),
+last_ AS (SELECT max(order_id) AS id, max(order_date) AS day FROM b_orders),
+made_ AS (
+  SELECT CAST(l.id + 1 + p.before_ + k AS BIGINT) AS order_id, CAST(l.day + 1 + p.day_no AS DATE) AS order_date
+  FROM placed_ p, last_ l, unnest(range(p.n)) t(k)
+),
+buyers_ AS ({_numbered('b_customers', 'customer_id')}),
+agents_ AS ({_numbered('b_employees', 'employee_id')}),
+new_orders_ AS (
+  SELECT m.order_id, c.customer_id, e.employee_id, m.order_date,
+         CAST(m.order_date + {draw_int(draw(seed, 'req', o), *x.REQUIRED_DAYS)} AS DATE) AS required_date,
+         CAST(m.order_date + {draw_int(draw(seed, 'ship', o), *x.SHIPPED_DAYS)} AS DATE) AS shipped_date,
+         ({list(x.SHIP_VIAS)!r})[{draw_int(draw(seed, 'via', o), 1, len(x.SHIP_VIAS))}] AS ship_via,
+         round({_between(draw(seed, 'freight', o), *x.FREIGHT)}, 2) AS freight,
+         'Consignee ' || m.order_id AS ship_name, {draw_int(draw(seed, 'addr', o), 1, 999)} || ' Harbour Road' AS ship_address,
+         'Newbridge' AS ship_city, CAST(NULL AS VARCHAR) AS ship_region,
+         CAST({draw_int(draw(seed, 'zip', o), 10000, 99999)} AS VARCHAR) AS ship_postal_code, 'Nowhere' AS ship_country
+  FROM made_ m
+  JOIN buyers_ c ON c.idx = floor({draw(seed, 'cust', o)} * (SELECT count(*) FROM b_customers))
+  JOIN agents_ e ON e.idx = floor({draw(seed, 'emp', o)} * (SELECT count(*) FROM b_employees))
+)"""
+
+
+def synthetic_lines_ctes(x) -> str:
+    """The lines of those orders: the first draws that differ, one per line."""
+    seed, o, most = x.DEFAULTS["seed"], "order_id", x.DEFAULTS["max_lines"]
+    key = ("order_id", "line")
+    return synthetic_orders_ctes(x) + f""",
+goods_ AS ({_numbered('(SELECT product_id, unit_price FROM b_products)', 'product_id')}),
+goods_n_ AS (SELECT count(*) AS np FROM goods_),
+drawn_ AS (
+  SELECT order_id, i, np, CAST(floor({draw(seed, 'prod', o, 'i')} * np) AS BIGINT) AS pi
+  FROM new_orders_, goods_n_, range(1, {8 * most + 1}) t(i)
+),
+filled_up_ AS (
+  SELECT order_id, i, pi FROM drawn_
+  UNION ALL
+  SELECT order_id, {8 * most} + j, (pi + j - 1) % np FROM drawn_, range(1, {most + 1}) t(j) WHERE i = 1
+),
+firsts_ AS (SELECT order_id, pi, min(i) AS i FROM filled_up_ GROUP BY ALL),
+lines_ AS (SELECT order_id, pi, row_number() OVER (PARTITION BY order_id ORDER BY i) - 1 AS line FROM firsts_),
+wanted_ AS (
+  SELECT l.*, coalesce(g.unit_price, 0) AS base, g.product_id
+  FROM lines_ l JOIN goods_ g ON g.idx = l.pi, goods_n_
+  WHERE line < least({draw_int(draw(seed, 'lines', o), 1, most)}, np)
+),
+new_lines_ AS (
+  SELECT order_id, product_id,
+         CASE WHEN base > 0 THEN round(base * {_between(draw(seed, 'price', *key), *x.PRICE_FACTOR)}, 2)
+              ELSE round({_between(draw(seed, 'price', *key), *x.BASE_PRICE)}, 2) END AS unit_price,
+         {draw_int(draw(seed, 'qty', *key), *x.QUANTITY)} AS quantity,
+         CAST(({list(x.DISCOUNTS)!r})[{draw_int(draw(seed, 'disc', *key), 1, len(x.DISCOUNTS))}] AS DOUBLE) AS discount
+  FROM wanted_
+)"""

@@ -915,14 +915,14 @@ def q_top_customers_display(spark, sf_dir):
                     F.concat(F.lit("$"), F.format_number("aov", 2)).alias("aov_fmt"))
 
 
-@register("synthetic_orders")
+@register("synthetic_orders", sql("SELECT * FROM new_orders_", oracle.synthetic_orders_ctes(X)))
 def q_synthetic_orders(spark, sf_dir):
     b = lake(spark, sf_dir).bronze
     return X.synthetic_orders(b["orders"], b["customers"], b["employees"], **{k: v for k, v in X.DEFAULTS.items()
                                                                             if k != "max_lines"})
 
 
-@register("synthetic_lines")
+@register("synthetic_lines", sql("SELECT * FROM new_lines_", oracle.synthetic_lines_ctes(X)))
 def q_synthetic_lines(spark, sf_dir):
     b = lake(spark, sf_dir).bronze
     o = q_synthetic_orders(spark, sf_dir)

@@ -14,7 +14,7 @@ import compare as C  # noqa: E402
 
 SUBSET = ["stg_order_details", "dim_products", "fact_sales", "wide_sales_forecast", "kpi_overview",
           "top_customers", "weekday_profile", "describe_series", "incr_fact_sales", "dq_suite",
-          "forecast_linear", "category_growth_mom", "screen_sql_log"]
+          "forecast_linear", "category_growth_mom", "screen_sql_log", "synthetic_orders", "synthetic_lines"]
 
 
 @pytest.fixture(scope="module")
