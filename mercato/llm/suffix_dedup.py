@@ -7,7 +7,8 @@ bytes (`sampling.runs`), equal windows choose the same place, and only chosen
 positions whose gram occurs at least twice enter the sort.
 
 1. Sampling: per text its chosen positions and gram hashes.
-2. Grams seen twice or more (partial counts, then a join that AQE may split).
+2. Grams seen twice or more (partial counts).  The most frequent ones, at most
+   HOT_GRAMS, keep their places by a broadcast, the others by a join.
 3. Each task sorts the suffixes of its candidates: a key is the text from the
    chosen position to the end of its last window, then the bytes before it
    reversed, so one key holds a run of windows whole.  Equal keys of a task
@@ -42,10 +43,12 @@ from pyspark.sql import types as T
 
 from . import sampling, suffix_sort, tokens
 from .common import cut, prepare
+from .ranks import ranked, stored
 
 WIDTH, GRAM = sampling.WIDTH, sampling.GRAM
 RUN_BYTES = 48 << 20          # key bytes a task holds before it closes a run
 SPLITTER_KEYS = 40            # sampled keys per range
+HOT_GRAMS = 10_000            # grams that are broadcast, at most
 
 _MERGED = "k1 long, k2 long, first long, last long, open binary"
 
@@ -85,13 +88,14 @@ def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _splitters(docs: DataFrame, ranges: int, positions: int, rows: int) -> list[bytes]:
     """ranges - 1 keys that cut the sorted suffixes about evenly, from a seeded
-    sample of texts; they decide where a suffix is sorted, never the result."""
+    sample of texts; they decide where a suffix is sorted, never the result.  The
+    sample is sorted and ranked in Spark: only the cutting keys come to the driver."""
     want = SPLITTER_KEYS * ranges
     share = min(1.0, 10.0 * want / max(positions, 1) + 40.0 / max(rows, 1))
-    keys = (docs.select("text").sample(fraction=share, seed=7).mapInArrow(_sample_keys, "key binary")
-            .orderBy(F.xxhash64("key")).limit(2 * want).collect())
-    keys = sorted(bytes(r.key) for r in keys)
-    return [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
+    keys = stored(docs.select("text").sample(fraction=share, seed=7).mapInArrow(_sample_keys, "key binary"), "suffix-keys")
+    part = lambda r: F.floor(r * ranges / F.col("size"))
+    cuts = ranked(keys, ["key"], name="suffix-ranks").filter((F.col("rank") > 0) & (part(F.col("rank")) > part(F.col("rank") - 1)))
+    return sorted(bytes(r.key) for r in cuts.select("key").collect())
 
 
 def _close_run(entries: dict, splitters: list[bytes], done: list, repeats: list) -> None:
@@ -295,10 +299,16 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(docs, ranges, positions, rows)
 
-    again = (chosen.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("gram"))
-    candidates = (chosen.select("k1", "k2", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("places").alias("place"))))
-                  .join(again, "gram").groupBy("k1", "k2").agg(F.collect_set("place").alias("places")))
+    again = cut(chosen.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # as the counts add up to the positions, HOT_GRAMS grams at most are hot: broadcast, whatever the
+    # input, so that no key of the other join holds more than positions / HOT_GRAMS rows
+    often = F.col("n") > positions / HOT_GRAMS
+    hot = again.filter(often).select("gram", F.lit(True).alias("hot"))
+    places = (chosen.select("k1", "k2", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("places").alias("place"))))
+              .join(F.broadcast(hot), "gram", "left"))
+    rest = places.filter("hot is null").join(again.filter(~often), "gram", "left_semi")
+    candidates = (places.filter("hot").select("k1", "k2", "place").union(rest.select("k1", "k2", "place"))
+                  .groupBy("k1", "k2").agg(F.collect_set("place").alias("places")))
     sent = (keyed.join(candidates, ["k1", "k2"]).select("k1", "k2", "row", "places")
             .mapInArrow(_sorted_runs(splitters), "rng int, k1 long, k2 long, first long, last long, block binary"))
     merged = sent.repartition(ranges, "rng").mapInArrow(_merged, _MERGED)

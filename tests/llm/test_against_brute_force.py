@@ -82,7 +82,9 @@ def test_register_comparison_in_sql(spark):
     assert df.filter(F.expr(near_dedup._agree("x", "y")) != F.col("want")).count() == 0
 
 
-def test_suffix_dedup(spark, sf_small, texts):
+@pytest.mark.parametrize("hot_grams", [10_000, 5])
+def test_suffix_dedup(spark, sf_small, texts, monkeypatch, hot_grams):
+    monkeypatch.setattr(suffix_dedup, "HOT_GRAMS", hot_grams)
     raw = {i: t.encode() for i, t in texts.items()}
     seen = Counter(b[p:p + 200] for b in raw.values() for p in range(len(b) - 199))
     want = {}
