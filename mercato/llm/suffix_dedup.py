@@ -92,9 +92,10 @@ def _splitters(docs: DataFrame, ranges: int, positions: int, rows: int) -> list[
     sample is sorted and ranked in Spark: only the cutting keys come to the driver."""
     want = SPLITTER_KEYS * ranges
     share = min(1.0, 10.0 * want / max(positions, 1) + 40.0 / max(rows, 1))
-    keys = stored(docs.select("text").sample(fraction=share, seed=7).mapInArrow(_sample_keys, "key binary"), "suffix-keys")
+    keys = stored(docs.select("text").sample(fraction=share, seed=7).mapInArrow(_sample_keys, "key binary")
+                  .withColumn("tie", F.monotonically_increasing_id()), "suffix-keys")        # equal keys spread over tasks
     part = lambda r: F.floor(r * ranges / F.col("size"))
-    cuts = ranked(keys, ["key"], name="suffix-ranks").filter((F.col("rank") > 0) & (part(F.col("rank")) > part(F.col("rank") - 1)))
+    cuts = ranked(keys, ["key", "tie"], name="suffix-ranks").filter((F.col("rank") > 0) & (part(F.col("rank")) > part(F.col("rank") - 1)))
     return sorted(bytes(r.key) for r in cuts.select("key").collect())
 
 
