@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercato.functions.keys import fact_key, join_dim
+from mercato.functions.money import line_revenue
+
 
 def join_orders_lines(stg_orders: DataFrame, stg_order_details: DataFrame) -> DataFrame:
     """J-01: inner equi-join on order_id (orders without lines drop out)."""
@@ -47,11 +50,11 @@ def join_spine_fill(spine: DataFrame, daily: DataFrame, keys=("sale_date", "prod
 
 def star_join(fact: DataFrame, dim_date: DataFrame, dim_products: DataFrame, dim_customers: DataFrame) -> DataFrame:
     """J-05: fact ⋈ date ⋈ product ⋈ customer, inner (a missing key drops the line)."""
-    return (fact.join(F.broadcast(dim_date.select("date_key", "full_date")), "date_key")
-            .join(dim_products.select("product_key", "product_name", "category_name"), "product_key")
-            .join(dim_customers.select("customer_key", "company_name", "country"), "customer_key")
-            .select("order_id", "order_detail_id", "full_date", "product_name", "category_name",
-                    "company_name", "country", "quantity", "line_revenue"))
+    f = fact.join(F.broadcast(dim_date.select("date_key", "full_date")), "date_key")
+    f = join_dim(f, dim_customers, "customer_key", "company_name", "country")
+    f = join_dim(f, dim_products, "product_key", "product_name", "category_name")
+    return f.select("order_id", fact_key(fact, "order_detail_id"), "full_date", "product_name", "category_name",
+                    "company_name", "country", "quantity", F.col("line_revenue") if "line_revenue" in fact.columns else line_revenue().alias("line_revenue"))
 
 
 def anti_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:

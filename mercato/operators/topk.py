@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.keys import join_dim
 from mercato.functions.money import exact_line_revenue
 from mercato.operators.aggregates import fact_in_range
 
@@ -18,10 +19,12 @@ from mercato.operators.aggregates import fact_in_range
 def top_customers(fact: DataFrame, dim_customers: DataFrame, dim_date: DataFrame, start, end,
                   n: int = 10) -> DataFrame:
     """L-01: top n customers by revenue with country, city, orders and AOV."""
-    f = fact_in_range(fact, dim_date, start, end)
-    g = (f.join(dim_customers.select("customer_key", "company_name", "country", "city"), "customer_key")
+    key = "customer_key" if "customer_key" in fact.columns else "customer_id"
+    # lines are joined by order, so their sum per order moves none; a quarter of the rows travels on
+    f = fact_in_range(fact, dim_date, start, end).groupBy("order_id", key).agg(F.sum(exact_line_revenue()).alias("_r"))
+    g = (join_dim(f, dim_customers, "customer_key", "company_name", "country", "city")
          .groupBy("company_name", "country", "city")
-         .agg(F.sum(exact_line_revenue()).alias("_r"), F.countDistinct("order_id").alias("orders")))
+         .agg(F.sum("_r").alias("_r"), F.countDistinct("order_id").alias("orders")))
     rev = F.col("_r").cast("double")
     return (g.select("company_name", "country", "city", rev.alias("total_revenue"),
                      F.col("orders").cast("bigint").alias("orders"),
@@ -33,7 +36,7 @@ def top_customers(fact: DataFrame, dim_customers: DataFrame, dim_date: DataFrame
 
 def _product_revenue(fact: DataFrame, dim_products: DataFrame, dim_date: DataFrame, start, end) -> DataFrame:
     f = fact_in_range(fact, dim_date, start, end)
-    return (f.join(dim_products.select("product_key", "product_name"), "product_key")
+    return (join_dim(f, dim_products, "product_key", "product_name")
             .groupBy("product_name").agg(F.sum(exact_line_revenue()).cast("double").alias("revenue")))
 
 
