@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.keys import fact_key, join_dim
+from mercato.functions.keys import FACT_KEYS, fact_key, join_dim, without_dim
 from mercato.functions.money import line_revenue
 
 
@@ -58,8 +58,12 @@ def star_join(fact: DataFrame, dim_date: DataFrame, dim_products: DataFrame, dim
 
 
 def anti_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
-    """J-06: child rows whose (non-null) key has no parent row."""
+    """J-06: child rows whose (non-null) key has no parent row.
+
+    Fact lines that carry ids have hash keys that are never null; they are compared by the ids."""
     parent_key = parent_key or child_key
+    if child_key not in child.columns and child_key in FACT_KEYS:
+        return without_dim(child, parent, child_key)
     keys = parent.select(F.col(parent_key).alias("_pk"))   # duplicates harmless for an anti join
     cond: Column = F.col(child_key) == F.col("_pk")
     return child.where(F.col(child_key).isNotNull()).join(keys, cond, "left_anti")

@@ -71,3 +71,20 @@ def test_a_table_is_ranged_before_its_keys_are_made(spark, star, tmp_path):
     assert t.append(lines.where("order_id >= 3")) == lines.where("order_id >= 3").count()
     assert t.append(lines.where("order_id > 9")) == 0
     assert t.current().columns == fact.columns and _rows(t.current()) == _rows(fact.where(F.col("order_id").isNotNull()))
+
+
+def test_orphans_are_found_by_id_before_keys_are_made(spark, star, capsys):
+    lines, fact, _, _, customers = star
+    for parents in (customers, customers.where("customer_id = 'a'"), customers.where("customer_id is null"), customers.where("false"),
+                    customers.unionAll(customers)):
+        keyed = _rows(J.anti_orphans(fact, parents, "customer_key"))
+        assert _rows(gold.with_keys(J.anti_orphans(lines, parents, "customer_key"))) == keyed
+    assert len(_rows(J.anti_orphans(lines, customers.where("customer_id = 'a'"), "customer_key"))) > 2
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gold.with_keys(J.anti_orphans(lines, customers, "customer_key")).explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" in plan and not [m for m in re.findall(r"hashpartitioning\((.*)", plan) if "_key" in m.replace("_key_null_", "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
