@@ -46,3 +46,25 @@ def test_restart_goes_on_after_the_last_finished_stage(spark, sf_small, monkeypa
     again, same = run_layers(spark, bronze, root, forecast=lambda t: 1 / 0)
     assert [(r.stage, r.status) for r in again] == [(s, "ok") for s in layers.STAGES] and len(written) == n
     assert same["fact_sales"].count() == tables["fact_sales"].count() and same["forecast"].count() == 1
+
+
+def test_one_line_per_product_moves_what_it_needs(spark, tmp_path, capsys):
+    import datetime as dt
+
+    from mercato.sources.driver import bronze_order_details, one_line_per_product
+
+    day = [dt.datetime(2000, 1, d) for d in (1, 2, 3)]
+    rows = [(1, 1, 5, 1, 1.0, 10.0, 0.1, 0.5, "A", day[0]), (1, 1, 4, 2, 2.0, 20.0, 0.2, 0.5, "B", day[1]), (1, 1, 4, 1, 3.0, 30.0, None, 0.5, "C", day[2]),
+            (1, 1, 4, 1, 4.0, 40.0, 0.0, 0.5, "D", day[1]), (1, 2, None, 1, 5.0, 50.0, 0.3, 0.5, None, day[0]), (1, 2, 1, 1, 6.0, 60.0, 0.3, 0.5, "E", day[0]),
+            (None, 1, 1, 1, 7.0, 70.0, 0.0, 0.5, "F", None), (None, 1, 1, 1, 8.0, 80.0, 0.0, 0.5, "G", day[0])]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                        "l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp")
+    out = one_line_per_product(lines)
+    assert out.columns == lines.columns
+    assert sorted(r.l_quantity for r in out.collect()) == [4.0, 5.0, 7.0]
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    details = bronze_order_details(spark, str(tmp_path), distinct_products=True)
+    assert sorted(r.quantity for r in details.collect()) == [4, 5, 7]
+    details.explain()
+    plan = capsys.readouterr().out
+    assert "l_tax" not in plan and "l_returnflag" not in plan and "min_by" not in plan
