@@ -11,6 +11,7 @@ from mercato.functions.keys import surrogate_key
 from mercato.operators import joins as J
 from mercato.operators import topk as L
 from mercato.plans import gold
+from mercato.plans.daily import DailyTables
 from mercato.sources.catalog import VersionedTable
 
 
@@ -88,3 +89,22 @@ def test_orphans_are_found_by_id_before_keys_are_made(spark, star, capsys):
         assert "Exchange" in plan and not [m for m in re.findall(r"hashpartitioning\((.*)", plan) if "_key" in m.replace("_key_null_", "")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_table_stores_ids_and_makes_keys_when_read(spark, star, tmp_path):
+    lines, fact, *_ = star
+    t = VersionedTable(spark, str(tmp_path / "fact"), month_of="date_key", finish=gold.with_keys)
+    t.commit(lines)
+    assert set(t.current(raw=True).columns) == {*lines.columns, "date_month"}
+    assert t.compact() == 2 and _rows(t.current()) == _rows(fact) != []
+    with pytest.raises(ValueError):
+        t.append(fact)
+
+
+def test_days_without_a_product_are_found_by_its_id(spark, star, tmp_path):
+    lines, fact, _, products, _ = star
+    daily = DailyTables(spark, str(tmp_path))
+    for known in (products, products.where("product_id = 1"), products.where("product_id is null"), products.where("false")):
+        keyed = fact.join(known.select("product_key"), "product_key", "left_anti").select("product_key", "date_key").distinct()
+        assert _rows(daily._without_product(lines, known)) == _rows(keyed)
+    assert len(_rows(daily._without_product(lines, products.where("product_id = 1")))) > 2
