@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from mercato.functions.keys import FACT_KEYS, fact_key, key_ids
+
 
 def dq_unique(df: DataFrame, col: str) -> DataFrame:
     """D-01: non-null values occurring more than once, with their count."""
@@ -80,15 +82,17 @@ GOLD_TESTS = [
 # ----------------------------------------------------------------
 
 
-def _null(c: str) -> Column:
-    return F.count(F.when(F.col(c).isNull(), 1))
+def _null(df: DataFrame, c: str) -> Column:
+    return F.count(F.when((F.col(c) if c in df.columns else fact_key(df, c)).isNull(), 1))
 
 
 def _keyed_tests(df: DataFrame, t: ModelTests, c: str) -> list[DataFrame]:
-    """The unique test of a column and, from the same groups, its not-null test."""
-    n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    both = n.agg(F.count(F.when(F.col(c).isNotNull() & (F.col("n") > 1), 1)).alias("twice"),
-                 F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    """The unique test of a column and, from the same groups, its not-null test.
+    A fact's lines without the hash key are grouped by its ids, and a key is never null."""
+    n = df.groupBy(*([c] if c in df.columns else key_ids(df, c))).agg(F.count(F.lit(1)).alias("n"))
+    null = F.col(c).isNull() if c in df.columns else F.lit(False)
+    both = n.agg(F.count(F.when(~null & (F.col("n") > 1), 1)).alias("twice"),
+                 F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("missing"))
     rows = [("unique", F.col("twice"))] + ([("not_null", F.col("missing"))] if c in t.not_null else [])
     return [_unpivot(both, t.model, [(test, c, e) for test, e in rows])]
 
@@ -99,6 +103,19 @@ def _unpivot(one: DataFrame, model: str, tests: list[tuple[str, str, Column]]) -
     return one.select(F.inline(F.array(*[row(*t) for t in tests]))).select(F.lit(model).alias("model"), "test", "column", "failures")
 
 
+def _relationship_by_id(lines: DataFrame, model: str, c: str, parent: DataFrame, fld: str) -> DataFrame:
+    """The relationships test of a hash key that the lines do not carry."""
+    if fld == c and set(FACT_KEYS[c]) <= set(parent.columns):
+        one, other = key_ids(lines, c), key_ids(parent, c)
+    else:
+        one, other = [fact_key(lines, c)], [F.col(fld)]
+    n = lines.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(one)]).agg(F.count(F.lit(1)).alias("n"))
+    keys = parent.select(*[k.alias(f"_p{i}") for i, k in enumerate(other)])
+    same = reduce(Column.__and__, [F.col(f"_k{i}").eqNullSafe(F.col(f"_p{i}")) for i in range(len(one))])
+    missing = n.join(keys, same, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return _unpivot(missing, model, [("relationships", c, F.col("n"))])
+
+
 def observed(df: DataFrame, t: ModelTests) -> tuple[DataFrame, Callable[[], list[tuple[str, str, str, int]]]]:
     """The model with its not-null tests observed: they are counted while it is
     written, without a scan of their own.  The second value gives their rows
@@ -106,7 +123,7 @@ def observed(df: DataFrame, t: ModelTests) -> tuple[DataFrame, Callable[[], list
     metrics = Observation(f"{t.model}_not_null")
     if not t.not_null:
         return df, lambda: []
-    out = df.observe(metrics, *[_null(c).alias(c) for c in t.not_null])
+    out = df.observe(metrics, *[_null(df, c).alias(c) for c in t.not_null])
     return out, lambda: [(t.model, "not_null", c, int(metrics.get[c])) for c in t.not_null]
 
 
@@ -118,7 +135,9 @@ def run_suite(models: dict[str, DataFrame], suite: list[ModelTests],
     key's nulls) and one for everything else: not-null tests, expressions and
     relationships, the latter as left joins with the parents' keys whose misses are
     counted in the same aggregate.  `known` holds rows told by `observed`; their
-    tests are not run again."""
+    tests are not run again.  A fact given as its lines, with ids in place of hash keys,
+    is tested by the ids: they are a quarter of a key in the shuffle, and one row per id
+    and task meets the parents."""
     known = known or []
     told = {(m, c) for m, test, c, _ in known if test == "not_null"}
     spark = next(iter(models.values())).sparkSession
@@ -128,9 +147,12 @@ def run_suite(models: dict[str, DataFrame], suite: list[ModelTests],
         t = replace(t, not_null=[c for c in t.not_null if (t.model, c) not in told])
         for c in t.unique:
             parts += _keyed_tests(df, t, c)
-        counts: list[tuple[str, str, Column]] = [("not_null", c, _null(c)) for c in t.not_null if c not in t.unique]
+        counts: list[tuple[str, str, Column]] = [("not_null", c, _null(df, c)) for c in t.not_null if c not in t.unique]
         rows = df
         for i, (c, parent, fld) in enumerate(t.relationships):
+            if c not in df.columns:
+                parts.append(_relationship_by_id(df, t.model, c, models[parent], fld))
+                continue
             keys = models[parent].select(F.col(fld).alias(f"_p{i}")).where(F.col(f"_p{i}").isNotNull()).distinct()
             rows = rows.join(keys, F.col(c) == F.col(f"_p{i}"), "left")
             counts.append(("relationships", c, F.count(F.when(F.col(c).isNotNull() & F.col(f"_p{i}").isNull(), 1))))

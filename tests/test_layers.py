@@ -1,6 +1,13 @@
 """The layered run: stops at the first failing gate; runs to the forecast when told to continue."""
 
+from pyspark.sql import functions as F
+
+from mercato.functions.keys import surrogate_key
+from mercato.lake import Lake
+from mercato.operators import quality as Q
+from mercato.plans import gold
 from mercato.plans.layers import forecast_stage, run_layers
+from mercato.sources import catalog
 from mercato.sources.driver import bronze_from_driver
 
 
@@ -68,3 +75,45 @@ def test_one_line_per_product_moves_what_it_needs(spark, tmp_path, capsys):
     details.explain()
     plan = capsys.readouterr().out
     assert "l_tax" not in plan and "l_returnflag" not in plan and "min_by" not in plan
+
+
+def _lines(spark):
+    rows = [(1, 1, "c1", 5), (1, 1, "c1", 5), (1, 2, "c9", None), (2, None, None, 5), (2, None, "_dbt_utils_surrogate_key_null_", 7), (None, 3, "c1", 6)]
+    return spark.createDataFrame([(*r, 19970101, 2, 1.5, 0.1, 0.0) for r in rows],
+                                 "order_id long, product_id long, customer_id string, employee_id long, date_key int, quantity int, "
+                                 "unit_price double, discount double, freight double").withColumn("unit_price", F.col("unit_price").cast("decimal(10,2)"))
+
+
+def test_a_fact_of_ids_fails_the_tests_its_keys_fail(spark):
+    """Null ids, a text that stands for null, repeated lines and missing parents count the same either way."""
+    lines, suite = _lines(spark), [t for t in Q.GOLD_TESTS if t.model == "fact_sales"]
+    for null_parent in (False, True):
+        models = {}
+        for name, key, id_, ids in (("dim_customers", "customer_key", "customer_id", ["c1"]), ("dim_products", "product_key", "product_id", [1, 2]),
+                                    ("dim_employees", "employee_key", "employee_id", [5, 5, 6])):
+            kind = lines.schema[id_].dataType.simpleString()
+            ids = spark.createDataFrame([(i,) for i in [*ids, *([None] if null_parent else [])]], f"{id_} {kind}")
+            models[name] = ids.select(surrogate_key(id_).alias(key), id_)
+        by_key = Q.run_suite(models | {"fact_sales": gold.with_keys(lines)}, suite)
+        by_id = Q.run_suite(models | {"fact_sales": lines}, suite)
+        rows = sorted(tuple(r) for r in by_key.collect())
+        assert sorted(tuple(r) for r in by_id.collect()) == rows
+        assert {(r[1], r[2]): r[3] for r in rows if r[1] == "relationships"} == {
+            ("relationships", "customer_key"): 1 if null_parent else 3, ("relationships", "product_key"): 1 if null_parent else 3,
+            ("relationships", "employee_key"): 1 if null_parent else 2}
+        seen, tell = Q.observed(lines, suite[0])
+        assert seen.count() == 6 and tell() == [("fact_sales", "not_null", "order_detail_id", 0)]
+
+
+def test_the_fact_is_stored_without_hash_keys(spark, sf_small):
+    """Keys of 32 characters a line were most of the run's disk; readers still get them."""
+    bronze = bronze_from_driver(spark, sf_small)
+    root = catalog.fresh_root(spark)
+    for _ in range(2):                                     # the second run reads what the first one left
+        log, tables = run_layers(spark, bronze, root, stop_on_failure=False)
+        want = Lake(spark, bronze).fact_sales
+        assert tables["fact_sales"].columns == want.columns and tables["fact_sales"].dtypes == want.dtypes
+        assert tables["fact_sales"].exceptAll(want).isEmpty() and want.exceptAll(tables["fact_sales"]).isEmpty()
+    files = spark.read.parquet(catalog.location(spark, "gold", "fact_sales", root))
+    assert not {"order_detail_id", "customer_key", "product_key", "employee_key"} & set(files.columns)
+    assert all(f.endswith(".zstd.parquet") for f in files.inputFiles())
